@@ -28,7 +28,7 @@ from .. import store
 
 ATTRIBUTES = ("ticker", "asset_class", "region", "sector", "currency")
 OPEN_END = 99991231
-MARKS = r"[\s _\-]+"
+MARKS = r"[\s\xa0_\-]+"
 
 
 def bare(c: Column) -> Column:
@@ -42,7 +42,7 @@ def _entries(payload: Column) -> Column:
 
 
 def _pick(entries: Column, key: str) -> Column:
-    hits = F.filter(entries, lambda e: (e["k"] == key) & (F.trim(F.regexp_replace(e["v"], r"[\s ]+", " ")) != ""))
+    hits = F.filter(entries, lambda e: (e["k"] == key) & (F.trim(F.regexp_replace(e["v"], r"[\s\xa0]+", " ")) != ""))
     return F.try_element_at(hits, F.lit(1))["v"]
 
 
@@ -51,7 +51,7 @@ def changes_of(snapshots: DataFrame, attributes: Sequence[str] = ATTRIBUTES) ->
     raw = snapshots.select("as_of_date", "loaded_at", F.col("id").alias("seq"), _entries(F.col("payload")).alias("top")).where("as_of_date IS NOT NULL AND top IS NOT NULL")
     nested = F.flatten(F.transform(F.filter(F.col("top"), lambda e: F.ltrim(e["v"]).startswith("{")), lambda e: F.coalesce(_entries(e["v"]), F.array().cast("array<struct<k:string,v:string>>"))))
     flat = raw.withColumn("entries", F.concat("top", nested))
-    entity = F.upper(F.regexp_replace(_pick(F.col("entries"), "isin"), r"[\s ]+", ""))
+    entity = F.upper(F.regexp_replace(_pick(F.col("entries"), "isin"), r"[\s\xa0]+", ""))
     cols = [bare(_pick(F.col("entries"), bare_name(a))).alias(a) for a in attributes]
     return flat.select(entity.alias("entity"), "as_of_date", "loaded_at", "seq", *cols).where("entity IS NOT NULL AND entity <> ''")
 

@@ -40,7 +40,7 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    blank = F.regexp_replace("r.ref", r"[\s ]+", "")
+    blank = F.regexp_replace("r.ref", r"[\s\xa0]+", "")
     return out.where(blank != "").select("src_table", "r.src_field", "row_id", "r.target", key_of(F.col("r.ref")).alias("key"), "created_at", F.date_format("created_at", "yyyy-MM").alias("period"))
 
 

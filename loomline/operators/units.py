@@ -48,7 +48,7 @@ NAMES = (
 
 
 def _clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\xa0]+", " "))
 
 
 def currency_of(text: Column) -> Column:

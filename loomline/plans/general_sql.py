@@ -8,25 +8,25 @@ raw AS (
   SELECT id AS seq, as_of_date, loaded_at, payload FROM instrument_ref_json
   WHERE as_of_date IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
 lv1 AS (
-  SELECT seq, as_of_date, loaded_at, lower(regexp_replace(e.key, '[\s _\-]+', '', 'g')) AS k, e.value AS v, e.type AS ty, e.id AS pos
+  SELECT seq, as_of_date, loaded_at, lower(regexp_replace(e.key, '[\s\xa0_\-]+', '', 'g')) AS k, e.value AS v, e.type AS ty, e.id AS pos
   FROM raw, json_each(payload) e),
 lv2 AS (
-  SELECT seq, as_of_date, loaded_at, lower(regexp_replace(e.key, '[\s _\-]+', '', 'g')) AS k, e.value AS v, e.type AS ty, 1000000 + pos * 1000 + e.id AS pos
+  SELECT seq, as_of_date, loaded_at, lower(regexp_replace(e.key, '[\s\xa0_\-]+', '', 'g')) AS k, e.value AS v, e.type AS ty, 1000000 + pos * 1000 + e.id AS pos
   FROM (SELECT seq, as_of_date, loaded_at, pos, v FROM lv1 WHERE ty = 'OBJECT') l, json_each(l.v) e),
 pairs AS (
   SELECT seq, as_of_date, loaded_at, k, pos, CASE WHEN ty = 'VARCHAR' THEN v ->> '$' ELSE CAST(v AS VARCHAR) END AS v
   FROM (SELECT * FROM lv1 UNION ALL SELECT * FROM lv2) WHERE ty <> 'NULL'),
 full_pairs AS (
   SELECT seq, as_of_date, loaded_at, k, min_by(v, pos) AS v FROM pairs
-  WHERE trim(regexp_replace(v, '[\s ]+', ' ', 'g')) <> '' GROUP BY ALL),
+  WHERE trim(regexp_replace(v, '[\s\xa0]+', ' ', 'g')) <> '' GROUP BY ALL),
 snap AS (
   SELECT seq, as_of_date, loaded_at,
-    upper(regexp_replace(max(v) FILTER (WHERE k = 'isin'), '[\s ]+', '', 'g')) AS isin,
-    lower(regexp_replace(max(v) FILTER (WHERE k = 'ticker'), '[\s _\-]+', '', 'g')) AS ticker,
-    lower(regexp_replace(max(v) FILTER (WHERE k = 'assetclass'), '[\s _\-]+', '', 'g')) AS asset_class,
-    lower(regexp_replace(max(v) FILTER (WHERE k = 'region'), '[\s _\-]+', '', 'g')) AS region,
-    lower(regexp_replace(max(v) FILTER (WHERE k = 'sector'), '[\s _\-]+', '', 'g')) AS sector,
-    lower(regexp_replace(max(v) FILTER (WHERE k = 'currency'), '[\s _\-]+', '', 'g')) AS currency
+    upper(regexp_replace(max(v) FILTER (WHERE k = 'isin'), '[\s\xa0]+', '', 'g')) AS isin,
+    lower(regexp_replace(max(v) FILTER (WHERE k = 'ticker'), '[\s\xa0_\-]+', '', 'g')) AS ticker,
+    lower(regexp_replace(max(v) FILTER (WHERE k = 'assetclass'), '[\s\xa0_\-]+', '', 'g')) AS asset_class,
+    lower(regexp_replace(max(v) FILTER (WHERE k = 'region'), '[\s\xa0_\-]+', '', 'g')) AS region,
+    lower(regexp_replace(max(v) FILTER (WHERE k = 'sector'), '[\s\xa0_\-]+', '', 'g')) AS sector,
+    lower(regexp_replace(max(v) FILTER (WHERE k = 'currency'), '[\s\xa0_\-]+', '', 'g')) AS currency
   FROM full_pairs GROUP BY ALL HAVING isin <> ''),
 last_of_day AS (
   SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY isin, as_of_date ORDER BY loaded_at DESC, seq DESC) = 1),
@@ -52,7 +52,7 @@ refs AS (
   UNION ALL SELECT 'files', 'repository_id', id, 'repositories', repository_id, created_at FROM files
   UNION ALL SELECT 'repositories', 'project_id', id, 'projects', project_id, created_at FROM repositories
   UNION ALL SELECT 'runs', 'project_id', id, 'projects', project_id, created_at FROM runs),
-good AS (SELECT DISTINCT *, {_KEY('ref')} AS key FROM refs WHERE regexp_replace(ref, '[\\s ]+', '', 'g') <> ''),
+good AS (SELECT DISTINCT *, {_KEY('ref')} AS key FROM refs WHERE regexp_replace(ref, '[\\s\\xa0]+', '', 'g') <> ''),
 known AS (
   SELECT target, key, min(created_at) AS since FROM (
     SELECT 'runs' AS target, {_KEY('id')} AS key, created_at FROM runs
