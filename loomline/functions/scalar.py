@@ -68,6 +68,11 @@ def relationship_name(c: Column) -> Column:
     return F.when(s == "", "RELATED_TO").when(s.rlike("^[0-9]"), F.concat(F.lit("REL_"), s)).otherwise(s)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 # --- texts ----------------------------------------------------------------------------------------
 
 #: Patterns of personal data and their replacements, in this order.

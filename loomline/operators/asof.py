@@ -12,7 +12,8 @@ counted; beyond the bound the join shuffles on (entity, bucket), which spreads a
 
 Defined cases: events with a null entity or time keep null attributes; an event before the first change
 gets null; of facts visible from one moment the one with the greatest effective time counts, then the one learned
-last, then the greatest value; duplicates change nothing; empty histories give null attributes; other columns of the events pass through.
+last, then the greatest value; duplicates change nothing; empty histories give null attributes; other columns of the events pass
+through, but one named like an attribute is replaced by it.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def match(events: DataFrame, entity: str, ts: str, histories: Mapping[str, DataF
     out = events.withColumn(us, _micros(F.col(ts))).withColumn(bucket, F.floor(F.col(us) / size))
     for name, history in histories.items():
         cut = store.materialize(intervals(history, bucket_seconds, F.lit(top if top is not None else 0)), f"steps-{name}")
-        side = store.checked_broadcast(cut.select(F.col("entity").alias("__e"), F.col("bucket").alias("__b"), "from_us", "to_us", F.col("value").alias(name)))
-        on = (out[entity] == side["__e"]) & (out[bucket] == side["__b"]) & (out[us] >= side["from_us"]) & (side["to_us"].isNull() | (out[us] < side["to_us"]))
-        out = out.join(side, on, "left").drop("__e", "__b", "from_us", "to_us")
+        side = store.checked_broadcast(cut.select(F.col("entity").alias("__e"), F.col("bucket").alias("__b"), F.col("from_us").alias("__from"), F.col("to_us").alias("__to"), F.col("value").alias("__value")))
+        on = (out[entity] == side["__e"]) & (out[bucket] == side["__b"]) & (out[us] >= side["__from"]) & (side["__to"].isNull() | (out[us] < side["__to"]))
+        joined = out.join(side, on, "left").drop("__e", "__b", "__from", "__to")
+        out = joined.drop(name).withColumnRenamed("__value", name)
     return out.drop(us, bucket)

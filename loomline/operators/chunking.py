@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import strip
 from .parsing import find
 
 OR = r"(?:OR\s+REPLACE\s+|OR\s+ALTER\s+)?"
@@ -36,7 +37,7 @@ def domain_chunks(files: DataFrame, content: str = "content") -> DataFrame:
     Chunks are ordered by domain in order of first appearance, then by position.
     """
     any_object = "|".join(p for _, p in DOMAINS)
-    pieces = F.filter(F.transform(F.split(F.col(content), rf"(?i)(?={any_object})"), F.trim), lambda s: s.rlike(rf"(?i)^(?:{any_object})"))
+    pieces = F.filter(F.transform(F.split(F.col(content), rf"(?i)(?={any_object})"), strip), lambda s: s.rlike(rf"(?i)^(?:{any_object})"))
     kind = lambda s: F.coalesce(*[F.when(s.rlike(f"(?i)^(?:{p})"), F.lit(d)) for d, p in DOMAINS])
     typed = F.transform(pieces, lambda s, i: F.struct(kind(s).alias("domain"), i.alias("i"), s.alias("chunk")))
     order = F.array_distinct(F.transform("__t", lambda t: t["domain"]))

@@ -48,7 +48,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
     order = F.struct("__gen", "__seq")
     newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order))
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order))
-    merged = a.unionByName(b).groupBy(*keys).agg(*[(first(c) if c in keep else newest(c)).alias(c) for c in rest])
+    both = a.unionByName(b)
+    merged = both.groupBy(*keys).agg(*[(first(c) if c in keep else newest(c)).alias(c) for c in rest]) if rest else both.select(*keys).distinct()
     return merged.select(*old.columns)
 
 

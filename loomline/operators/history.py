@@ -174,8 +174,9 @@ class HistoryStore:
         manifest = self.manifest()
         gen = uuid.uuid4().hex
         new = f"{self.path}/changes/{gen}"
-        compact(batch).withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(new)
-        landed = self.spark.read.parquet(new)
+        filed = compact(batch).withColumn("bucket", self._bucket())
+        filed.write.partitionBy("bucket").parquet(new)
+        landed = self.spark.read.schema(filed.schema).parquet(new)
         touched = [r[0] for r in landed.select("bucket").distinct().collect()]  # at most `buckets` numbers
         if not touched:
             return

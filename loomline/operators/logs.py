@@ -136,7 +136,7 @@ SQL_WORDS = ("select", "from", "where", "join", "left", "right", "inner", "outer
 def answer_quality(answers: DataFrame) -> DataFrame:
     """(id, accuracy, citation, hallucination). answers: (id, answer, entities, concepts, files, contexts)."""
     a = F.col("answer")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(a), F.lit(r"\b[a-z_]{3,}\b"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(a), F.lit(r"(?<![\p{L}\p{N}_])[a-z_]{3,}(?![\p{L}\p{N}_])"), F.lit(0)))
     from_context = F.flatten(F.transform("contexts", lambda c: F.regexp_extract_all(c, F.lit(r"(?i)(?:FROM|JOIN)\s+(\w+)"), F.lit(1))))
     allowed = F.transform(F.concat("entities", from_context), F.lower)
     strange = F.filter(words, lambda w: ~F.array_contains(allowed, w) & ~w.isin(*SQL_WORDS) & (F.length(w) > 3))

@@ -164,7 +164,7 @@ def expire(df: DataFrame, days: int, at: str = "created_at", now: Column | None
 
 def extensions(c: Column) -> Column:
     """A comma list of extensions in lower case with a leading dot, without repeats."""
-    parts = F.filter(F.transform(F.split(F.lower(c), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.lower(c), ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.when(p.startswith("."), p).otherwise(F.concat(F.lit("."), p))))
 
 

@@ -108,7 +108,8 @@ def column_lineage(files: DataFrame, content: str = "content") -> DataFrame:
     pair = F.explode(F.arrays_zip(find(c, r"(?i)([\w.]+(?:\((?:[^()]|\([^()]*\))*\))?(?:\s*[-+*/]\s*[\w.]+(?:\([^()]*\))?)*)\s+AS\s+(\w+)", 1).alias("e"), find(c, r"(?i)([\w.]+(?:\((?:[^()]|\([^()]*\))*\))?(?:\s*[-+*/]\s*[\w.]+(?:\([^()]*\))?)*)\s+AS\s+(\w+)", 2).alias("t")))
     rows = files.withColumn("__p", pair)
     names = F.filter(find(F.col("__p.e"), r"([A-Za-z_][\w.]*)(?!\s*\()(?![\w.])"), lambda x: ~F.lower(x).isin("as", "distinct", "case", "when", "then", "else", "end", "and", "or", "not", "null", "int", "bigint", "decimal", "date", "varchar", "string", "double", "float", "timestamp"))
-    return rows.withColumns({"target": F.col("__p.t"), "sources": F.array_sort(F.array_distinct(names)), "transformation": F.col("__p.e")}).drop("__p")
+    words = ("select", "with", "insert", "update", "delete", "begin", "as", "return", "materialized", "not", "table")
+    return rows.where(~F.lower("__p.t").isin(*words)).withColumns({"target": F.col("__p.t"), "sources": F.array_sort(F.array_distinct(names)), "transformation": F.col("__p.e")}).drop("__p")
 
 
 def python_tables(c: Column) -> Column:
@@ -208,7 +209,12 @@ FOLDERS = {"TABLE": "tables", "VIEW": "views", "FUNCTION": "functions", "PROCEDU
 def classify(files: DataFrame, content: str = "content") -> DataFrame:
     """files with (kind, database, schema, name, statement) for each created object; comments don't count."""
     clean = F.regexp_replace(F.regexp_replace(F.col(content), r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    structs = [F.transform(F.regexp_extract_all("__c", F.lit(rf"(?is)({p}.*?)(?:;|\bGO\b|\z)"), F.lit(1)), lambda s, k=k, p=p: F.struct(F.lit(k).alias("kind"), F.regexp_extract(s, f"(?is){p}", 1).alias("full"), F.trim(s).alias("statement"))) for k, p in OBJECTS]
+
+    def of(k: str, p: str) -> Column:
+        found = F.regexp_extract_all("__c", F.lit(rf"(?is)({p}.*?)(?:;|\bGO\b|\z)"), F.lit(1))
+        return F.transform(found, lambda s: F.struct(F.lit(k).alias("kind"), F.regexp_extract(s, f"(?is){p}", 1).alias("full"), S.strip(s).alias("statement")))
+
+    structs = [of(k, p) for k, p in OBJECTS]
     rows = files.withColumn("__c", clean).withColumn("__o", F.explode(F.concat(*structs)))
     parts = F.split(F.rtrim(F.col("__o.full")), r"\.")
     n = F.size(parts)
@@ -266,13 +272,18 @@ def to_graph(parsed: DataFrame, project: str, path: str = "path") -> tuple[DataF
     writers read (DERIVES from a table written, READS_FROM from a file that only reads), files call routines."""
     node_id = lambda label, name: S.urn(label, F.lit(project), name)
     asset = F.lit("DataAsset")
-    listed = F.explode(F.concat(*[F.transform(col, lambda n, label=label: F.struct(F.lit(label).alias("label"), n.alias("name"))) for col, label in (("writes", "Table"), ("reads", "DataAsset"), ("views", "View"), ("materialized_views", "MaterializedView"), ("triggers", "Trigger"), ("synonyms", "Synonym"), ("routines", "FunctionOrProcedure"), ("calls", "FunctionOrProcedure"))]))
+
+    def named_as(col: str, label: str) -> Column:
+        return F.transform(col, lambda n: F.struct(F.lit(label).alias("label"), n.alias("name")))
+
+    listed = F.explode(F.concat(*[named_as(col, label) for col, label in (("writes", "Table"), ("reads", "DataAsset"), ("views", "View"), ("materialized_views", "MaterializedView"), ("triggers", "Trigger"), ("synonyms", "Synonym"), ("routines", "FunctionOrProcedure"), ("calls", "FunctionOrProcedure"))]))
     files = parsed.select(node_id(F.lit("File"), F.col(path)).alias("id"), F.lit("File").alias("label"), F.col(path).alias("name"))
     named = parsed.select(listed.alias("n")).select(node_id(F.when(F.col("n.label").isin("Table", "DataAsset"), asset).otherwise(F.col("n.label")), F.col("n.name")).alias("id"), "n.label", "n.name")
     nodes = files.unionByName(named).groupBy("id").agg(F.max("label").alias("label"), F.min("name").alias("name"))
     me = node_id(F.lit("File"), F.col(path))
     table = lambda c: node_id(asset, c)
-    def arcs(col: str, source, target, kind) -> DataFrame:
+
+    def arcs(col: str, source: Column, target: Column, kind: Column) -> DataFrame:
         return parsed.select(path, "write", F.explode(col).alias("x")).select(source.alias("source_id"), target.alias("target_id"), kind.alias("type"))
 
     x, wrote = F.col("x"), F.col("write").isNotNull() & (F.col("write") != "console")

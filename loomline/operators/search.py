@@ -155,9 +155,9 @@ def response_mode(n: Column, tokens: Column, budget: int = 1500, most: int = 10)
     return F.when((n > most) | (tokens > budget), "tree_summarize").otherwise("compact")
 
 
-def truncate_blocks(blocks: DataFrame, budget: int = 8000, separator: int = 2) -> DataFrame:
+def truncate_blocks(blocks: DataFrame, budget: int = 8000, separator: int = 2, group: str | None = None) -> DataFrame:
     """The prefix of blocks (pos, text) whose joined length, a quarter taken as tokens, is within the budget."""
-    w = Window.partitionBy().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = F.sum(F.length("text") + separator).over(w) - separator
     return blocks.withColumn("length", joined).where(F.floor(F.col("length") / 4) <= budget)
 

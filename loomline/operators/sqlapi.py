@@ -41,11 +41,11 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = N
     With a timeout, actions started on the result within it are cancelled when it is over.
     """
     check_words(sql)
-    own = spark.newSession()
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     check_plan(own, sql)
+    rows_of = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, df in (tables or {}).items():
-        df_own = own.createDataFrame([], df.schema) if df is None else DataFrame(df._jdf, own)
-        df_own.createOrReplaceTempView(name)
+        DataFrame(rows_of(own._jsparkSession, df._jdf.logicalPlan()), own).createOrReplaceTempView(name)
     result = own.sql(sql)
     if timeout is not None:
         tag = f"query-{uuid.uuid4().hex}"

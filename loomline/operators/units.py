@@ -249,7 +249,8 @@ def trade_units(feed_a: DataFrame, feed_b: DataFrame, snapshots: DataFrame, fx_r
     """
     a = stated(feed_a.where("price IS NOT NULL"), "currency", "source_system").select(
         F.lit("a").alias("feed"), F.col("trade_id").alias("row_id"), F.col("trade_ts").alias("ts"), F.upper(F.regexp_replace("isin", r"[^A-Za-z0-9]", "")).alias("isin"), F.col("price").cast("double").alias("amount"), F.lit(1.0).alias("pieces"), "unit_ccy", "scale")
-    named = instrument_of_ticker(feed_b.where("gross_amount IS NOT NULL"), snapshots)
+    slim = feed_b.select("id", "exec_time", "ticker", "qty", "gross_amount", "ccy", "source_system")
+    named = instrument_of_ticker(slim.where("gross_amount IS NOT NULL"), snapshots)
     b = stated(named, "ccy", "source_system").select(
         F.lit("b").alias("feed"), F.col("id").alias("row_id"), F.col("exec_time").alias("ts"), "isin", F.col("gross_amount").cast("double").alias("amount"), F.col("qty").cast("double").alias("pieces"), "unit_ccy", "scale")
     rows = store.materialize(a.unionByName(b).where("unit_ccy IS NOT NULL"), "trade-units")

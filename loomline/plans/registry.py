@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, general_sql
+from . import code_queries, general, general_sql, graph_queries, meta_queries, search_queries
 
-FLAGSHIP = "p1_found"
-QUERIES = {**general.QUERIES}
-ORACLES = {**general_sql.ORACLES}
+PARTS = (graph_queries, search_queries, code_queries, meta_queries)
+FLAGSHIP = "g09_downstream"
+QUERIES = general.QUERIES | {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLES = general_sql.ORACLES | {k: s for part in PARTS for k, s in part.ORACLES.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
+from ..functions.scalar import redact, strip
 from ..operators import logs
 
 
@@ -139,13 +140,11 @@ def entity_texts(nodes: DataFrame) -> DataFrame:
 def statement_texts(files: DataFrame, content: str = "content") -> DataFrame:
     """files with (pos, statement): non-empty statements between semicolons."""
     rows = files.select(*[c for c in files.columns if c != content], F.posexplode(F.split(F.col(content), ";")).alias("pos", "s"))
-    return rows.withColumn("statement", F.trim("s")).drop("s").where("statement <> ''")
+    return rows.withColumn("statement", strip(F.col("s"))).drop("s").where("statement <> ''")
 
 
 def audit(events: DataFrame, path: str) -> None:
     """Append audit events by day, with personal data redacted in their details."""
-    from ..functions.scalar import redact
-
     events.withColumn("details", redact(F.col("details"))).withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
 
 

@@ -112,7 +112,7 @@ def replay_breaker(calls: DataFrame, failures: int = 3, cooldown: float = 60.0)
         return pdf[["service", "at", "limited", "state"]]
 
     us = calls.select("service", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "limited")
-    return us.groupBy("service", F.floor(F.col("at") / 86_400_000_000).alias("day")).applyInPandas(lambda pdf: run(pdf.drop(columns="day")), "service string, at bigint, limited boolean, state string")
+    return us.withColumn("day", F.floor(F.col("at") / 86_400_000_000)).groupBy("service", "day").applyInPandas(run, "service string, at bigint, limited boolean, state string")
 
 
 def slices(c: Column, size: int = 64) -> Column:
