@@ -82,34 +82,37 @@ def path_level(a: Column, b: Column) -> Column:
     return F.when(a == b, 2).when(slip, 1).otherwise(0)
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, int], float]:
+def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 3) -> dict[tuple[int, int], float]:
     """(field, level) -> log2 odds of a match, by EM over the counts of all agreement patterns.
 
-    patterns has one entry for each combination of levels, a few dozen whatever the data.
+    patterns has one entry for each combination of levels, a few dozen whatever the data. Pairs equal in
+    content and path are matches, pairs that differ in either are none; EM shares out those between. A few
+    rounds are enough, and more would be too many: levels that only occur between are weakly identified.
     """
     if not patterns:
         return {}
     fields = range(len(patterns[0][0]))
     levels = {(f, p[f]) for p, _ in patterns for f in fields}
-    top = {f: max(v for g, v in levels if g == f) for f in fields}
-    m = {(f, v): 0.9 if v == top[f] else 0.1 for f, v in levels}
-    u = {(f, v): 0.1 if v == top[f] else 0.9 for f, v in levels}
-    share = 0.5
+    best = {f: max(v for g, v in levels if g == f) for f in fields}
+    sizes = {f: sum(1 for g, _ in levels if g == f) for f in fields}
+    anchor = lambda p: 0.0 if 0 in p[:2] else 1.0 if p[:2] == (2, 2) else None
+    # those between begin with how much they agree
+    likely = {p: anchor(p) if anchor(p) is not None else sum(p) / max(1, sum(best.values())) for p, _ in patterns}
+    m = u = {}
     for _ in range(rounds):
-        sums_m, sums_u, total_m, total_u = dict.fromkeys(levels, PRIOR), dict.fromkeys(levels, PRIOR), 0.0, 0.0
+        of_m, of_u, total_m, total_u = dict.fromkeys(levels, PRIOR), dict.fromkeys(levels, PRIOR), 0.0, 0.0
         for p, n in patterns:
-            a, b = share, 1 - share
+            total_m, total_u = total_m + n * likely[p], total_u + n * (1 - likely[p])
             for f in fields:
-                a, b = a * m[f, p[f]], b * u[f, p[f]]
-            g = n * a / (a + b) if a + b > 0 else 0.0
-            total_m, total_u = total_m + g, total_u + n - g
-            for f in fields:
-                sums_m[f, p[f]] += g
-                sums_u[f, p[f]] += n - g
-        for f, v in levels:
-            k = PRIOR * sum(1 for g, _ in levels if g == f)
-            m[f, v], u[f, v] = sums_m[f, v] / (total_m + k), sums_u[f, v] / (total_u + k)
-        share = min(max(total_m / max(total_m + total_u, 1e-9), 1e-6), 1 - 1e-6)
+                of_m[f, p[f]] += n * likely[p]
+                of_u[f, p[f]] += n * (1 - likely[p])
+        m = {(f, v): of_m[f, v] / (total_m + PRIOR * sizes[f]) for f, v in levels}
+        u = {(f, v): of_u[f, v] / (total_u + PRIOR * sizes[f]) for f, v in levels}
+        share = (total_m + PRIOR) / (total_m + total_u + 2 * PRIOR)
+        for p, _ in patterns:
+            if anchor(p) is None:
+                a, b = share * math.prod(m[f, p[f]] for f in fields), (1 - share) * math.prod(u[f, p[f]] for f in fields)
+                likely[p] = a / (a + b)
     return {key: math.log2(m[key] / u[key]) for key in levels}
 
 
@@ -130,7 +133,7 @@ class Linker:
 
     TABLES = ("classes", "blocks", "links", "representatives")
 
-    def __init__(self, spark: SparkSession, path: str, least_score: float = -20.0):
+    def __init__(self, spark: SparkSession, path: str, least_score: float = -10.0):
         self.spark, self.path, self.least_score, self.parts = spark, path, least_score, {t: [] for t in self.TABLES}
 
     def _add(self, name: str, df: DataFrame) -> DataFrame:
