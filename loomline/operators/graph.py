@@ -160,7 +160,7 @@ def flow(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(id, depth): nodes within `depth` hops of the seeds (id), with the least depth; seeds are depth 0."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    hops = edges.select(F.col(a).alias("at"), F.col(b).alias("id"))
+    hops = store.materialize(edges.select(F.col(a).alias("at"), F.col(b).alias("id")), "reach-hops")
     frontier = store.materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach-0")
     levels = [frontier]
     for d in range(1, depth + 1):
@@ -208,6 +208,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 12) ->
     """(path, hops) of a shortest undirected path, the lexicographically first; no row if there is none."""
     spark = edges.sparkSession
     both = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id"), F.col("source_id")).toDF("at", "next")).distinct()
+    both = store.materialize(both, "path-hops")
     now = spark.createDataFrame([(source, [source])], "at string, path array<string>")
     seen = [store.materialize(now, "path-0")]
     for d in range(most + 1):

@@ -48,7 +48,8 @@ def _pick(entries: Column, key: str) -> Column:
 
 def changes_of(snapshots: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """(entity, as_of_date, loaded_at, seq, <attributes>) of each readable snapshot; values in bare form."""
-    raw = snapshots.select("as_of_date", "loaded_at", F.col("id").alias("seq"), _entries(F.col("payload")).alias("top")).where("as_of_date IS NOT NULL AND top IS NOT NULL")
+    slim = store.spread(snapshots.select("as_of_date", "loaded_at", "id", "payload"))
+    raw = slim.select("as_of_date", "loaded_at", F.col("id").alias("seq"), _entries(F.col("payload")).alias("top")).where("as_of_date IS NOT NULL AND top IS NOT NULL")
     nested = F.flatten(F.transform(F.filter(F.col("top"), lambda e: F.ltrim(e["v"]).startswith("{")), lambda e: F.coalesce(_entries(e["v"]), F.array().cast("array<struct<k:string,v:string>>"))))
     flat = raw.withColumn("entries", F.concat("top", nested))
     entity = F.upper(F.regexp_replace(_pick(F.col("entries"), "isin"), r"[\s\xa0]+", ""))

@@ -91,17 +91,25 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z0-9_]+"), F.lit(0))
 
 
-def sparse(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, idx, w): the keyword vector of each text. Terms that share an index are separate counts of one index: the greater weight holds."""
-    counted = docs.select("id", F.explode(words(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("f"))
+def sparse(docs: DataFrame, text: str = "text", only: Sequence[int] | None = None) -> DataFrame:
+    """(id, idx, w): the keyword vector of each text, or of it the given indexes alone. Terms that share an index
+    are separate counts of one index: the greater weight holds."""
+    terms = store.spread(docs.select("id", text)).select("id", F.explode(words(F.col(text))).alias("term"))
+    if only is not None:  # before the aggregation, so that only the query's terms are shuffled
+        terms = terms.where(S.term_index(F.col("term")).isin(list(only)))
+    counted = terms.groupBy("id", "term").agg(F.count("*").alias("f"))
     return counted.groupBy("id", S.term_index(F.col("term")).alias("idx")).agg(F.max(S.term_weight(F.col("f"))).alias("w"))
 
 
 def sparse_search(docs: DataFrame, query: str, k: int = 10, text: str = "text") -> DataFrame:
     """(id, score): dot product with the query's keyword vector; only texts that share a term."""
-    q = sparse(docs.sparkSession.createDataFrame([(0, query)], "id int, q string"), "q").select("idx", F.col("w").alias("qw"))
-    hits = sparse(docs, text).join(F.broadcast(q), "idx")  # as many rows as the query has words
-    return hits.groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    spark = docs.sparkSession
+    q = {r["idx"]: r["w"] for r in sparse(spark.createDataFrame([(0, query)], "id int, q string"), "q").collect()}  # as many rows as the query has words
+    if not q:
+        return docs.select("id").limit(0).withColumn("score", F.lit(0.0))
+    weights = F.create_map(*[F.lit(x) for i, w in sorted(q.items()) for x in (int(i), float(w))])
+    hits = sparse(docs, text, sorted(q))
+    return hits.groupBy("id").agg(F.round(F.sum(F.col("w") * F.element_at(weights, F.col("idx").cast("int"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = 10, weight: float = 0.5, rrf_k: int = 60) -> DataFrame:

@@ -211,7 +211,8 @@ def final_steps(q: DataFrame, value: str) -> DataFrame:
 
 def rates_known_late(trades: DataFrame, fx_rates: DataFrame) -> DataFrame:
     """(trade_id, rate_id): trades for which the rate known at trade_ts is not the final one of its date."""
-    events = trades.select("trade_id", "trade_ts", currency_of(F.col("currency")).alias("ccy")).where("trade_ts IS NOT NULL AND ccy IS NOT NULL")
+    slim = store.spread(trades.select("trade_id", "trade_ts", "currency"))
+    events = slim.select("trade_id", "trade_ts", currency_of(F.col("currency")).alias("ccy")).where("trade_ts IS NOT NULL AND ccy IS NOT NULL")
     q = store.materialize(quotes(fx_rates), "quotes")
     both = asof.match(events, "ccy", "trade_ts", rate_histories(q))
     return both.where("known IS NOT NULL AND known <> final").select("trade_id", F.col("known").alias("rate_id"))
@@ -247,9 +248,10 @@ def trade_units(feed_a: DataFrame, feed_b: DataFrame, snapshots: DataFrame, fx_r
     pow10 is what the texts state; where they state nothing, the row's unit price in USD is held against the
     median of its instrument's rows: if it is off by a power of ten that a hidden unit explains, that is it.
     """
-    a = stated(feed_a.where("price IS NOT NULL"), "currency", "source_system").select(
+    slim_a = store.spread(feed_a.select("trade_id", "trade_ts", "isin", "price", "currency", "source_system"))
+    a = stated(slim_a.where("price IS NOT NULL"), "currency", "source_system").select(
         F.lit("a").alias("feed"), F.col("trade_id").alias("row_id"), F.col("trade_ts").alias("ts"), F.upper(F.regexp_replace("isin", r"[^A-Za-z0-9]", "")).alias("isin"), F.col("price").cast("double").alias("amount"), F.lit(1.0).alias("pieces"), "unit_ccy", "scale")
-    slim = feed_b.select("id", "exec_time", "ticker", "qty", "gross_amount", "ccy", "source_system")
+    slim = store.spread(feed_b.select("id", "exec_time", "ticker", "qty", "gross_amount", "ccy", "source_system"))
     named = instrument_of_ticker(slim.where("gross_amount IS NOT NULL"), snapshots)
     b = stated(named, "ccy", "source_system").select(
         F.lit("b").alias("feed"), F.col("id").alias("row_id"), F.col("exec_time").alias("ts"), "isin", F.col("gross_amount").cast("double").alias("amount"), F.col("qty").cast("double").alias("pieces"), "unit_ccy", "scale")
