@@ -31,6 +31,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
+
 #: Folder of the vocabulary files; a parameter of every function that reads them.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the word pattern of the vocabulary (contractions, letters, digits, other signs, white space).
@@ -161,7 +163,7 @@ def shipped(df: DataFrame, tokenizer: str):
 
 
 def encode(df: DataFrame, text: str = "text", into: str = "ids", keep: Iterable[str] = ("doc_id",), tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """df's kept columns with the ids of each text. A narrow map over the scan: no shuffle, rows stay where they are."""
+    """df's kept columns with the ids of each text. A narrow map over the scan; only a scan of fewer splits than cores is shuffled."""
     keep = list(keep)
     automaton = shipped(df, tokenizer)
 
@@ -174,7 +176,7 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", keep: Iterable[
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*keep, into])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` array<int>"])
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return store.spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def count(df: DataFrame, text: str, into: str, keep: Iterable[str], tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
@@ -191,7 +193,7 @@ def count(df: DataFrame, text: str, into: str, keep: Iterable[str], tokenizer: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], [*keep, into])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` bigint"])
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return store.spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have the library installed

@@ -119,13 +119,14 @@ def evidence(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "listed", "whole", "items"])
 
     kind_of = documents.schema["doc_id"].dataType.simpleString()
-    return documents.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of}, listed bigint, whole bigint, items bigint")
+    return store.spread(documents.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(run, f"doc_id {kind_of}, listed bigint, whole bigint, items bigint")
 
 
 def phrases(documents: DataFrame) -> DataFrame:
     """(doc_id, host, phrase): the distinct shingles of each text, hashed."""
     host = F.xxhash64(F.coalesce("project_id", F.concat(F.lit("source "), F.coalesce("source", F.lit("")))))
-    words = documents.where("text IS NOT NULL").select("doc_id", host.alias("host"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
+    slim = store.spread(documents.where("text IS NOT NULL").select("doc_id", "text", "project_id", "source"))
+    words = slim.select("doc_id", host.alias("host"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
     long = words.where(F.size("w") >= SHINGLE)
     hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice("w", i, SHINGLE))))
     return long.select("doc_id", "host", F.explode(hashed).alias("phrase"))
