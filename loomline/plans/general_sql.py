@@ -92,6 +92,46 @@ quotes AS (
   FROM q0)
 """
 
+_ALT = "|".join(_CODES)
+
+
+def _ccy_any(t: str) -> str:
+    """Currency that a text of venue b names."""
+    u = f"upper({t})"
+    return f"""CASE WHEN {t} IN ({', '.join(f"'{c}'" for c in _CODES)}) THEN {t} WHEN {t} IS NULL OR {t} = '' THEN NULL
+  WHEN {t} = 'GBp' THEN 'GBP' WHEN {t} = 'ZAc' THEN 'ZAR' WHEN {t} = 'USc' THEN 'USD' WHEN {t} = 'EUc' THEN 'EUR'
+  WHEN regexp_matches({u}, '(^|[^A-Z])(K|M|T|MIO)?({_ALT})(K|M|X)?($|[^A-Z])') THEN regexp_extract({u}, '(^|[^A-Z])(K|M|T|MIO)?({_ALT})(K|M|X)?($|[^A-Z])', 3)
+  WHEN regexp_matches({u}, 'US\\$|U\\.S\\. DOLLAR|\\bUSX\\b|US CENTS') THEN 'USD' WHEN regexp_matches({u}, '\\bAU?\\$') THEN 'AUD' WHEN regexp_matches({u}, '\\bCA?\\$') THEN 'CAD'
+  WHEN regexp_matches({u}, '¥|\\bYEN\\b') THEN 'JPY' WHEN regexp_matches({u}, '₪|\\bNIS\\b|AGOROT|\\bILA\\b') THEN 'ILS' WHEN regexp_matches({u}, '€|\\bEURO\\b|EUROCENT') THEN 'EUR'
+  WHEN regexp_matches({u}, '£|\\bSTG\\b|STERLING|(^| )PENCE|\\bGBX\\b') THEN 'GBP' WHEN regexp_matches({u}, '\\bSFR\\b|\\bFR\\.') THEN 'CHF' WHEN regexp_matches({u}, '\\bRAND\\b|\\bZAX\\b') THEN 'ZAR' END"""
+
+
+def _power(t: str) -> str:
+    """Power of ten that a text states, or null."""
+    u = f"upper({t})"
+    one = f"({_ALT}|US\\$|€|£)"
+    return f"""CASE WHEN {t} IS NULL OR {t} = '' OR {t} IN ({', '.join(f"'{c}'" for c in _CODES)}) THEN NULL
+  WHEN {t} IN ('GBp', 'ZAc', 'USc', 'EUc') OR regexp_matches({u}, '\\b(GBX|ZAX|USX|ILA)\\b|PENCE|AGOROT|CENTS?\\b|MINOR UNITS|1/100') THEN -2
+  WHEN regexp_matches({u}, '\\(100\\)|/100$|¥100|^100 ') THEN 2
+  WHEN regexp_matches({u}, 'MILLIONS|\\b(MIO|MLN|MM|MN)\\b|1E6|\\bM({_ALT})\\b|{one}M$') THEN 6
+  WHEN regexp_matches({u}, 'THOUSANDS?|TSD|''000|\\b000S?\\b|X1000|\\b[KT]({_ALT})\\b|K[€£]|{one} ?K$|: K$') THEN 3
+  WHEN regexp_matches({u}, 'FULL AMOUNTS|IN UNITS|UNIT: 1$') THEN 0 END"""
+
+
+_UNITS = f"""
+WITH {_SNAPSHOTS}, {_QUOTES},
+tick AS (SELECT isin, as_of_date, upper(ticker) AS ticker, lag(ticker) OVER (PARTITION BY isin ORDER BY as_of_date) AS before FROM filled),
+steps AS (SELECT ticker, CAST(as_of_date AS TIMESTAMP) AS at, max(isin) AS isin FROM tick WHERE ticker IS NOT NULL AND (before IS NULL OR upper(before) <> ticker) GROUP BY ALL),
+a AS (SELECT 'a' AS feed, trade_id AS row_id, upper(regexp_replace(isin, '[^A-Za-z0-9]', '', 'g')) AS isin, CAST(price AS DOUBLE) AS price, trim(currency) AS t, trim(source_system) AS s FROM trade_feed_venue_a WHERE price IS NOT NULL),
+b0 AS (SELECT id, exec_time, regexp_replace(upper(trim(ticker)), '[. ][A-Z]{{1,2}}$', '') AS ticker, CAST(gross_amount AS DOUBLE) / CAST(qty AS DOUBLE) AS price, trim(ccy) AS t, trim(source_system) AS s FROM trade_feed_venue_b WHERE gross_amount IS NOT NULL),
+b AS (SELECT 'b' AS feed, id AS row_id, isin, price, t, s FROM b0 ASOF LEFT JOIN steps ON b0.ticker = steps.ticker AND b0.exec_time >= steps.at),
+rows AS (SELECT feed, row_id, isin, price, coalesce({_ccy_any('t')}, {_ccy_any('s')}) AS ccy, coalesce({_power('t')}, {_power('s')}) AS p FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+lev AS (SELECT ccy, log10(median(usd)) AS l FROM quotes WHERE ccy IS NOT NULL GROUP BY 1),
+logs AS (SELECT r.*, CASE WHEN price > 0 THEN log10(price) + coalesce(p, 0) + l END AS lp FROM rows r LEFT JOIN lev USING (ccy) WHERE ccy IS NOT NULL),
+med AS (SELECT isin, median(lp) AS m FROM logs WHERE isin IS NOT NULL AND lp IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
+judged AS (SELECT feed, row_id, ccy AS unit_ccy, CASE WHEN p IS NOT NULL THEN p WHEN abs(lp - m - 2) < 0.5 THEN -2 WHEN abs(lp - m + 3) < 0.5 THEN 3 WHEN abs(lp - m + 6) < 0.5 THEN 6 ELSE 0 END AS pow FROM logs LEFT JOIN med USING (isin))
+SELECT feed, row_id, unit_ccy, CAST(pow AS BIGINT) AS unit_pow10 FROM judged WHERE pow <> 0"""
+
 ORACLES = {
     "p1_found": f"WITH {_SNAPSHOTS} SELECT isin, CAST(strftime(valid_from, '%Y%m%d') AS BIGINT) AS valid_from, coalesce(CAST(strftime(valid_to, '%Y%m%d') AS BIGINT), 99991231) AS valid_to FROM versions",
     "p1_history": f"WITH {_SNAPSHOTS} SELECT * FROM versions",
@@ -106,6 +146,7 @@ final_day AS (SELECT ccy, CAST(as_of_date AS TIMESTAMP) AS day, max(ROW(as_of_da
 k AS (SELECT t.*, s.best AS known FROM trades t ASOF JOIN steps s ON t.ccy = s.ccy AND t.trade_ts >= s.vis),
 b AS (SELECT k.*, f.best AS final FROM k ASOF JOIN final_day f ON k.ccy = f.ccy AND k.trade_ts >= f.day)
 SELECT trade_id, known[3] AS rate_id FROM b WHERE known[3] <> final[3]""",
+    "p5_found": _UNITS,
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT src_table, src_field, row_id, state FROM orphans",
     "p3_counts": f"WITH {_ORPHANS} SELECT src_table, src_field, period, state, count(*) AS n FROM orphans GROUP BY ALL",
 }
