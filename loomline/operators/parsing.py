@@ -183,7 +183,13 @@ def json_enrichments(docs: DataFrame, content: str = "content") -> DataFrame:
     as_map = "map<string,string>"
     items = lambda j: F.from_json(j, f"array<{as_map}>")
     top = F.from_json(c, as_map)
-    named = F.filter(F.transform(F.map_entries(top), lambda e: F.when(F.ltrim(e["value"]).startswith("{"), F.map_concat(F.create_map(F.lit("name"), e["key"]), F.map_filter(F.from_json(e["value"], as_map), lambda k, v: k != "name")))), lambda m: m.isNotNull())
+
+    def entry(e: Column) -> Column:
+        value = F.from_json(e["value"], as_map)
+        own = F.create_map(F.lit("name"), F.coalesce(value["name"], e["key"]))
+        return F.when(F.ltrim(e["value"]).startswith("{"), F.map_concat(own, F.map_filter(value, lambda k, v: k != "name")))
+
+    named = F.filter(F.transform(F.map_entries(top), entry), lambda m: m.isNotNull())
     entries = F.coalesce(items(c), items(top["entities"]), items(top["tables"]), named)
     e = docs.select(F.explode(entries).alias("m"))
     filled = lambda k: F.nullif(F.col("m")[k], F.lit(""))

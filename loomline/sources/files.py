@@ -37,7 +37,7 @@ def uploads(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".sql
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     status = F.when(~ext.isin(*[e.lower() for e in extensions]), "unsupported").when(F.col("length") > most_mb * 1024 * 1024, "too_large").otherwise("accepted")
-    return df.select("path", F.col("length").alias("size"), status.alias("status"), F.when(status == "accepted", F.decode("content", F.lit("UTF-8"))).alias("content"))
+    return df.select("path", F.col("length").alias("size"), status.alias("status"), F.when(status == "accepted", F.make_valid_utf8(F.col("content").cast("string"))).alias("content"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
