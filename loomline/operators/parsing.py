@@ -181,7 +181,8 @@ def json_enrichments(docs: DataFrame, content: str = "content") -> DataFrame:
     """
     c = F.col(content)
     as_map = "map<string,string>"
-    items = lambda j: F.from_json(j, f"array<{as_map}>")
+    objects = lambda a: F.filter(a, lambda x: F.ltrim(x).startswith("{"))
+    items = lambda j: F.transform(objects(F.from_json(j, "array<string>")), lambda x: F.from_json(x, as_map))
     top = F.from_json(c, as_map)
 
     def entry(e: Column) -> Column:
