@@ -320,3 +320,35 @@ def path_confidence(steps: DataFrame) -> DataFrame:
     bad = F.sum(F.when(F.col("__next").isNotNull() & ~S.compatible(F.col("data_type"), F.col("__next")), 1).otherwise(0))
     g = s.groupBy("path_id").agg(bad.alias("issues"), F.count("pos").alias("__n"))
     return g.select("path_id", "issues", F.greatest(F.lit(0.0), F.round(1 - 0.1 * F.col("issues") - F.when(F.col("__n") == 0, 0.3).otherwise(0.0), 6)).alias("confidence"))
+
+
+# --- lookups of the service -----------------------------------------------------------------------
+
+
+def by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node of an id; of several labels the first."""
+    return nodes.where(F.col("id") == node_id).orderBy("label").limit(1)
+
+
+def existing_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keys (source_id, target_id, type) that are edges."""
+    on = ["source_id", "target_id", "type"]
+    return keys.select(*on).distinct().join(edges.select(*on), on, "left_semi")
+
+
+#: Questions that are asked again and again, as SQL over the views `nodes` and `edges`.
+CATALOGUE = {
+    "all_tables": "SELECT id, name FROM nodes WHERE label IN ('Table', 'DataAsset')",
+    "children": "SELECT e.source_id, n.id, n.label, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.type = 'CONTAINS'",
+    "derivations": "SELECT source_id, target_id, type FROM edges WHERE type IN ('DERIVES', 'DERIVES_FROM', 'TRANSFORMS_TO')",
+    "labels": "SELECT label, count(*) AS n FROM nodes GROUP BY label",
+    "types": "SELECT type, count(*) AS n FROM edges GROUP BY type",
+}
+
+
+def chat_context(nodes: DataFrame, edges: DataFrame, question: str, entities: int = 3, depth: int = 2) -> DataFrame:
+    """(id, depth, direction): the surroundings of the first few nodes whose names the question's terms are in."""
+    spark = nodes.sparkSession
+    found = spark.range(1).select(S.terms(F.lit(question))).first()[0]  # one row
+    hits = find_by_names(nodes, found, 10).orderBy("id").limit(entities).select("id")
+    return lineage(edges, store.materialize(hits, "chat-entities"), depth)

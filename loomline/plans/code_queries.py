@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql_functions
 from ..operators import chunking as K
 from ..operators import parsing as P
+from ..sources import tables as T
 from ..store import table
 
 
@@ -122,11 +124,42 @@ def k14_cache_misses(spark, sf):
     return K.cache_misses(c, cache, 1).select("id", "file_hash")
 
 
+def sk08_chunk_names(spark, sf):
+    return T.chunk_names(K.domain_chunks(scripts(spark, sf).select("path", "content"))).select("path", F.col("chunk_no").cast("bigint").alias("chunk_no"), "object_type", "object_name")
+
+
+def sk09_object_files(spark, sf):
+    return T.manifest(T.object_files(P.classify(scripts(spark, sf).select("path", "content")))).select("kind", "n")
+
+
+def sk10_hierarchy(spark, sf):
+    o = P.header_objects(headers(spark, sf))
+    return T.hierarchy(o, P.group_children(o))
+
+
+def udf_sql_functions(spark, sf):
+    """The SQL functions over runs and files: next sequence of each run's project and time, by a scalar function."""
+    table(spark, sf, "runs").createOrReplaceTempView("runs")
+    table(spark, sf, "files").createOrReplaceTempView("files")
+    sql_functions.register(spark)
+    return spark.sql("SELECT get_next_sequence('default', '20240101_000000') AS next, (SELECT count(*) FROM find_duplicate_file('default', NULL, 'no such hash')) AS duplicates")
+
+
+def udtf_code_entities(spark, sf):
+    code(spark, sf).where("content LIKE 'def %'").createOrReplaceTempView("code_texts")
+    spark.udtf.register("code_entities", sql_functions.CodeEntities)
+    return spark.sql("SELECT c.id, e.kind, count(*) AS n FROM code_texts c, LATERAL code_entities(c.content) e GROUP BY c.id, e.kind")
+
+
 _D = "d AS (SELECT doc_id AS id, text AS content, coalesce(source, 'none') || '/' || doc_id AS path FROM documents WHERE text IS NOT NULL)"
 _K = "s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, 'etl/' || s_suppkey || '.sql' AS path FROM supplier)"
 _LIST = lambda pattern, g=1: f"coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(content, '{pattern}', {g}))), ','), '')"
 
 ORACLES = {
+    "sk08_chunk_names": f"WITH {_K} SELECT path, CAST(u.no AS BIGINT) AS chunk_no, u.t AS object_type, u.n || k AS object_name FROM s, (VALUES (0, 'VIEW', 'rep.v_'), (1, 'VIEW', 'rep.w_'), (2, 'TABLE', 'dw.f_'), (3, 'PROCEDURE', 'dw.p_')) u(no, t, n)",
+    "sk09_object_files": "SELECT u.kind, count(*) * u.m AS n FROM supplier, (VALUES ('VIEW', 2), ('TABLE', 1), ('PROCEDURE', 1)) u(kind, m) GROUP BY u.kind, u.m",
+    "sk10_hierarchy": "SELECT 's' || s_suppkey AS path, 'table/dbo.T' || s_suppkey || u.x AS folder, CAST(1 AS BIGINT) AS n FROM supplier, (VALUES (''), ('/indexes'), ('/foreign_keys')) u(x)",
+    "udf_sql_functions": "SELECT CAST(coalesce(max(sequence), 0) + 1 AS INT) AS next, CAST(0 AS BIGINT) AS duplicates FROM runs WHERE project_id = 'default' AND timestamp = '20240101_000000'",
     "ps01_sql_lineage": f"WITH {_K} SELECT path, 'dw.f_' || k AS write, 'raw.dim,raw.t_' || k || ',stg.s_' || k AS reads, 'dw.f_' || k || ',dw.log' AS writes, 'rep.v_' || k || ',rep.w_' || k AS views, 'dw.p_' || k AS routines, 'dw.p_clean' AS calls FROM s",
     "ps01_column_lineage": f"WITH {_K} SELECT path, 'double_qty' AS target, 'a.qty' AS sources, 'a.qty * 2' AS transformation FROM s UNION ALL SELECT path, 'total', 'x.amt', 'sum(x.amt)' FROM s",
     "ps02_regex_lineage": f"WITH {_D} SELECT id, nullif(regexp_extract(content, '(?i)CREATE\\s+TABLE\\s+([a-zA-Z0-9_\\.]+)', 1), '') AS write, {_LIST('(?i)CREATE\\s+(?:OR\\s+ALTER\\s+|OR\\s+REPLACE\\s+)?(?:PROCEDURE|PROC|FUNCTION)\\s+([a-zA-Z0-9_\\.]+)')} AS routines, {_LIST('(?i)CREATE\\s+(?:OR\\s+ALTER\\s+|OR\\s+REPLACE\\s+)?VIEW\\s+([a-zA-Z0-9_\\.]+)')} AS views FROM d",
@@ -145,4 +178,4 @@ ORACLES = {
     "k14_cache_misses": f"WITH {_D} SELECT id, sha256(content) AS file_hash FROM d WHERE sha256(content) NOT IN (SELECT sha256(content) FROM d WHERE path LIKE 'wiki/%')",
     "k04_domain_chunks": f"WITH {_K} SELECT path, CAST(u.no AS BIGINT) AS chunk_no, u.domain, length(replace(u.t, '#', k)) AS size FROM s, (VALUES (0, 'VIEW', 'CREATE OR REPLACE VIEW rep.v_# AS SELECT a.qty * 2 AS double_qty FROM raw.t_# a JOIN raw.dim d ON a.id = d.id;'), (1, 'VIEW', 'CREATE VIEW rep.w_# AS SELECT 1;'), (2, 'TABLE', 'CREATE TABLE dw.f_# AS WITH x AS (SELECT * FROM stg.s_#) SELECT sum(x.amt) AS total FROM x;'), (3, 'PROCEDURE', 'CREATE OR ALTER PROCEDURE dw.p_# AS INSERT INTO dw.log VALUES (1);' || chr(10) || 'EXEC dw.p_clean;')) u(no, domain, t)",
 }
-QUERIES = {n: globals()[n] for n in (*ORACLES, "ps07_python_ast", "k06_python_chunks", "k08_generic_chunks")}
+QUERIES = {n: globals()[n] for n in (*ORACLES, "ps07_python_ast", "udtf_code_entities", "k06_python_chunks", "k08_generic_chunks")}

@@ -168,6 +168,24 @@ def g_flow_downstream(spark, sf):
     return G.downstream(G.flow(fk(spark, sf)[1]), seeds(spark, "P1"), 2)
 
 
+def g24_existing_edges(spark, sf):
+    _, e = fk(spark, sf)
+    keys = table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("source_id"), F.concat(F.lit("O"), F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("target_id"), F.lit("DERIVES").alias("type"))
+    return G.existing_edges(e, keys)
+
+
+def g32_catalogue(spark, sf):
+    from ..operators import sqlapi
+
+    n, e = fk(spark, sf)
+    return sqlapi.query(spark, G.CATALOGUE["labels"], {"nodes": n, "edges": e})
+
+
+def g33_chat_context(spark, sf):
+    n, e = fk(spark, sf)
+    return G.chat_context(n.where("label = 'Nation'"), e.where("type <> 'READS_FROM'"), "what depends on nation_17 downstream?", 3, 2)
+
+
 _DOWN = """
 WITH RECURSIVE {EDGES}, hop(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM hop JOIN {edges} e ON {at} = hop.id WHERE depth < {depth})
 SELECT id, CAST(min(depth) AS INT) AS depth FROM hop WHERE depth > 0 GROUP BY id"""
@@ -195,6 +213,9 @@ ORACLES = {
     "g21_schema_rollup": "SELECT 'R' || r_regionkey AS id, r_name AS name, count(n_nationkey) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS members FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL",
     "g22_dependencies": "SELECT 'N' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_out, 1 AS n_in FROM nation",
     "g23_context_subgraph": "SELECT 'R' || r_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'CONTAINS' AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%A%' AND r_name LIKE '%A%'",
+    "g24_existing_edges": "SELECT 'C' || a.o_custkey AS source_id, 'O' || a.o_orderkey AS target_id, 'DERIVES' AS type FROM orders a JOIN (SELECT DISTINCT o_custkey, o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS k FROM orders) b ON a.o_orderkey = b.k AND a.o_custkey = b.o_custkey",
+    "g32_catalogue": f"WITH {NODES} SELECT label, count(*) AS n FROM nodes GROUP BY 1",
+    "g33_chat_context": "SELECT 'N17' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT 'R' || n_regionkey, 1, 'upstream' FROM nation WHERE n_nationkey = 17 UNION ALL SELECT 'C' || c_custkey, 1, 'downstream' FROM customer WHERE c_nationkey = 17 UNION ALL SELECT 'S' || s_suppkey, 1, 'downstream' FROM supplier WHERE s_nationkey = 17 UNION ALL SELECT 'O' || o_orderkey, 2, 'downstream' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 17",
     "g25_proposal_filter": """
 WITH p AS (SELECT c_nationkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS nk, c_custkey, c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN 1.5 ELSE 0.5 END AS confidence FROM customer)
 SELECT CASE WHEN nk NOT IN (SELECT n_nationkey FROM nation) OR c_custkey % 7 = 0 THEN 'missing_context_node' WHEN nk = c_nationkey THEN 'edge_exists' WHEN confidence > 1 THEN 'bad_confidence' END AS reason,

@@ -172,3 +172,33 @@ def read_index(spark: SparkSession, base: str) -> DataFrame:
 
 def dumps(row: dict) -> str:
     return json.dumps(row, sort_keys=True, default=str)
+
+
+def chunk_names(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """chunks with object_type and object_name as their first line tells: the folder and file name of a chunk."""
+    first = F.upper(F.substring_index(strip(F.col(chunk)), "\n", 1))
+    line = F.substring_index(strip(F.col(chunk)), "\n", 1)
+    kinds = ("FUNCTION", "TABLE", "VIEW", "PROCEDURE", "TRIGGER", "SCHEMA", "INDEX")
+    begins = lambda k: first.rlike(rf"\bCREATE\s+(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:UNIQUE\s+)?(?:TEMP(?:ORARY)?\s+)?{k}\b")
+    kind = F.coalesce(*[F.when(begins(k), F.lit(k)) for k in kinds], F.lit("MISC"))
+    name = F.regexp_extract(line, r"(?i)\b(?:FUNCTION|TABLE|VIEW|PROCEDURE|TRIGGER|SCHEMA|INDEX)\s+(?:IF\s+NOT\s+EXISTS\s+)?([^\s(;]+)", 1)
+    return chunks.withColumns({"object_type": kind, "object_name": F.when((kind != "MISC") & (name != ""), F.regexp_replace(name, r"[^\w.\-]", "_")).otherwise("unknown")})
+
+
+def hierarchy(objects: DataFrame, children: DataFrame, by: str = "path") -> DataFrame:
+    """(by, folder, n): the object tree's folders, `<kind>/<name>` for parents and `<kind>/<name>/<child kind>` below, with their files."""
+    heads = objects.where("parent IS NULL").select(by, F.concat_ws("/", F.lower("kind"), F.regexp_replace("full_name", r"[\[\]]", "")).alias("folder"), "full_name")
+    below = heads.join(children.withColumnRenamed("parent_name", "full_name"), [by, "full_name"]).select(by, F.concat_ws("/", "folder", "child_kind").alias("folder"), F.size("children").cast("bigint").alias("n"))
+    return heads.select(by, "folder", F.lit(1).cast("bigint").alias("n")).unionByName(below)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Embeddings as JSON lines, one point a line."""
+    points.write.mode("overwrite").json(path)
+
+
+def ingestion_logs(index: DataFrame, limit: int = 50, **equal: str) -> tuple[DataFrame, int]:
+    """(the newest entries that match, how many match in all)."""
+    for c, v in equal.items():
+        index = index.where(F.col(c) == v)
+    return index.orderBy(F.desc("started_at"), "ingestion_id").limit(limit), index.count()
