@@ -352,3 +352,8 @@ def chat_context(nodes: DataFrame, edges: DataFrame, question: str, entities: in
     found = spark.range(1).select(S.terms(F.lit(question))).first()[0]  # one row
     hits = find_by_names(nodes, found, 10).orderBy("id").limit(entities).select("id")
     return lineage(edges, store.materialize(hits, "chat-entities"), depth)
+
+
+def clear(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An empty graph of the same shape."""
+    return nodes.limit(0), edges.limit(0)

@@ -118,3 +118,36 @@ def replay_breaker(calls: DataFrame, failures: int = 3, cooldown: float = 60.0)
 def slices(c: Column, size: int = 64) -> Column:
     """A text in pieces of `size` characters, as a streamed answer is sent."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(size)), lambda i: F.substring(c, i, F.lit(size)))
+
+
+# --- scheduling -----------------------------------------------------------------------------------
+
+#: Priorities of work, most urgent first, and the scheduler pools they run in.
+PRIORITIES = ("CRITICAL", "NORMAL", "BATCH")
+
+
+def in_pool(spark: SparkSession, priority: str) -> None:
+    """Run this thread's next jobs in the pool of a priority (needs `spark.scheduler.mode=FAIR` to matter)."""
+    if priority not in PRIORITIES:
+        raise ValueError(f"unknown priority {priority!r}")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", priority.lower())
+
+
+def by_priority(tasks: DataFrame, priority: str = "priority", order: str = "seq") -> DataFrame:
+    """tasks in the order they should run: by priority, then as they came."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col(priority))
+    return tasks.orderBy(F.when(rank > 0, rank).otherwise(len(PRIORITIES) + 1), order)
+
+
+def snapshot_if_changed(tables: dict[str, DataFrame], base: str, stamp: str, before: str | None) -> tuple[str | None, str]:
+    """(path of a new snapshot or None, hash): a periodic trigger's step; writes only if row counts changed."""
+    from ..sources import tables as T
+
+    moved, now = T.changed(tables, before)
+    spark = next(iter(tables.values())).sparkSession
+    return (T.create_snapshot(spark, tables, base, stamp) if moved else None), now
+
+
+def recent(events: DataFrame, k: int = 10_000, at: str = "ts") -> DataFrame:
+    """The last k events, oldest first: the bounded buffer of a dashboard."""
+    return events.orderBy(F.desc(at)).limit(k).orderBy(at)

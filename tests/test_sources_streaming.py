@@ -101,3 +101,33 @@ def test_stream_windows(spark, tmp_path):
 def test_breaker_and_slices(spark):
     assert ST.breaker([(0, True), (1, True), (2, True), (3, False), (63, True), (70, False), (130, False), (131, True)]) == ["closed", "closed", "open", "open", "open", "open", "closed", "closed"]
     assert spark.range(1).select(ST.slices(F.lit("abcde"), 2)).first()[0] == ["ab", "cd", "e"]
+
+
+def test_priorities_snapshots_and_buffers(spark, tmp_path):
+    t = spark.createDataFrame([("BATCH", 1), ("CRITICAL", 2), ("other", 0), ("NORMAL", 3)], "priority string, seq int")
+    assert [r["seq"] for r in ST.by_priority(t).collect()] == [2, 3, 1, 0]
+    ST.in_pool(spark, "BATCH")
+    ST.in_pool(spark, "NORMAL")
+    with pytest.raises(ValueError):
+        ST.in_pool(spark, "x")
+    path, h = ST.snapshot_if_changed({"t": t}, f"file://{tmp_path}/s", "1", None)
+    assert path.endswith("snapshot_1") and ST.snapshot_if_changed({"t": t}, f"file://{tmp_path}/s", "2", h) == (None, h)
+    assert [r["seq"] for r in ST.recent(t, 2, "seq").collect()] == [2, 3]
+
+
+def test_names_and_tree_of_chunks(spark):
+    c = spark.createDataFrame([("\nCREATE OR REPLACE FUNCTION a.f(x int)\nAS",), ("create table t (a int)",), ("SELECT 1",), ("",), (None,)], "chunk string")
+    assert [(r["object_type"], r["object_name"]) for r in T.chunk_names(c).collect()][:4] == [("FUNCTION", "a.f"), ("TABLE", "t"), ("MISC", "unknown"), ("MISC", "unknown")]
+
+
+def test_table_functions(spark):
+    from loomline.functions import sql_functions
+
+    spark.createDataFrame([("r1", "p", "s", 4)], "id string, project_id string, timestamp string, sequence int").createOrReplaceTempView("runs")
+    spark.createDataFrame([("f1", "p", None, "a.sql", "h", 1), ("f2", "p", None, "a.sql", "g", 2), ("f3", "p", "r", "a.sql", "h", 3)], "id string, project_id string, repository_id string, relative_path string, file_hash string, created_at int").createOrReplaceTempView("files")
+    sql_functions.register(spark)
+    assert spark.sql("SELECT get_next_sequence('p', 's'), get_next_sequence('p', 'other')").first()[:] == (5, 1)
+    assert spark.sql("SELECT id FROM find_duplicate_file('p', NULL, 'h')").collect() == [("f1",)]
+    assert spark.sql("SELECT id FROM find_previous_file_version('p', NULL, 'a.sql')").collect() == [("f2",)]
+    assert spark.sql("SELECT kind, name FROM code_entities('import os')").collect() == [("import", "os")]
+    assert spark.sql("SELECT chunk FROM code_chunks('sql', 'SELECT 1; SELECT 2')").count() == 2
