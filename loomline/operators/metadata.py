@@ -51,11 +51,31 @@ def detect_links(refs: DataFrame, least: int = 1) -> DataFrame:
     return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select(F.col("a").alias("repo_a"), F.col("b").alias("repo_b"), "shared", F.round(F.col("shared") / small, 6).alias("confidence"))
 
 
+#: Fields of a project's context that are lists of strings, and its formats.
+CONTEXT_LISTS = ("source_entities", "target_entities", "related_projects", "domain_hints")
+CONTEXT_FORMATS = ("text", "markdown")
+
+
 def context_errors(c: Column) -> Column:
-    """Array of what is wrong with a project's JSON context: unreadable, or fields of the wrong type."""
-    kind = lambda f: F.schema_of_variant(F.try_parse_json(F.get_json_object(c, f"$.{f}")))
-    wrong = [F.when(F.get_json_object(c, f"$.{f}").isNotNull() & ~F.coalesce(kind(f), F.lit("STRING")).startswith(t), F.lit(f"{f}: {t.lower()} expected")) for f, t in (("linked_projects", "ARRAY"), ("tags", "ARRAY"), ("settings", "OBJECT"))]
-    return F.when(F.try_parse_json(c).isNull(), F.array(F.lit("unreadable"))).otherwise(F.filter(F.array(*wrong), lambda x: x.isNotNull()))
+    """Array of what is wrong with a project's JSON context: unreadable, or fields of the wrong type or value."""
+    v = F.try_parse_json(c)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    wrong = [
+        F.when(kind("description") != "STRING", F.lit("description: string expected")),
+        F.when(kind("format").isNotNull() & ~F.coalesce(F.try_variant_get(v, "$.format", "string"), F.lit("")).isin(*CONTEXT_FORMATS), F.lit("format: text or markdown expected")),
+        *[F.when(~kind(f).startswith("ARRAY"), F.lit(f"{f}: array expected")).when(~kind(f).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(f"{f}: strings expected")) for f in CONTEXT_LISTS],
+    ]
+    return F.when(v.isNull(), F.array(F.lit("unreadable"))).otherwise(F.filter(F.array(*wrong), lambda x: x.isNotNull()))
+
+
+def context_block(c: Column) -> Column:
+    """A project's context for a prompt, as tags; empty without a description, and without the tags that have nothing."""
+    text = lambda f: F.nullif(F.get_json_object(c, f"$.{f}"), F.lit(""))
+    listed = lambda f: F.nullif(F.array_join(F.from_json(F.get_json_object(c, f"$.{f}"), "array<string>"), ", "), F.lit(""))
+    tag = lambda f, body: F.concat(F.lit(f"  <{f}>"), body, F.lit(f"</{f}>"))
+    fields = ("source_entities", "target_entities", "domain_hints")
+    block = F.concat_ws("\n", F.lit("<project_context>"), tag("description", text("description")), tag("format", text("format")), *[tag(f, listed(f)) for f in fields], F.lit("</project_context>"))
+    return F.when(text("description").isNotNull(), block).otherwise("")
 
 
 # --- files ----------------------------------------------------------------------------------------

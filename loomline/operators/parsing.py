@@ -23,7 +23,7 @@ ROUTINE = rf"(?i)CREATE\s+{OR}(?:PROCEDURE|PROC|FUNCTION)\s+{NAME}"
 VIEW = rf"(?i)CREATE\s+{OR}VIEW\s+{NAME}"
 TABLE = rf"(?i)CREATE\s+TABLE\s+{NAME}"
 #: Calls that are no procedures.
-BUILT_IN_CALLS = ("coalesce", "count", "sum", "avg", "min", "max", "cast")
+BUILT_IN_CALLS = ("count", "sum", "avg", "min", "max", "cast", "convert")
 
 
 def find(c: Column, pattern: str, group: int = 1) -> Column:
@@ -230,6 +230,7 @@ def classify(files: DataFrame, content: str = "content") -> DataFrame:
         "name": F.when(n == 3, F.try_element_at(parts, F.lit(3))).when(n == 2, F.try_element_at(parts, F.lit(2))).otherwise(parts[0]), "statement": F.col("__o.statement")}).drop("__c", "__o")
 
 
+#: Fixed value: the comment before each object of a scripted database.
 HEADER = r"/\*{6}\s+Object:\s+(\w+)\s+(\[[\w\.\[\]]+\])\s+Script Date:([^\*]+)\*{6}/"
 #: Object types of script headers.
 HEADER_TYPES = {

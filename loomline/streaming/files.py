@@ -83,14 +83,15 @@ def ingest_batches(stream: DataFrame, path: str, checkpoint: str, parse: Callabl
 # --- circuit breaker ------------------------------------------------------------------------------
 
 
-def breaker(outcomes: Iterator[tuple[float, bool]], failures: int = 3, cooldown: float = 60.0) -> list[str]:
+def breaker(outcomes: Iterator[tuple[float, bool]], failures: int = 1, cooldown: float = 60.0) -> list[str]:
     """State after each (time, rate_limited) outcome: closed, open, half_open.
 
-    `failures` rate-limit errors in a row open the circuit; after the cooldown one trial is let through.
+    `failures` rate-limit errors in a row open the circuit; calls are refused until the cooldown is over, then
+    one trial is let through, which closes the circuit or opens it again.
     """
     state, bad, since, out = "closed", 0, 0.0, []
     for at, limited in outcomes:
-        if state == "open" and at - since >= cooldown:
+        if state == "open" and at - since > cooldown:
             state = "half_open"
         if state != "open":
             if limited:
@@ -103,7 +104,7 @@ def breaker(outcomes: Iterator[tuple[float, bool]], failures: int = 3, cooldown:
     return out
 
 
-def replay_breaker(calls: DataFrame, failures: int = 3, cooldown: float = 60.0) -> DataFrame:
+def replay_breaker(calls: DataFrame, failures: int = 1, cooldown: float = 60.0) -> DataFrame:
     """calls (service, at, limited) with state; the fold is over one service's calls of one day, so groups stay bounded."""
 
     def run(pdf):

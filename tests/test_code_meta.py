@@ -70,8 +70,10 @@ def test_registration(spark):
     old = spark.createDataFrame([("1", "p", None, "a.sql", "h1", datetime(2024, 1, 1)), ("2", "p", None, "a.sql", "h2", datetime(2024, 1, 2))], schema)
     new = spark.createDataFrame([("3", "p", None, "a.sql", "h1", None), ("4", "p", None, "a.sql", "h3", None), ("5", "p", "r", "a.sql", "h1", None)], schema)
     assert {r["id"]: (r["registration"], r["supersedes"]) for r in M.register(old, new).collect()} == {"3": ("duplicate", None), "4": ("new_version", "2"), "5": ("new_file", None)}
-    bad = spark.createDataFrame([('{"tags": [1]}',), ('{"tags": "x"}',), ("oops",)], "c string")
-    assert [len(r[0]) for r in bad.select(M.context_errors(F.col("c"))).collect()] == [0, 1, 1]
+    texts = ['{"description": "d", "domain_hints": ["a", "b"], "format": "text"}', '{"description": 1, "format": "x"}', '{"source_entities": "x", "domain_hints": [1]}', "oops", '{"domain_hints": []}']
+    c = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = c.select(F.size(M.context_errors(F.col("c"))), M.context_block(F.col("c"))).collect()
+    assert [r[0] for r in got] == [0, 2, 2, 1, 0] and got[0][1] == "<project_context>\n  <description>d</description>\n  <format>text</format>\n  <domain_hints>a, b</domain_hints>\n</project_context>" and got[4][1] == ""
 
 
 def test_sql_surface(spark):

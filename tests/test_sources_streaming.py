@@ -99,7 +99,8 @@ def test_stream_windows(spark, tmp_path):
 
 
 def test_breaker_and_slices(spark):
-    assert ST.breaker([(0, True), (1, True), (2, True), (3, False), (63, True), (70, False), (130, False), (131, True)]) == ["closed", "closed", "open", "open", "open", "open", "closed", "closed"]
+    assert ST.breaker([(0, True), (1, True), (2, True), (3, False), (63, True), (70, False), (130, False), (131, True)], failures=3) == ["closed", "closed", "open", "open", "open", "open", "closed", "closed"]
+    assert ST.breaker([(0, True), (60, False), (61, False), (62, True)]) == ["open", "open", "closed", "open"]
     assert spark.range(1).select(ST.slices(F.lit("abcde"), 2)).first()[0] == ["ab", "cd", "e"]
 
 
