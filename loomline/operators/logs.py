@@ -134,11 +134,11 @@ SQL_WORDS = ("select", "from", "where", "join", "left", "right", "inner", "outer
 
 
 def answer_quality(answers: DataFrame) -> DataFrame:
-    """(id, accuracy, citation, hallucination). answers: (id, answer, entities, concepts, files, contexts)."""
+    """(id, accuracy, citation, hallucination, completeness). answers: (id, answer, entities, concepts, files, contexts)."""
     a = F.col("answer")
     words = F.array_distinct(F.regexp_extract_all(F.lower(a), F.lit(r"(?<![\p{L}\p{N}_])[a-z_]{3,}(?![\p{L}\p{N}_])"), F.lit(0)))
     from_context = F.flatten(F.transform("contexts", lambda c: F.regexp_extract_all(c, F.lit(r"(?i)(?:FROM|JOIN)\s+(\w+)"), F.lit(1))))
     allowed = F.transform(F.concat("entities", from_context), F.lower)
     strange = F.filter(words, lambda w: ~F.array_contains(allowed, w) & ~w.isin(*SQL_WORDS) & (F.length(w) > 3))
     cited = F.contains(a, F.lit("```")) | F.exists("files", lambda f: (f != "") & F.contains(a, f))
-    return answers.select("id", F.round(0.6 * share_named(a, F.col("entities")) + 0.4 * share_named(a, F.col("concepts")), 6).alias("accuracy"), cited.cast("double").alias("citation"), F.round(F.when(F.size(words) > 0, F.size(strange) / F.size(words)).otherwise(0.0), 6).alias("hallucination"))
+    return answers.select("id", F.round(0.6 * share_named(a, F.col("entities")) + 0.4 * share_named(a, F.col("concepts")), 6).alias("accuracy"), cited.cast("double").alias("citation"), F.round(F.when(F.size(words) > 0, F.size(strange) / F.size(words)).otherwise(0.0), 6).alias("hallucination"), F.round(F.when(F.size("entities") == 0, 1.0).otherwise(share_named(a, F.col("entities"))), 6).alias("completeness"))

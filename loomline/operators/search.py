@@ -187,3 +187,32 @@ def retrieve(points: DataFrame, vector: Sequence[float], k: int = 5, budget: int
     best = dense(points, vector, k)
     ranked = best.join(points.select("id", "text"), "id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over k rows
     return trim_context(ranked, budget).select("id", "score", "rank", F.substring("text", 1, 200).alias("source"))
+
+
+#: Kinds of evidence that an answer may cite.
+EVIDENCE = ("graph", "chunk", "doc")
+
+
+#: Entity types of evidence URNs are qdrant-chunk and neo4j-node.
+def chunk_evidence(hits: DataFrame, collection: str, project: str, most: int = 1000) -> DataFrame:
+    """(id, type, note, block) of retrieved chunks (id, text, file_path, chunk_type, project_id): each block names its URN, file and type."""
+    urn = S.urn(F.lit("qdrant-chunk"), F.coalesce("project_id", F.lit(project)), F.concat(F.lit(f"{collection}/"), F.col("id").cast("string")))
+    path, kind = F.coalesce("file_path", F.lit("unknown")), F.coalesce("chunk_type", F.lit("unknown"))
+    block = F.concat_ws("\n", F.concat(F.lit("["), urn, F.lit("]")), F.concat(F.lit("File: "), path), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Content: "), F.substring(F.coalesce("text", F.lit("")), 1, most)))
+    return hits.select(urn.alias("id"), F.lit("chunk").alias("type"), F.concat(F.lit("Vector match from "), path).alias("note"), block.alias("block"))
+
+
+def node_evidence(nodes: DataFrame, project: str) -> DataFrame:
+    """(id, type, note, block) of graph nodes (id, label, name)."""
+    name, label = F.coalesce("name", "id", F.lit("unknown")), F.coalesce("label", F.lit("Node"))
+    urn = S.urn(F.lit("neo4j-node"), F.lit(project), F.concat_ws("/", label, name))
+    return nodes.select(urn.alias("id"), F.lit("graph").alias("type"), F.concat(F.lit("Graph node "), name).alias("note"), F.concat(F.lit("["), urn, F.lit("]\nNode: "), name, F.lit(" ("), label, F.lit(")")).alias("block"))
+
+
+def resolve_sources(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(id, type, note) of cited evidence with a valid URN and a known kind (its own or the retrieved one's); all retrieved evidence if none is left."""
+    r = retrieved.groupBy("id").agg(F.first("type", ignorenulls=True).alias("__type"), F.first("note", ignorenulls=True).alias("__note"))
+    j = cited.where(S.is_urn(F.col("id"))).join(r, "id", "left")
+    kind = F.when(F.col("type").isin(*EVIDENCE), F.col("type")).otherwise(F.col("__type"))
+    good = store.materialize(j.select("id", kind.alias("type"), F.coalesce("note", "__note", F.lit("Relevant evidence")).alias("note")).where(F.col("type").isin(*EVIDENCE)), "sources")
+    return good if good.limit(1).count() else retrieved.select("id", "type", "note")

@@ -334,7 +334,7 @@ ORACLES = {
     "a15_data_hash": "SELECT md5('{' || string_agg('\"' || event_type || '\":' || n, ',' ORDER BY event_type) || '}') AS hash FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
     "a16_progress": "WITH s AS (SELECT run_id AS ingestion_id, count(*) AS files, count(*) FILTER (WHERE status IN ('processed', 'error', 'skipped')) AS done, count(*) FILTER (WHERE status = 'error') AS errors FROM (SELECT DISTINCT id, run_id, status FROM files WHERE run_id IS NOT NULL) GROUP BY 1) SELECT *, CAST(round(100 * done / files) AS INT) AS percentage, CASE WHEN done < files THEN 'running' WHEN errors = files THEN 'failed' WHEN errors > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM s",
     "a17_ir_metrics": "WITH r AS (SELECT q.vec_id AS query_id, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), t AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT query_id, round(count(*) FILTER (WHERE hit) / 5, 6) AS precision, round(count(*) FILTER (WHERE hit) / any_value(n), 6) AS recall, round(coalesce(1 / min(rank) FILTER (WHERE hit), 0), 6) AS rr, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit), 0) / list_sum(list_transform(range(1, CAST(least(any_value(n), 5) AS INT) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM r JOIN t USING (query_id) WHERE rank <= 5 GROUP BY query_id",
-    "a18_answer_metrics": f"WITH d AS (SELECT doc_id AS id, lower(text) AS a, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z_]{{3,}}$'))) AS w FROM documents WHERE text IS NOT NULL) SELECT id, round(0.3 * (CAST(contains(a, 'trade_feed') AS INT) + CAST(contains(a, 'isin') AS INT)) + 0.4 * (CAST(contains(a, 'audit') AS INT) + CAST(contains(a, 'weekend') AS INT) + CAST(contains(a, 'mapping') AS INT)) / 3, 6) AS accuracy, CAST(contains(text, '```') OR contains(text, 'raw_market.price_tick') AS DOUBLE) AS citation, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 3 AND x NOT IN ('trade_feed', 'isin', 'counterparty', 'portfolio', {_SQLW}))) / len(w) ELSE 0 END, 6) AS hallucination FROM d",
+    "a18_answer_metrics": f"WITH d AS (SELECT doc_id AS id, lower(text) AS a, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z_]{{3,}}$'))) AS w FROM documents WHERE text IS NOT NULL) SELECT id, round(0.3 * (CAST(contains(a, 'trade_feed') AS INT) + CAST(contains(a, 'isin') AS INT)) + 0.4 * (CAST(contains(a, 'audit') AS INT) + CAST(contains(a, 'weekend') AS INT) + CAST(contains(a, 'mapping') AS INT)) / 3, 6) AS accuracy, CAST(contains(text, '```') OR contains(text, 'raw_market.price_tick') AS DOUBLE) AS citation, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 3 AND x NOT IN ('trade_feed', 'isin', 'counterparty', 'portfolio', {_SQLW}))) / len(w) ELSE 0 END, 6) AS hallucination, (CAST(contains(a, 'trade_feed') AS INT) + CAST(contains(a, 'isin') AS INT)) / 2 AS completeness FROM d",
     "sk14_prometheus": "SELECT '# HELP events_total Events' AS line UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type",
     "sk11_statement_texts": "SELECT doc_id AS id, len(list_filter(string_split(text, ';'), lambda s: regexp_matches(s, '[^ \\t\\n\\v\\f\\r]'))) AS statements FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^; \\t\\n\\v\\f\\r]')",
     "st04_debounce": "WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 HOURS THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id AS key, min(ts) AS batch_start, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, k",

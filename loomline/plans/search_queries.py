@@ -116,6 +116,19 @@ def v19_retrieve(spark, sf):
     return V.retrieve(p, vector(spark, sf, 5), 5).select("id", "score", F.col("rank").cast("bigint").alias("rank"), F.length("source").alias("chars"))
 
 
+def v20_chunk_evidence(spark, sf):
+    hits = docs(spark, sf).select("id", "text", F.col("source").alias("file_path"), F.col("lang").alias("chunk_type"), F.lit(None).cast("string").alias("project_id"))
+    return V.chunk_evidence(hits, "code", "tpch").select("id", "note", F.md5("block").alias("block"))
+
+
+def v21_resolve_sources(spark, sf):
+    d = docs(spark, sf)
+    urn = S.urn(F.lit("qdrant-chunk"), F.lit("tpch"), F.concat(F.lit("code/"), F.col("id").cast("string")))
+    cited = d.select(F.when(F.col("source") == "wiki", "no urn").otherwise(urn).alias("id"), F.when(F.col("lang") == "en", "other").otherwise("doc").alias("type"), F.when(F.col("lang") == "de", "cited").alias("note"))
+    retrieved = d.where("source = 'web_crawl'").select(urn.alias("id"), F.lit("chunk").alias("type"), F.lit("found").alias("note"))
+    return V.resolve_sources(cited, retrieved)
+
+
 def s_terms(spark, sf):
     return docs(spark, sf).select("id", F.array_join(S.terms(F.col("text")), "|").alias("terms"))
 
@@ -153,6 +166,8 @@ qt AS (SELECT term, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower('
 q AS (SELECT ('0x' || right(md5(term), 5))::BIGINT % 262144 AS idx, max(2.5 * f / (f + 1.5)) AS qw FROM qt GROUP BY 1)""".replace("{words}", WORDS)
 
 ORACLES = {
+    "v20_chunk_evidence": f"WITH {_D} SELECT 'urn:li:qdrant-chunk:tpch:code/' || id AS id, 'Vector match from ' || coalesce(source, 'unknown') AS note, md5('[urn:li:qdrant-chunk:tpch:code/' || id || ']' || chr(10) || 'File: ' || coalesce(source, 'unknown') || chr(10) || 'Type: ' || coalesce(lang, 'unknown') || chr(10) || 'Content: ' || substring(text, 1, 1000)) AS block FROM d",
+    "v21_resolve_sources": f"WITH {_D} SELECT 'urn:li:qdrant-chunk:tpch:code/' || id AS id, CASE WHEN lang = 'en' THEN 'chunk' ELSE 'doc' END AS type, CASE WHEN lang = 'de' THEN 'cited' WHEN source = 'web_crawl' THEN 'found' ELSE 'Relevant evidence' END AS note FROM d WHERE source IS DISTINCT FROM 'wiki' AND (lang IS DISTINCT FROM 'en' OR source = 'web_crawl')",
     "v01_collection_info": "SELECT count(*) AS points, CAST(max(len(embedding)) AS BIGINT) AS dimensions FROM embeddings",
     "v02_upsert_points": "SELECT vec_id AS id, CASE WHEN label = 3 THEN -1 ELSE label END AS label FROM embeddings",
     "v03_dense_topk": f"SELECT vec_id AS id, {_cos(0)} AS score FROM embeddings e ORDER BY score DESC, id LIMIT 10",
