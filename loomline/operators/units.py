@@ -7,6 +7,12 @@ checked for consistency, and amounts are converted by an equi-join on (source un
 The graph has a few nodes for each currency and scale, whatever the number of rows, so its composed table is
 always broadcast. Reading units is a projection of built-in functions. Amounts without a stated unit are
 judged against the median unit price of their instrument, an aggregate with map-side partials.
+
+Defined cases: rows with a null amount or without a readable currency anywhere have no unit; a stated unit
+holds whatever the prices say; without one, rows without instrument or quantity, with amounts of zero or less,
+and rows of instruments with fewer than three prices count as single units; empty texts state nothing, texts
+of any length are read whole; repeated rows come out as often as they come; empty tables give no rows;
+columns that are named like results are ignored.
 """
 
 from __future__ import annotations

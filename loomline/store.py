@@ -55,8 +55,11 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: only a scan of fewer splits than cores is shuffled,
     so that CPU-heavy maps over it use them all. Larger inputs stay where they are."""
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString():
+        return df  # it has a shuffle already, and asking for its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
