@@ -40,11 +40,13 @@ REPLICATED = 0.5
 #: Endings of host names.
 ENDINGS = "invalid|example|test|com|net|org|io|info|biz|shop"
 URL = re.compile(rf"(?:h(?:tt|xx)ps?://|www[\[.]|\[\.\])\S*|\b[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b\S*", re.I)
+HOSTED = re.compile(rf"://|\[\.\]|[wW][\[.]|\.(?i:{ENDINGS})\b")  # what any address has, found quickly
 SEPARATORS = re.compile(r"[,;|·•»\t]|\s[-–@]\s")
 OWN = re.compile(rf"[-*]?[`(]*(?:[a-z]+(?:_[a-z]+)+[\w.]*|[a-z_]+\.(?!(?:{ENDINGS})\b)[a-z_]+)[,;`)]*")
 CODE = re.compile(r'--|/\*|\*/|#|//|def |return\b|select\b|from\b|where\b|create\b|insert\b|import\b|\);?$|\w+\s*=\s*|"""|\}|\{|>>>|group by|order by|join ', re.I)
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 CONTENTS = re.compile(r"\.{3,}\s*\d+$")
+DIGITS = re.compile(r"\d+")
 ENDED = re.compile(r"[.!?…:\"”)]$")
 INVISIBLE = re.compile("[\\ufeff\\u200b-\\u200d\\u2060]")
 ANCHOR = re.compile(r"<a\s[^>]{0,2000}>", re.I)
@@ -74,13 +76,13 @@ def kind(u: str) -> tuple[str, int]:
     if CONTENTS.search(u) or u[:8].lower() == "contents":
         return "contents", 1
     words = u.split()
-    own = sum(1 for w in words if OWN.fullmatch(w))
+    own = sum(1 for w in words if ("_" in w or "." in w) and OWN.fullmatch(w))
     if own >= 0.5 * sum(1 for w in words if w not in ("-", "*", "|")):
         return "own", 1
-    urls = URL.findall(u)
+    urls = URL.findall(u) if HOSTED.search(u) else []
     if not urls and len(u) >= 64 and any(len(w) >= 64 for w in words):
         return "blob", 1
-    if sum(map(str.isdigit, u)) > 0.4 * len(u):
+    if len(u) - len(DIGITS.sub("", u)) > 0.4 * len(u):
         return "numbers", 1
     items = len(SEPARATORS.findall(u)) + 1
     ended = bool(ENDED.search(u))
@@ -128,8 +130,10 @@ def phrases(documents: DataFrame) -> DataFrame:
     slim = store.spread(documents.where("text IS NOT NULL").select("doc_id", "text", "project_id", "source"))
     words = slim.select("doc_id", host.alias("host"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
     long = words.where(F.size("w") >= SHINGLE)
+    # words are hashed once, phrases as runs of hashes
+    numbers = long.select("doc_id", "host", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice("w", i, SHINGLE))))
-    return long.select("doc_id", "host", F.explode(hashed).alias("phrase"))
+    return numbers.select("doc_id", "host", F.explode(hashed).alias("phrase"))
 
 
 def pages(documents: DataFrame) -> DataFrame:
