@@ -35,28 +35,28 @@ def check_plan(spark: SparkSession, sql: str) -> None:
         raise RefusedSQL(f"{name} is no query")
 
 
-def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, timeout: float | None = None) -> DataFrame:
-    """The query's result over the given tables, in a session of its own so that views of other queries stay apart.
-
-    With a timeout, actions started on the result within it are cancelled when it is over.
-    """
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The query's result over the given tables, in a session of its own so that views of other queries stay apart."""
     check_words(sql)
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     check_plan(own, sql)
     rows_of = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, df in (tables or {}).items():
         DataFrame(rows_of(own._jsparkSession, df._jdf.logicalPlan()), own).createOrReplaceTempView(name)
-    result = own.sql(sql)
-    if timeout is not None:
-        tag = f"query-{uuid.uuid4().hex}"
-        spark.sparkContext.addJobTag(tag)
-        timer = threading.Timer(timeout, lambda: spark.sparkContext.cancelJobsWithTag(tag))
-        timer.daemon = True
-        timer.start()
-    return result
-
-
-def rows(result: DataFrame, limit: int = 10_000) -> dict:
-    """columns, rows and row_count of a result, at most `limit` rows."""
-    got = result.limit(limit).collect()
+    return own.sql(sql)
+
+
+def rows(result: DataFrame, limit: int = 10_000, timeout: float = 30.0) -> dict:
+    """columns, rows and row_count of a result, at most `limit` rows; its jobs alone are cancelled when the time is over."""
+    context = result.sparkSession.sparkContext
+    tag = f"query-{uuid.uuid4().hex}"
+    timer = threading.Timer(timeout, lambda: context.cancelJobsWithTag(tag))
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        got = result.limit(limit).collect()
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
     return {"columns": result.columns, "rows": [list(r) for r in got], "row_count": len(got)}

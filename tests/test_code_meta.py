@@ -83,7 +83,10 @@ def test_sql_surface(spark):
         with pytest.raises(Q.RefusedSQL):
             Q.query(spark, sql, t)
     assert "people" not in [x.name for x in spark.catalog.listTables()]
-    assert Q.query(spark, "SELECT count(*) AS n FROM people", t, timeout=60).first()["n"] == 2
+    slow = Q.query(spark, "SELECT count(*) AS n FROM range(100000000000) WHERE hash(id) = 1")
+    with pytest.raises(Exception, match="(?i)cancel"):
+        Q.rows(slow, timeout=2)
+    assert not spark.sparkContext.getJobTags() and Q.rows(Q.query(spark, "SELECT count(*) AS n FROM people", t))["rows"] == [[2]]
 
 
 def test_logs_and_quality(spark):
