@@ -38,13 +38,17 @@ BACKUP = r"(?:\.(?:bak|orig|old|tmp|backup|save|swp)|~)+$"
 COPY = r"(?:[ _\-]*\(\d+\)|[ _\-]+(?:copy|kopie|copia|copie|kopia)[ _\-]*\(?\d*\)?)+(?=(?:\.[a-z0-9]+)?$)"
 COPY_OF = r"(^|/)(?:copy of|kopie von|copia de|copie de) "
 ACCENTS = ("àáâãäåāçćčèéêëēęìíîïīñńòóôõöøōùúûüūýÿžźżšśł", "aaaaaaaccceeeeeeiiiiinnooooooouuuuuyyzzzssl")
+#: A whole SHA-256 in base64 (url-safe too): 43 characters, not all of them hex digits, and perhaps padding.
+BASE64 = r"^\s*(?:[sS][hH][aA][-_ ]?256(?:[:=\s]+|-))?+(?=[0-9a-fA-F-]*[G-Zg-z+/_])([A-Za-z0-9+/_-]{43})=?\s*$"
 #: Agreement levels are weighed as if so many pairs had been seen of each beforehand.
 PRIOR = 1.0
 
 
 def digest_of(c: Column) -> Column:
     bare = F.regexp_replace(F.lower(F.trim(c)), r"^\s*(?:sha[-_ ]?256|0x)[:=\s]*", "")
-    digits = F.regexp_replace(bare, "[^0-9a-f]", "")
+    coded = F.regexp_extract(c, BASE64, 1)
+    decoded = F.lower(F.hex(F.unbase64(F.concat(F.translate(coded, "-_", "+/"), F.lit("=")))))
+    digits = F.when(coded != "", decoded).otherwise(F.regexp_replace(bare, "[^0-9a-f]", ""))
     return F.when(F.length(digits) >= 8, digits)
 
 

@@ -1,3 +1,4 @@
+import base64
 import random
 from datetime import datetime, timedelta
 
@@ -38,6 +39,23 @@ def test_digests_and_paths(spark):
     assert [r[0] for r in df.select(L.path_of(F.col("p"), F.col("f"))).collect()] == ["a/b.sql", "a/b.sql", None, None]
 
 
+def test_base64_digests(spark):
+    plain = base64.b64encode(bytes.fromhex(H)).decode()
+    dashed = base64.urlsafe_b64encode(bytes.fromhex(H)).decode()
+    assert plain != dashed
+    forms = [plain, dashed, plain[:-1], f" {plain}\n", f"sha256:{plain}", f"SHA256-{plain}"]
+    df = spark.createDataFrame([(f,) for f in forms], "h string")
+    assert [r[0] for r in df.select(L.digest_of(F.col("h"))).collect()] == [H] * len(forms)
+    odd = f"0X{plain[2:]}"  # begins like the prefix of hex digits
+    whole = [(odd, base64.b64decode(odd).hex()), (H[:43], H[:43]), (H[:44], H[:44]), (f"sha256-{H[:36]}", H[:36]), ("-".join(H[i : i + 2] for i in range(0, 30, 2))[:43], H[:29])]
+    df = spark.createDataFrame(whole, "h string, want string")
+    assert [r[0] for r in df.select(L.digest_of(F.col("h"))).collect()] == [want for _, want in whole]
+    # a twin in either order is a repeat, and another file's digest is none
+    data = [("a", "p", "x/load_rates_10.sql", H, 0), ("b", "p", "x/load_rates_10.sql", plain, 1), ("c", "p", "x/load_rates_10.sql", dashed, 2), ("d", "p", "y/other_thing_9.sql", base64.b64encode(bytes.fromhex(G)).decode(), 3), ("e", "p", "y/other_thing_9.sql", G, 4)]
+    for batches in (1, 2):
+        assert found(spark, data, batches) == [("a", "b"), ("a", "c"), ("d", "e")]
+
+
 def test_cases_and_non_cases(spark):
     data = [
         ("a", "p", "x/load_rates_10.sql", H, 0), ("b", "p", "x/load_rates_10.sql", H, 1), ("c", "p", "x/laod_rates_10.sql", H[:20], 2), ("d", "p", "upload/x/load_rtes_10.sql", H[:30] + "0" + H[31:], 3),
