@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -37,11 +38,15 @@ LEAST_ITEMS = 10
 DENSE = 0.5
 NEARLY = 0.45
 REPLICATED = 0.5
+#: A run of words is keywords if so few of WINDOW neighbouring words are distinct; shorter runs aren't judged.
+WINDOW = 24
+LEAST_RUN = 9
+VARIED = 0.55
 #: Endings of host names.
 ENDINGS = "invalid|example|test|com|net|org|io|info|biz|shop"
 URL = re.compile(rf"(?:h(?:tt|xx)ps?://|www[\[.]|\[\.\])\S*|\b[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b\S*", re.I)
 HOSTED = re.compile(rf"://|\[\.\]|[wW][\[.]|\.(?i:{ENDINGS})\b")  # what any address has, found quickly
-SEPARATORS = re.compile(r"[,;|·•»\t]|\s[-–@]\s")
+SEPARATORS = re.compile(r"[,;|·•»\t]|\s[-–@/]\s")
 OWN = re.compile(rf"[-*]?[`(]*(?:[a-z]+(?:_[a-z]+)+[\w.]*|[a-z_]+\.(?!(?:{ENDINGS})\b)[a-z_]+)[,;`)]*")
 CODE = re.compile(r'--|/\*|\*/|#|//|def |return\b|select\b|from\b|where\b|create\b|insert\b|import\b|\);?$|\w+\s*=\s*|"""|\}|\{|>>>|group by|order by|join ', re.I)
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
@@ -63,6 +68,21 @@ def units(text: str) -> list[str]:
     return [u for line in t.split("\n") if (u := line.strip())]
 
 
+def repeated(words: list[str]) -> int:
+    """How many phrases (two words) a run of words repeats over and over; 0 if it is as varied as a sentence.
+
+    Distinct words are counted in windows, as their share falls with the length of any text.
+    """
+    if len(words) < LEAST_RUN:
+        return 0
+    folded = [w.lower() for w in words]
+    size = min(WINDOW, len(folded))
+    starts = {*range(0, len(folded) - size + 1, size), len(folded) - size}
+    if sum(len(set(folded[i : i + size])) for i in starts) > VARIED * size * len(starts):
+        return 0
+    return max(1, sum(n for n in Counter(folded).values() if n > 1) // 2)
+
+
 def kind(u: str) -> tuple[str, int]:
     """What a unit is, and how many items it lists."""
     if u.endswith("。"):
@@ -91,6 +111,8 @@ def kind(u: str) -> tuple[str, int]:
         return ("sentence", 1) if ended and beside >= 6 * len(urls) else ("links", max(items, len(urls)))
     if any(len(w) > 40 for w in words):
         return "blob_like", 1
+    if again := repeated(words):
+        return "keywords", max(items, again)
     if ended and (len(words) >= 6 or (own and len(words) >= 4)) and len(words) >= 3 * items:
         return "sentence", 1
     if len(words) >= 9 and len(words) >= 5 * items:

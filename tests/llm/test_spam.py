@@ -42,3 +42,27 @@ def test_replicated_phrases_count_hosts(spark):
     df = spark.createDataFrame([(1, t, "s", "a"), (2, t, "s", "b"), (3, t.replace("broker", "stock").replace("loan", "gold").replace("tax", "sql").replace("fx", "nav"), "s", "a")], "doc_id bigint, text string, source string, project_id string")
     got = {r["doc_id"]: r["replicated"] for r in spam.pages(df).collect()}
     assert got[1] == 1.0 and got[2] == 1.0 and got[3] == 0.0
+
+
+RUNS = {
+    "blanks": "kurs daten " * 20,
+    "blanks and fillers": "hedge robot free HEDGE ROBOT now hedge robots top side discount hedge robot side side new hedgerobot hedge robot side online " * 3,
+    "ended": PROSE + "\n" + "tax alert venti cash account mapping tax alert venti cash " * 10 + "tax alert.",
+    "slashes": " / ".join(["stock converter", "tax formatter", "portfolio export", "cheap tax formatter"] * 5),
+}
+VARIED = {
+    "said twice": "El turno de noche quiere saber qué script cambió file_hash, porque el turno de noche lo pidió. " * 5,
+    "without marks": " ".join(f"then the desk{i} moved row{i} to the zone{i} and the check{i} of it came back late" for i in range(30)),
+    "paths": PROSE + "The split is 3/4 to 1/4 and either/or, see reports/daily/fx for it. " * 3,
+}
+
+
+def test_runs_without_marks(spark):
+    for name, text in RUNS.items():
+        listed, whole, items = spam.measure(text)
+        assert items >= spam.LEAST_ITEMS and listed > 0.5 * whole, name
+    for name, text in VARIED.items():
+        listed, whole, items = spam.measure(text)
+        assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
+    df = spark.createDataFrame([(i, t, "web", f"p{i}") for i, t in enumerate([*RUNS.values(), *VARIED.values()])], "doc_id bigint, text string, source string, project_id string")
+    assert sorted(r["doc_id"] for r in spam.pages(df).where("flagged").collect()) == [*range(len(RUNS))]
