@@ -48,7 +48,11 @@ URL = re.compile(rf"(?:h(?:tt|xx)ps?://|www[\[.]|\[\.\])\S*|\b[\w-]+(?:\.[\w-]+)
 HOSTED = re.compile(rf"://|\[\.\]|[wW][\[.]|\.(?i:{ENDINGS})\b")  # what any address has, found quickly
 SEPARATORS = re.compile(r"[,;|·•»\t]|\s[-–@/]\s")
 OWN = re.compile(rf"[-*]?[`(]*(?:[a-z]+(?:_[a-z]+)+[\w.]*|[a-z_]+\.(?!(?:{ENDINGS})\b)[a-z_]+)[,;`)]*")
-CODE = re.compile(r'--|/\*|\*/|#|//|def |return\b|select\b|from\b|where\b|create\b|insert\b|import\b|\);?$|\w+\s*=\s*|"""|\}|\{|>>>|group by|order by|join ', re.I)
+CODE = re.compile(r'--|/\*|\*/|#|//|\);?$|\w+\s*=\s*|"""|\}|\{|>>>', re.I)
+#: English words that code begins with too, and what a line has besides if it is code.
+LEADS = re.compile(r"(?:def |return\b|select\b|from\b|where\b|create\b|insert\b|import\b|group by|order by|join )", re.I)
+SYNTAX = re.compile(r"[=(){}<>*_\[\]]|'[^']*'|;$|\w\.\w|:$|\b(?:is (?:not )?null|(?:or replace|table|view|into|function|procedure) \w|from \w+ import)\b|^from \w+ (?:as )?\w{1,2}$", re.I)
+TAGGED = re.compile(r"(?:#(?!(?:define|include|if|ifdef|ifndef|elif|else|endif|pragma|undef|region|endregion|error|line|import)\b)\w+)+[,;|]?")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 CONTENTS = re.compile(r"\.{3,}\s*\d+$")
 DIGITS = re.compile(r"\d+")
@@ -83,11 +87,23 @@ def repeated(words: list[str]) -> int:
     return max(1, sum(n for n in Counter(folded).values() if n > 1) // 2)
 
 
+def begins_code(u: str) -> bool:
+    """A leading mark of code, or a leading word that English has too with syntax (or names alone) after it."""
+    if CODE.match(u):
+        return True
+    lead = LEADS.match(u)
+    return bool(lead) and (bool(SYNTAX.search(u)) or all(len(part.split()) <= 1 for part in u[lead.end() :].split(",")))
+
+
 def kind(u: str) -> tuple[str, int]:
     """What a unit is, and how many items it lists."""
     if u.endswith("。"):
         return "sentence", 1
-    if CODE.match(u):
+    if "#" in u:
+        tagged = [w for w in u.split() if TAGGED.fullmatch(w)]
+        if len(tagged) > 0.5 * len(u.split()):
+            return "keywords", sum(w.count("#") for w in tagged)
+    if begins_code(u):
         return "code", 1
     if LOG.match(u):
         return "log", 1

@@ -66,3 +66,31 @@ def test_runs_without_marks(spark):
         assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
     df = spark.createDataFrame([(i, t, "web", f"p{i}") for i, t in enumerate([*RUNS.values(), *VARIED.values()])], "doc_id bigint, text string, source string, project_id string")
     assert sorted(r["doc_id"] for r in spam.pages(df).where("flagged").collect()) == [*range(len(RUNS))]
+
+
+TAGS = {
+    "tags": "#CheapSnapshotConverter #theFxWidget #FreeSnapshotConverter #CatalogueDonnées " * 6,
+    "tags on lines": "\n".join(f"#FxWidget{x} #theLoan{x}" for x in ("Top", "Best", "Buy", "New", "Free", "Pro", "Now")),
+    "tags run together": PROSE + "\n" + "#FxWidget#BestLoan#TaxTool " * 12,
+    "tags after a word": "Follow " + "#FxWidget, #BestLoan, " * 12,
+    "from": "\n".join(f"From {x} loan guide, create broker app, best tax tool, import fx feed" for x in ("cheap", "top", "free", "new")),
+    "create": "Create cheap account, where best broker app, select online loan guide, " * 5,
+}
+CODED = {
+    "comments": "\n".join(f"# load the rates of day {i} and the trades" for i in range(12)),
+    "includes": "\n".join(f"#include <fx_{i}.h>\n#ifdef FX\n#endif" for i in range(12)),
+    "select lists": "\n".join(f"select isin, price, ccy, side\nfrom trades t\nwhere side is null\ngroup by isin, side\nimport os, sys\nreturn x{i}" for i in range(6)),
+    "statements": "\n".join(f"create or replace view v{i} as\nselect a.isin, b.rate\nfrom raw_market.t_{i}\nwhere x = 'new loan', 'cheap loan'" for i in range(6)),
+    "tags at the end": PROSE * 4 + "\n#FxWidget #BestLoan #TaxTool #NavList #GoldFeed #CashApp #LotMatch #SideBook #TradeTs #LoadId",
+}
+
+
+def test_tags_and_leading_words(spark):
+    for name, text in TAGS.items():
+        listed, whole, items = spam.measure(text)
+        assert items >= spam.LEAST_ITEMS and listed > 0.5 * whole, name
+    for name, text in CODED.items():
+        listed, whole, items = spam.measure(text)
+        assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
+    df = spark.createDataFrame([(i, t, "web", f"p{i}") for i, t in enumerate([*TAGS.values(), *CODED.values()])], "doc_id bigint, text string, source string, project_id string")
+    assert sorted(r["doc_id"] for r in spam.pages(df).where("flagged").collect()) == [*range(len(TAGS))]
