@@ -275,6 +275,29 @@ def visual(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered, links
 
 
+def visual_lineage(nodes: DataFrame, edges: DataFrame, found: DataFrame, entities: int = 2, each: int = 5, depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, name) and links (id, source, target, label) around the first few nodes found.
+
+    Each centre has its `each` nearest upstream and downstream nodes (ties by id), linked with it directly; a link
+    is labelled by the edge between its ends, else RELATED. Nodes are distinct by id, links by source and target.
+    """
+    spark = nodes.sparkSession
+    parts = []
+    for (centre,) in found.select("id").distinct().orderBy("id").limit(entities).collect():
+        around = store.materialize(lineage(edges, spark.createDataFrame([(centre,)], "id string"), depth), "visual-lineage")
+        for direction in ("upstream", "downstream"):
+            near = around.where(F.col("direction") == direction).orderBy("depth", "id").limit(each)
+            ends = (F.col("id"), F.lit(centre)) if direction == "upstream" else (F.lit(centre), F.col("id"))
+            parts.append(near.select(ends[0].alias("source"), ends[1].alias("target")))
+        parts.append(around.where("direction = 'self'").select(F.col("id").alias("source"), F.lit(None).cast("string").alias("target")))
+    shown = store.materialize(reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source string, target string"), "visual-links").distinct()
+    ids = shown.select(F.col("source").alias("id")).unionByName(shown.select(F.col("target").alias("id"))).where("id IS NOT NULL").distinct()
+    known = nodes.select("id", "label", "name").dropDuplicates(["id"])
+    types = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type").join(store.checked_broadcast(shown), ["source", "target"], "left_semi").groupBy("source", "target").agg(F.min("type").alias("type"))
+    links = shown.where("target IS NOT NULL").join(types, ["source", "target"], "left")
+    return ids.join(known, "id", "left").select("id", "label", F.coalesce("name", "id").alias("name")), links.select(F.concat_ws("-", "source", "target").alias("id"), "source", "target", F.coalesce("type", F.lit("RELATED")).alias("label"))
+
+
 # --- governance -----------------------------------------------------------------------------------
 
 

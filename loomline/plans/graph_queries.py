@@ -183,7 +183,33 @@ def g32_catalogue(spark, sf):
 
 def g33_chat_context(spark, sf):
     n, e = fk(spark, sf)
-    return G.chat_context(n.where("label = 'Nation'"), e.where("type <> 'READS_FROM'"), "what depends on nation_17 downstream?", 3, 2)
+    return G.chat_context(n, e, "what depends on nation_17 downstream?", 3, 2)
+
+
+# The SQL of g03, g10, g18 and g30 is of the graph without reads (or parts); these four are the same over all of it.
+
+
+def g03_endpoint_merge_whole(spark, sf):
+    n, e = fk(spark, sf)
+    new = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("C"), F.col("s_suppkey") * 20).alias("target_id"), F.lit("SERVES").alias("type"))
+    return G.upsert_edges(e, new, n)
+
+
+def g10_shortest_path_whole(spark, sf):
+    return G.shortest_path(fk(spark, sf)[1], "C1", "S1").select(F.array_join("path", ">").alias("path"), "hops")
+
+
+def g18_lineage_payload_whole(spark, sf):
+    return G.lineage(fk(spark, sf)[1], seeds(spark, "N7"), 5)
+
+
+def g30_visual_graph_whole(spark, sf):
+    return G.visual(*fk(spark, sf))[1]
+
+
+def g30_lineage_graph(spark, sf):
+    n, e = fk(spark, sf)
+    return G.visual_lineage(n, e, G.find_by_names(n, ["nation_17", "asia"]))[1]
 
 
 _DOWN = """
@@ -228,4 +254,10 @@ SELECT CASE WHEN nk NOT IN (SELECT n_nationkey FROM nation) OR c_custkey % 7 = 0
     "g34_path_confidence": "WITH s AS (SELECT l_orderkey, l_linenumber % 3 = 0 AS txt, lead(l_linenumber % 3 = 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt FROM lineitem), g AS (SELECT l_orderkey, count(*) FILTER (WHERE nxt IS NOT NULL AND nxt <> txt) AS issues FROM s GROUP BY 1) SELECT issues, greatest(0.0, round(1 - 0.1 * issues, 6)) AS confidence, count(*) AS n FROM g GROUP BY ALL",
     "g_flow_downstream": _walk("P1", 2, edges="fl", extra=", fl AS (SELECT CASE WHEN type IN ('READS_FROM', 'DERIVES') THEN target_id ELSE source_id END AS source_id, CASE WHEN type IN ('READS_FROM', 'DERIVES') THEN source_id ELSE target_id END AS target_id FROM edges)"),
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+ORACLES |= {
+    "g03_endpoint_merge_whole": f"WITH {EDGES} SELECT source_id, target_id, type FROM edges UNION ALL SELECT 'S' || s_suppkey, 'C' || (s_suppkey * 20), 'SERVES' FROM supplier WHERE s_suppkey * 20 IN (SELECT c_custkey FROM customer)",
+    "g18_lineage_payload_whole": f"SELECT 'N7' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT id, depth, 'upstream' FROM ({_walk('N7', 5, 'target_id', 'source_id')}) UNION ALL SELECT id, depth, 'downstream' FROM ({_walk('N7', 5)})",
+    "g30_visual_graph_whole": f"WITH {NODES}, {EDGES}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes) SELECT a.i AS source, b.i AS target, type FROM edges JOIN num a ON a.id = source_id JOIN num b ON b.id = target_id",
+}
+#: Without SQL, with brute-force tests.
+QUERIES = {name: globals()[name] for name in (*ORACLES, "g10_shortest_path_whole", "g30_lineage_graph")}
