@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,13 +84,22 @@ def ingest_batches(stream: DataFrame, path: str, checkpoint: str, parse: Callabl
 # --- circuit breaker ------------------------------------------------------------------------------
 
 
-def breaker(outcomes: Iterator[tuple[float, bool]], failures: int = 1, cooldown: float = 60.0) -> list[str]:
+#: A breaker that has seen no call: state, failures in a row, when it opened.
+FRESH = ("closed", 0, 0.0)
+
+
+def breaker(outcomes: Iterable[tuple[float, bool]], failures: int = 1, cooldown: float = 60.0) -> list[str]:
     """State after each (time, rate_limited) outcome: closed, open, half_open.
 
     `failures` rate-limit errors in a row open the circuit; calls are refused until the cooldown is over, then
     one trial is let through, which closes the circuit or opens it again.
     """
-    state, bad, since, out = "closed", 0, 0.0, []
+    return resume(FRESH, outcomes, failures, cooldown)[0]
+
+
+def resume(before: tuple[str, int, float], outcomes: Iterable[tuple[float, bool]], failures: int, cooldown: float) -> tuple[list[str], tuple[str, int, float]]:
+    """The states of a breaker that goes on from where it stood, and where it stands then."""
+    (state, bad, since), out = before, []
     for at, limited in outcomes:
         if state == "open" and at - since > cooldown:
             state = "half_open"
@@ -101,19 +111,31 @@ def breaker(outcomes: Iterator[tuple[float, bool]], failures: int = 1, cooldown:
             else:
                 state, bad = "closed", 0
         out.append(state)
-    return out
+    return out, (state, bad, since)
 
 
 def replay_breaker(calls: DataFrame, failures: int = 1, cooldown: float = 60.0) -> DataFrame:
-    """calls (service, at, limited) with state; the fold is over one service's calls of one day, so groups stay bounded."""
+    """calls (service, at, limited) with state; calls of one time go by limited, those that passed first.
+
+    A service's calls are sorted within one partition and folded Arrow batch by batch; only the breaker's state is
+    carried from one to the next, so memory is bounded whatever a service's calls and no boundary resets it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(pdf):
-        pdf = pdf.sort_values("at", kind="stable")
-        pdf["state"] = breaker(zip(pdf["at"].astype("int64") / 1e6, pdf["limited"], strict=True), failures, cooldown)
-        return pdf[["service", "at", "limited", "state"]]
+        of, now = None, FRESH
+        for batch in batches:
+            services, ats, limited = (batch.column(i).to_pylist() for i in range(3))
+            states = []
+            for service, group in groupby(zip(services, ats, limited, strict=True), key=lambda r: r[0]):
+                more, now = resume(now if of == (service,) else FRESH, ((at / 1e6, bad) for _, at, bad in group), failures, cooldown)
+                of = (service,)
+                states += more
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], ["service", "at", "limited", "state"])
 
     us = calls.select("service", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "limited")
-    return us.withColumn("day", F.floor(F.col("at") / 86_400_000_000)).groupBy("service", "day").applyInPandas(run, "service string, at bigint, limited boolean, state string")
+    return us.repartition("service").sortWithinPartitions("service", "at", "limited").mapInArrow(run, "service string, at bigint, limited boolean, state string")
 
 
 def slices(c: Column, size: int = 64) -> Column:

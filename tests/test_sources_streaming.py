@@ -132,3 +132,25 @@ def test_table_functions(spark):
     assert spark.sql("SELECT id FROM find_previous_file_version('p', NULL, 'a.sql')").collect() == [("f2",)]
     assert spark.sql("SELECT kind, name FROM code_entities('import os')").collect() == [("import", "os")]
     assert spark.sql("SELECT chunk FROM code_chunks('sql', 'SELECT 1; SELECT 2')").count() == 2
+
+
+def test_breaker_goes_on_across_midnight(spark):
+    from datetime import datetime, timedelta
+
+    midnight = datetime(2024, 1, 2)
+    near = [("a", -10, True), ("a", 5, False), ("a", 49, False), ("a", 51, False), ("b", -20, True), ("b", -10, True), ("b", 5, True), ("b", 20, False), (None, -1, True), (None, 1, False)]
+    df = spark.createDataFrame([(s, midnight + timedelta(seconds=t), x) for s, t, x in near], "service string, at timestamp, limited boolean")
+    of = lambda n, s: [r["state"] for r in ST.replay_breaker(df, n).orderBy("at").collect() if r["service"] == s]
+    assert of(1, "a") == ["open", "open", "open", "closed"] and of(1, None) == ["open", "open"]
+    assert of(3, "b") == ["closed", "closed", "open", "open"] and of(3, "a") == ["closed"] * 4
+    # over Arrow batches and days, as the fold over all calls of a service
+    many = [(f"s{i % 3}", i * 7919 % 4_000_003 / 20, i % 5 < 2) for i in range(3000)]
+    df = spark.createDataFrame([(s, midnight + timedelta(seconds=t), x) for s, t, x in many], "service string, at timestamp, limited boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = ST.replay_breaker(df, 2, 300.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in ("s0", "s1", "s2"):
+        calls = sorted((t, x) for n, t, x in many if n == s)
+        assert [r["state"] for r in sorted((r for r in got if r["service"] == s), key=lambda r: r["at"])] == ST.breaker(calls, 2, 300.0)
