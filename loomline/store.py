@@ -1,20 +1,25 @@
 """Tables of one test-data directory, cuts in the lineage, and size-checked broadcasts.
 
 Intermediate tables go to the folder that the cluster names in `spark.checkpoint.dir`, which all
-executors share. Only where that setting is absent (tests, a laptop) a folder of our own is used.
+executors share. Only where that setting is absent and the master is local (tests, a laptop) a folder of our own is used.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: A side of a join is broadcast only if it has at most so many rows (narrow rows: under about 40 MB).
+#: A side of a join is broadcast only if it has at most so many rows, and at most so many bytes as rows in memory.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32_000_000
+#: Bytes of a row in memory besides its strings and arrays: header, null bits and hash entry, and each field.
+ROW_BYTES, FIELD_BYTES = 32, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, or one of our own where none is set."""
+    """The shared folder of the session; where none is set, a folder of this machine, if all executors are on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "loomline-shared")
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends (or by `drop_path`)."""
+    path = f"{shared_dir(spark)}/loomline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    p, fs = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,12 +60,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else df as it is (a shuffled join).
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows and takes at most `size` bytes as rows in memory.
 
-    df should be materialised or cheap: it is counted up to `rows` + 1.
+    df should be materialised or cheap: `rows` + 1 of it are counted and their strings, binaries and arrays measured.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType | BinaryType) else F.size(F.col(f"`{f.name}`")) * FIELD_BYTES for f in df.schema.fields if isinstance(f.dataType, StringType | BinaryType | ArrayType)]
+    extra = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
+    n, more = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(extra), F.lit(0))).first()
+    return n <= rows and n * (ROW_BYTES + FIELD_BYTES * len(df.columns)) + more <= size
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small (see is_small), else df as it is (a shuffled join)."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -63,6 +87,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
