@@ -1,23 +1,29 @@
-"""Keyword-stuffed and link-list pages: list density joined with phrases replicated on other hosts.
-
-A page is cut into units (lines, list items, sentences). Each unit is a sentence, code, a log line, a table
-row, a contents line, a list of own names, a number row, a blob, links or keywords; what share of the text is
-links and keywords is the page's *list density*. Its phrase shingles (five words) are exploded and counted by
-distinct hosts over the whole corpus; the share of a page's phrases that other hosts have too is its
-*replicated share*. A page with enough items is flagged if its density is over one half, or just below it
-with most of its phrases replicated.
-
-Documents have no address, so the host of a page is its project, else its source. Replication alone can't
-decide here (ordinary texts of the corpus share phrases as well), which is why density leads.
-
-Scale: density is a narrow Arrow map over the scan (regular expressions over parts of parts, for which
-built-in functions took 15 times as long). Phrases are hashed, made distinct within a page, and
-reduced to the smallest and largest host before the shuffle (two distinct hosts are all that is asked), so a
-phrase on every page is one row for each map task; nothing is collected by phrase or by host.
-
-Defined cases: null, empty and blank texts aren't flagged; pages with fewer than LEAST_ITEMS listed items
-aren't; texts of any length are judged whole; repeated rows give one row each per doc_id; null hosts count as
-one host; an empty table gives none; other columns are ignored.
+"""Keyword-stuffed and link-list pages: phrases replicated in the lists of other hosts, joined with list density.
+
+A page is cut into units (lines, list items, sentences). The look of a unit gives a first guess: a list (links,
+tags, keywords between separators, one word group said over and over), a sentence, or anything else (code, logs,
+tables, contents, own names). Its phrase shingles are exploded and counted over the whole corpus: on which hosts
+a phrase stands in lists, and in how many texts it stands in lists and elsewhere. A phrase is *stuffed* if lists of
+two hosts or more have it and lists have it more often than all other text, so phrases of prose, code and column
+names never are, whatever replicates them.
+
+The stuffed share of each unit then decides what it is, whatever it looked like: few stuffed phrases make a list of
+a sentence, half of them make one of a code line, and a short sentence without any is none. A page is flagged if
+most of its text is lists and at least SUPPORT of their phrases are stuffed or repeated on the page, or are links or
+tags. Every page goes through both measures; none is left out beforehand.
+
+Phrases are of two words (a line of one word is a phrase of its own). Keyword pages shuffle their word pairs, so runs
+of five words, as one takes for copied prose, are nearly all unique on them; the README has the figures. Documents
+have no address, so the host of a page is its project, else its source.
+
+Scale: one narrow Arrow pass cuts, guesses and hashes (texts are read once); the written units feed both phrase
+steps. Phrases are counted with map-side partials. Phrases that make up more than HEAVY of all rows are at most
+1 / HEAVY and are looked up by broadcast, all others by a shuffled join on the phrase (by broadcast too where
+their table is proven small). Nothing is collected by phrase, page or host.
+
+Defined cases: null, empty and blank texts aren't flagged, nor are texts too short for SUPPORT; texts of any length
+are judged whole; repeated rows count once, two texts under one doc_id are judged apart, and doc_id comes out if
+either is flagged; null hosts count as one host; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -33,58 +40,60 @@ from pyspark.sql import functions as F
 
 from .. import store
 
-SHINGLE = 5
-LEAST_ITEMS = 10
+#: A page's lists must hold so many stuffed or repeated phrases, links or tags.
+SUPPORT = 5
 DENSE = 0.5
-NEARLY = 0.45
-REPLICATED = 0.5
+#: Stuffed share from which a sentence is a list, and from which it is one if it repeats itself as well; and of other units.
+STUFFED, HINTED, TOGETHER, STUFFED_OTHER = 0.2, 0.05, 0.4, 0.5
+HEAVY = 1e-5
 #: A run of words is keywords if so few of WINDOW neighbouring words are distinct; shorter runs aren't judged.
 WINDOW = 24
 LEAST_RUN = 9
 VARIED = 0.55
+#: What a unit looks like.
+BLOB, OTHER, SENTENCE, LIST = -1, 0, 1, 2
 #: Endings of host names.
 ENDINGS = "invalid|example|test|com|net|org|io|info|biz|shop"
 URL = re.compile(rf"(?:h(?:tt|xx)ps?://|www[\[.]|\[\.\])\S*|\b[\w-]+(?:\.[\w-]+)*\.(?:{ENDINGS})\b\S*", re.I)
 HOSTED = re.compile(rf"://|\[\.\]|[wW][\[.]|\.(?i:{ENDINGS})\b")  # what any address has, found quickly
-SEPARATORS = re.compile(r"[,;|·•»\t]|\s[-–@/]\s")
 OWN = re.compile(rf"[-*]?[`(]*(?:[a-z]+(?:_[a-z]+)+[\w.]*|[a-z_]+\.(?!(?:{ENDINGS})\b)[a-z_]+)[,;`)]*")
-CODE = re.compile(r'--|/\*|\*/|#|//|\);?$|\w+\s*=\s*|"""|\}|\{|>>>', re.I)
+CODE = re.compile(r'--|/\*|\*/|#|//|\);?$|\w+\s*=\s*|"""|\}|\{|>>>')
 #: English words that code begins with too, and what a line has besides if it is code.
 LEADS = re.compile(r"(?:def |return\b|select\b|from\b|where\b|create\b|insert\b|import\b|group by|order by|join )", re.I)
 SYNTAX = re.compile(r"[=(){}<>*_\[\]]|'[^']*'|;$|\w\.\w|:$|\b(?:is (?:not )?null|(?:or replace|table|view|into|function|procedure) \w|from \w+ import)\b|^from \w+ (?:as )?\w{1,2}$", re.I)
 TAGGED = re.compile(r"(?:#(?!(?:define|include|if|ifdef|ifndef|elif|else|endif|pragma|undef|region|endregion|error|line|import)\b)\w+)+[,;|]?")
+CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 CONTENTS = re.compile(r"\.{3,}\s*\d+$")
 DIGITS = re.compile(r"\d+")
-ENDED = re.compile(r"[.!?…:\"”)]$")
+WORD = re.compile(r"\w+")
+PIECE = re.compile(r"[^\s,;|]+")
+ENDED = (".", "!", "?", "…", ":", '"', "”", ")")
 INVISIBLE = re.compile("[\\ufeff\\u200b-\\u200d\\u2060]")
-ANCHOR = re.compile(r"<a\s[^>]{0,2000}>", re.I)
-BLOCK = re.compile(r"</?(?:li|ul|ol|p|h\d|tr|td|br|div|a|table)\b[^>]{0,500}>", re.I)
-TAG = re.compile(r"<[^>]{0,200}>")
+ANCHOR = re.compile(r"<a\s[^<>]*>", re.I)
+BLOCK = re.compile(r"</?(?:li|ul|ol|p|h\d|tr|td|br|div|a|table)\b[^<>]*>", re.I)
+TAG = re.compile(r"<[^<>]*>")
 STOP = re.compile(r"(?<=[^\d\s.][.!?])\s+(?=\S)")
 
 
 def units(text: str) -> list[str]:
     """Lines, list items and sentences of a text."""
     t = INVISIBLE.sub("", text).replace("\xa0", " ").replace("\r", "\n")
-    t = TAG.sub(" ", BLOCK.sub("\n", ANCHOR.sub(" \n http://link ", t)))
+    if "<" in t:
+        t = TAG.sub(" ", BLOCK.sub("\n", ANCHOR.sub(" \n http://link ", t)))
     t = STOP.sub("\n", t).replace("。", "。\n")
     return [u for line in t.split("\n") if (u := line.strip())]
 
 
-def repeated(words: list[str]) -> int:
-    """How many phrases (two words) a run of words repeats over and over; 0 if it is as varied as a sentence.
-
-    Distinct words are counted in windows, as their share falls with the length of any text.
-    """
-    if len(words) < LEAST_RUN:
-        return 0
-    folded = [w.lower() for w in words]
-    size = min(WINDOW, len(folded))
-    starts = {*range(0, len(folded) - size + 1, size), len(folded) - size}
-    if sum(len(set(folded[i : i + size])) for i in starts) > VARIED * size * len(starts):
-        return 0
-    return max(1, sum(n for n in Counter(folded).values() if n > 1) // 2)
+def variety(words: list) -> float:
+    """Share of distinct words in windows (their share falls with the length of any text); 1 for short runs."""
+    n = len(words)
+    if n < 6:
+        return 1.0
+    if n <= WINDOW:
+        return len(set(words)) / n
+    starts = {*range(0, n - WINDOW + 1, WINDOW), n - WINDOW}
+    return sum(len(set(words[i : i + WINDOW])) for i in starts) / (WINDOW * len(starts))
 
 
 def begins_code(u: str) -> bool:
@@ -95,95 +104,194 @@ def begins_code(u: str) -> bool:
     return bool(lead) and (bool(SYNTAX.search(u)) or all(len(part.split()) <= 1 for part in u[lead.end() :].split(",")))
 
 
-def kind(u: str) -> tuple[str, int]:
-    """What a unit is, and how many items it lists."""
+def items_of(u: str) -> int:
+    """How many items the separators of a unit make."""
+    n = u.count(",") + u.count(";") + u.count("|") + u.count("·") + u.count("•") + u.count("»") + u.count("\t")
+    return n + u.count(" - ") + u.count(" – ") + u.count(" @ ") + u.count(" / ") + 1
+
+
+def guess(u: str) -> tuple[int, int, str, float]:
+    """(look, links and tags, text without addresses, variety) of a unit."""
     if u.endswith("。"):
-        return "sentence", 1
+        return SENTENCE, 0, u, 1.0
     if "#" in u:
-        tagged = [w for w in u.split() if TAGGED.fullmatch(w)]
-        if len(tagged) > 0.5 * len(u.split()):
-            return "keywords", sum(w.count("#") for w in tagged)
-    if begins_code(u):
-        return "code", 1
-    if LOG.match(u):
-        return "log", 1
-    if u.startswith("|"):
-        return "table", 1
-    if CONTENTS.search(u) or u[:8].lower() == "contents":
-        return "contents", 1
-    words = u.split()
-    own = sum(1 for w in words if ("_" in w or "." in w) and OWN.fullmatch(w))
-    if own >= 0.5 * sum(1 for w in words if w not in ("-", "*", "|")):
-        return "own", 1
-    urls = URL.findall(u) if HOSTED.search(u) else []
-    if not urls and len(u) >= 64 and any(len(w) >= 64 for w in words):
-        return "blob", 1
+        parts = u.split()
+        tagged = [w for w in parts if TAGGED.fullmatch(w)]
+        if len(tagged) > 0.5 * len(parts):
+            return LIST, sum(w.count("#") for w in tagged), CAMEL.sub(" ", u), 1.0
+    plain, links = u, 0
+    if HOSTED.search(u):
+        plain = URL.sub(" ", u)
+        links = len(URL.findall(u))
+    words = WORD.findall(plain)
+    n = len(words)
+    varied = variety([w.lower() for w in words]) if n >= 6 else 1.0
+    if begins_code(u) or LOG.match(u) or u[0] == "|" or CONTENTS.search(u) or u[:8].lower() == "contents":
+        return OTHER, links, plain, varied
+    parts = u.split()
+    own = sum(1 for w in parts if ("_" in w or "." in w) and OWN.fullmatch(w))
+    if own >= 0.5 * sum(1 for w in parts if w not in ("-", "*", "|")):
+        return OTHER, links, plain, varied
+    if len(u) > 40 and not links:
+        longest = max(map(len, PIECE.findall(u)), default=0)
+        if longest >= 64:
+            return BLOB, 0, "", 1.0
+        if longest > 40:
+            return OTHER, 0, plain, varied
     if len(u) - len(DIGITS.sub("", u)) > 0.4 * len(u):
-        return "numbers", 1
-    items = len(SEPARATORS.findall(u)) + 1
-    ended = bool(ENDED.search(u))
-    if urls:
-        beside = len(URL.sub(" ", u).split())
-        return ("sentence", 1) if ended and beside >= 6 * len(urls) else ("links", max(items, len(urls)))
-    if any(len(w) > 40 for w in words):
-        return "blob_like", 1
-    if again := repeated(words):
-        return "keywords", max(items, again)
-    if ended and (len(words) >= 6 or (own and len(words) >= 4)) and len(words) >= 3 * items:
-        return "sentence", 1
-    if len(words) >= 9 and len(words) >= 5 * items:
-        return "sentence", 1
-    return "keywords", items
-
-
-def measure(text: str | None) -> tuple[int, int, int]:
-    """(listed, whole, items): characters of links and keywords, of all but blobs, and listed items."""
-    listed = whole = items = 0
-    for u in units(text or ""):
-        k, n = kind(u)
-        whole += 0 if k == "blob" else len(u)
-        if k in ("links", "keywords"):
-            listed, items = listed + len(u), items + n
-    return listed, whole, items
+        return OTHER, links, plain, varied
+    ended = u.endswith(ENDED)
+    if links:
+        return (SENTENCE if ended and n >= 6 * links else LIST), links, plain, varied
+    if n >= LEAST_RUN and varied <= VARIED:
+        return LIST, 0, plain, varied
+    items = items_of(u)
+    if ended and (n >= 6 or (own and n >= 4)) and n >= 3 * items:
+        return SENTENCE, 0, plain, varied
+    if n >= 9 and n >= 5 * items:
+        return SENTENCE, 0, plain, varied
+    return LIST, 0, plain, varied
+
+
+class Ids(dict):
+    """Words numbered as they come, with a hash of each that is the same in every process."""
+
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.hashes)
+        self.hashes.append(int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
+        return n
+
+
+ALONE = (1 << 32) - 1
+
+
+def measure(text: str, ids: Ids) -> list[tuple[int, int, float, bool, int, list[int], list[bool]]]:
+    """(look, characters, gap, doubtful, support, phrases, new) of each unit.
+
+    gap: share of words that repeat others nearby. doubtful: a short sentence if nothing speaks against it. support: links,
+    tags, and phrases repeated on the page. phrases: pairs of word numbers, distinct in the unit. new: the first of its kind of
+    look on the page.
+    """
+    found = []
+    often: Counter = Counter()
+    for u in units(text):
+        look, marks, plain, varied = guess(u)
+        if look == BLOB:
+            continue
+        w = [ids[x] for x in WORD.findall(plain.lower().replace("_", " "))]
+        pairs = [a << 32 | b for a, b in zip(w, w[1:])] if len(w) != 1 else [w[0] << 32 | ALONE]
+        own = set(pairs)
+        if look == LIST:
+            often.update(own)
+        found.append((u, look, marks, varied, len(w), len(pairs), own))
+    # a phrase in every fifth unit is what the page is about
+    least = max(3, 0.2 * len(found))
+    ruling = {p for p, n in often.items() if n >= least}
+    seen: tuple[set, set] = (set(), set())
+    out = []
+    for u, look, marks, varied, n, all_pairs, own in found:
+        phrases = list(own)
+        mine = seen[look == LIST]
+        new = [p not in mine for p in phrases]
+        mine |= own
+        again = all_pairs - len(own) + sum(1 for p in own if often[p] > 1) if look == LIST else 0
+        doubtful = look == LIST and not marks and n >= 3 and varied > VARIED and u.endswith(ENDED) and ruling.isdisjoint(own)
+        out.append((look, len(u), 1.0 - varied, doubtful, marks + again, phrases, new))
+    return out
+
+
+UNITS = "doc_id {kind}, page bigint, host bigint, unit int, look tinyint, chars int, gap float, doubtful boolean, support int, phrases array<bigint>"
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """(doc_id, listed, whole, items) of each text; an Arrow map without a shuffle."""
+    """A row for each unit of each text (blobs aside), as `measure` gives it; an Arrow map without a shuffle.
+
+    page tells texts of one doc_id apart. phrases are 63-bit hashes; the lowest bit is set for the first of a page's look.
+    """
+    host = F.xxhash64(F.coalesce("project_id", F.concat(F.lit("source "), F.coalesce("source", F.lit("")))))
+    slim = documents.where("text IS NOT NULL").select("doc_id", host.alias("host"), "text")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        ids = Ids()
         for batch in batches:
-            rows = [measure(t) for t in batch.column(1).to_pylist()]
-            cols = zip(*rows, strict=True) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "listed", "whole", "items"])
+            docs, pages, hosts, rows = [], [], [], []
+            for i, (h, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                page = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                for unit, row in enumerate(measure(text, ids)):
+                    docs.append(i)
+                    pages.append(page)
+                    hosts.append(h)
+                    rows.append((unit, *row))
+            no, look, chars, gap, doubtful, support, phrases, new = zip(*rows, strict=True) if rows else [()] * 8
+            codes = np.array([p for ps in phrases for p in ps], dtype=np.uint64)
+            flags = np.array([x for ns in new for x in ns], dtype=np.uint64)
+            table = np.array([*ids.hashes, 0], dtype=np.uint64)
+            first, second = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(ALONE)).astype(np.int64)
+            second[second == ALONE] = len(table) - 1
+            mixed = table[first] * np.uint64(0x9E3779B97F4A7C15) + (table[second] ^ (table[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            values = ((mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)) | flags
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(docs, pa.int32())), pa.array(pages, pa.int64()), pa.array(hosts, pa.int64()), pa.array(no, pa.int32()), pa.array(look, pa.int8()), pa.array(chars, pa.int32()),
+                pa.array(gap, pa.float32()), pa.array(doubtful, pa.bool_()), pa.array(support, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
+                ["doc_id", "page", "host", "unit", "look", "chars", "gap", "doubtful", "support", "phrases"])
+            if len(ids.hashes) > Ids.MOST:
+                ids = Ids()
 
-    kind_of = documents.schema["doc_id"].dataType.simpleString()
-    return store.spread(documents.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(run, f"doc_id {kind_of}, listed bigint, whole bigint, items bigint")
+    return store.spread(slim).mapInArrow(run, UNITS.format(kind=documents.schema["doc_id"].dataType.simpleString()))
 
 
-def phrases(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, phrase): the distinct shingles of each text, hashed."""
-    host = F.xxhash64(F.coalesce("project_id", F.concat(F.lit("source "), F.coalesce("source", F.lit("")))))
-    slim = store.spread(documents.where("text IS NOT NULL").select("doc_id", "text", "project_id", "source"))
-    words = slim.select("doc_id", host.alias("host"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
-    long = words.where(F.size("w") >= SHINGLE)
-    # words are hashed once, phrases as runs of hashes
-    numbers = long.select("doc_id", "host", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    hashed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice("w", i, SHINGLE))))
-    return numbers.select("doc_id", "host", F.explode(hashed).alias("phrase"))
+def stuffed(found: DataFrame) -> DataFrame:
+    """(phrase, n) of the phrases in lists of two hosts or more that are rarer in all other text; n: texts it is in."""
+    each = found.select("host", (F.col("look") == LIST).alias("listed"), F.explode("phrases").alias("p")).where("p & 1 = 1")
+    counted = each.groupBy(F.shiftright("p", 1).alias("phrase")).agg(F.sum(F.col("listed").cast("int")).alias("lists"), F.count("*").alias("n"), F.min(F.when(F.col("listed"), F.col("host"))).alias("low"), F.max(F.when(F.col("listed"), F.col("host"))).alias("high"))
+    return counted.where("low <> high AND 2 * lists > n").select("phrase", "n")
+
+
+def matches(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, page, unit, hits): stuffed phrases of each unit that has any."""
+    each = found.select("doc_id", "page", "unit", F.explode("phrases").alias("p")).select("doc_id", "page", "unit", F.shiftright("p", 1).alias("phrase"))
+    if store.is_small(phrases):
+        hits = each.join(F.broadcast(phrases.select("phrase")), "phrase", "left_semi")
+    else:
+        rows = found.agg(F.sum(F.size("phrases"))).first()[0] or 0
+        common = F.broadcast(phrases.where(F.col("n") > HEAVY * rows).select("phrase"))  # at most 1 / HEAVY phrases are in so many rows
+        rare = phrases.where(F.col("n") <= HEAVY * rows).select("phrase")
+        hits = each.join(common, "phrase", "left_semi").unionByName(each.join(common, "phrase", "left_anti").join(rare, "phrase", "left_semi"))
+    return hits.groupBy("doc_id", "page", "unit").agg(F.count("*").alias("hits"))
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, items, density, replicated, flagged) of every page whose density is at least NEARLY."""
-    found = store.materialize(evidence(documents), "spam-evidence").where(f"items >= {LEAST_ITEMS} AND listed > {NEARLY} * whole").distinct()
-    spread = phrases(documents).groupBy("phrase").agg(F.min("host").alias("low"), F.max("host").alias("high")).where("low <> high").select("phrase")
-    listed = store.checked_broadcast(found.select("doc_id"))
-    own = phrases(documents.join(listed, "doc_id", "left_semi"))
-    seen = own.join(spread.withColumn("shared", F.lit(1)), "phrase", "left").groupBy("doc_id").agg((F.count("shared") / F.count("*")).alias("replicated"))
-    joined = found.join(seen, "doc_id", "left").withColumn("density", F.col("listed") / F.col("whole")).withColumn("replicated", F.coalesce("replicated", F.lit(0.0)))
-    flagged = (F.col("density") > DENSE) | (F.col("replicated") >= REPLICATED)
-    return joined.select("doc_id", "items", F.round("density", 6).alias("density"), F.round("replicated", 6).alias("replicated"), flagged.alias("flagged"))
+    """(doc_id, density, replicated, support, flagged) of every text with a unit: share of its text in lists, stuffed share
+    of its phrases, and stuffed or repeated phrases, links and tags in its lists."""
+    found = store.materialize(evidence(documents), "spam-units")
+    phrases = store.materialize(stuffed(found), "spam-phrases")
+    hits = store.checked_broadcast(store.materialize(matches(found, phrases), "spam-hits"))
+    key = [F.col("f.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("f.page") == F.col("h.page"), F.col("f.unit") == F.col("h.unit")]
+    slim = found.select("doc_id", "page", "unit", "look", "chars", "gap", "doubtful", "support", F.size("phrases").alias("n"))
+    both = slim.alias("f").join(hits.alias("h"), key, "left").select("f.*", F.coalesce("hits", F.lit(0)).alias("hits"))
+    share = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
+    as_list = (
+        F.when(F.col("look") == LIST, ~F.col("doubtful") | (F.col("hits") > 0))
+        .when(F.col("look") == SENTENCE, (share >= STUFFED) | ((share >= HINTED) & (share + F.col("gap") >= TOGETHER)))
+        .otherwise(share >= STUFFED_OTHER)
+    )
+    judged = both.select("doc_id", "page", "unit", "chars", "n", "hits", as_list.alias("listed"), (F.col("support") + F.col("hits")).alias("support"))
+    listed = lambda c: F.sum(F.when(F.col("listed"), F.col(c)).otherwise(0))
+    copies = F.sum((F.col("unit") == 0).cast("int"))  # of repeated rows
+    of = judged.groupBy("doc_id", "page").agg(listed("chars").alias("in_lists"), F.sum("chars").alias("whole"), (listed("support") / copies).cast("bigint").alias("support"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    density = F.round(F.col("in_lists") / F.col("whole"), 6)
+    replicated = F.when(F.col("n") > 0, F.round(F.col("hits") / F.col("n"), 6)).otherwise(0.0)
+    return of.select("doc_id", density.alias("density"), replicated.alias("replicated"), "support", ((F.col("in_lists") > DENSE * F.col("whole")) & (F.col("support") >= SUPPORT)).alias("flagged"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have the library installed

@@ -1,5 +1,7 @@
 from loomline.llm import spam
 
+COLUMNS = "doc_id bigint, text string, source string, project_id string"
+
 PROSE = "The pricing desk asked for the mapping of the late files. Before the close, two procedures write to raw_market.fx_daily, and only one of them is documented. "
 CASES = {
     "keywords": ", ".join(f"{w} {x}" for w in ("cheap", "best", "buy", "online") for x in ("broker app", "loan guide", "tax tool", "fx feed")),
@@ -8,7 +10,7 @@ CASES = {
     "anchors": " ".join(f'<a href="http://s{i}.test/x">broker guide</a>' for i in range(12)),
     "hidden links": "\n".join(f"hxxps://www[.]shop{i}[.]invalid/x loan list" for i in range(12)),
     "list items": "<ul>" + "".join(f"<li>best <b>broker app {i}</b></li>" for i in range(12)) + "</ul>",
-    "short sentences": " ".join(f"{a} broker {b}" for a in ("Best", "Cheap", "Buy", "Free") for b in ("app!", "guide?", "tool.")),
+    "said shortly": " ".join(f"{a} broker {b}" for a in ("Best", "Cheap", "Buy", "Free") for b in ("app!", "guide?", "tool.")),
     "mostly": PROSE + "\n" + ", ".join(["broker app", "tax tool", "loan guide"] * 20),
 }
 CLEAN = {
@@ -18,32 +20,6 @@ CLEAN = {
     "japanese": "担当者がlot_idの照合を終えました。為替は金曜日の値を使います。" * 5, "russian": "Столбец price_ccy остался пустым. Сверка run_seq завершена вчера. " * 5, "empty": "", "blank": " \n ", "short": "TODO", "null": None,
 }
 
-
-def test_units_are_told_apart():
-    for name, text in CASES.items():
-        listed, whole, items = spam.measure(text)
-        assert items >= spam.LEAST_ITEMS and listed > 0.5 * whole, name
-    for name, text in CLEAN.items():
-        listed, whole, items = spam.measure(text)
-        assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
-
-
-def test_flagged_pages(spark):
-    texts = [*CASES.items(), *CLEAN.items()]
-    docs = [(i, t, "web", f"p{i % 3}" if i % 4 else None, "x", "y") for i, (_, t) in enumerate(texts)] + [(None, CASES["keywords"], None, None, None, None), (900, "cheap broker, " * 30_000, "web", "p1", "x", "y")]
-    df = spark.createDataFrame([*docs, docs[0]], "doc_id bigint, text string, source string, project_id string, items string, phrase string")
-    got = [r["doc_id"] for r in spam.pages(df).where("flagged").collect()]
-    assert sorted(x for x in got if x is not None) == [*range(len(CASES)), 900] and got.count(None) == 1
-    assert spam.pages(df.limit(0)).collect() == []
-
-
-def test_replicated_phrases_count_hosts(spark):
-    t = CASES["keywords"]
-    df = spark.createDataFrame([(1, t, "s", "a"), (2, t, "s", "b"), (3, t.replace("broker", "stock").replace("loan", "gold").replace("tax", "sql").replace("fx", "nav"), "s", "a")], "doc_id bigint, text string, source string, project_id string")
-    got = {r["doc_id"]: r["replicated"] for r in spam.pages(df).collect()}
-    assert got[1] == 1.0 and got[2] == 1.0 and got[3] == 0.0
-
-
 RUNS = {
     "blanks": "kurs daten " * 20,
     "blanks and fillers": "hedge robot free HEDGE ROBOT now hedge robots top side discount hedge robot side side new hedgerobot hedge robot side online " * 3,
@@ -57,17 +33,6 @@ VARIED = {
 }
 
 
-def test_runs_without_marks(spark):
-    for name, text in RUNS.items():
-        listed, whole, items = spam.measure(text)
-        assert items >= spam.LEAST_ITEMS and listed > 0.5 * whole, name
-    for name, text in VARIED.items():
-        listed, whole, items = spam.measure(text)
-        assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
-    df = spark.createDataFrame([(i, t, "web", f"p{i}") for i, t in enumerate([*RUNS.values(), *VARIED.values()])], "doc_id bigint, text string, source string, project_id string")
-    assert sorted(r["doc_id"] for r in spam.pages(df).where("flagged").collect()) == [*range(len(RUNS))]
-
-
 TAGS = {
     "tags": "#CheapSnapshotConverter #theFxWidget #FreeSnapshotConverter #CatalogueDonnées " * 6,
     "tags on lines": "\n".join(f"#FxWidget{x} #theLoan{x}" for x in ("Top", "Best", "Buy", "New", "Free", "Pro", "Now")),
@@ -84,13 +49,81 @@ CODED = {
     "tags at the end": PROSE * 4 + "\n#FxWidget #BestLoan #TaxTool #NavList #GoldFeed #CashApp #LotMatch #SideBook #TradeTs #LoadId",
 }
 
+#: Pages of words that lists of other pages have too; each is judged beside LISTS, which stand on three hosts.
+LISTS = [f"{a} broker app, {b} loan guide, {a} tax tool, {b} fx feed, {a} gold login, {b} app shop" for a in ("cheap", "best", "top", "free") for b in ("online", "new", "buy")]
+STITCHED = {
+    "one sentence over and over": "Buy the cheap broker app of the best loan guide and a free tax tool with new fx feed today. " * 15,
+    "no separators": "cheap broker app online loan guide best tax tool new fx feed top gold login free broker app buy loan guide",
+    "no blanks": "cheap broker app,online loan guide,best tax tool,new fx feed,top gold login,free broker app,buy loan guide,cheap fx feed",
+    "own-looking tags": "\n".join(["broker_app", "loan_guide", "tax_tool", "fx_feed", "gold_login", "app_shop"]),
+    "half prose": PROSE + "\n" + "cheap broker app online loan guide best tax tool new fx feed top gold login free broker app buy loan guide cheap tax tool. " * 2 + PROSE[:80],
+    "assignments": "\n".join(f"brand = {a} broker app {b} loan guide {a} tax tool" for a in ("cheap", "best") for b in ("online", "new", "buy")),
+    "imports": "\n".join(f"Import {a} broker app, select {b} loan guide, create {a} tax tool" for a in ("cheap", "best") for b in ("online", "new", "buy")),
+    "links between keywords": " ".join(f"cheap broker app http://shop{i}.example/a best loan guide" for i in range(8)),
+}
+EXPLAINED = {
+    "links that sentences explain": "\n".join(f"The desk keeps the mapping of the late files of day {i} under http://docs{i}.example/x and checks it." for i in range(8)),
+    "prose that names a product": PROSE * 2 + "The vendor offers a free broker app and a tax tool for the audit office of the group.",
+    "own columns": "\n".join(f"- {c}" for c in ("account_code", "book_id", "fee_bps", "load_id", "lot_id", "price_ccy", "run_seq", "side", "ticker", "trade_ts")),
+    "short sentences": "The night shift left. Nobody objected. It ran twice. She asked again. The check stays. Rates moved. " * 3,
+}
+
+
+def corpus(*parts):
+    texts = [t for p in parts for t in p]
+    return [(i, t, "web", f"p{i % 3}" if i % 4 else None) for i, t in enumerate(texts)]
+
+
+def flagged(spark, rows, more=""):
+    return sorted(r["doc_id"] for r in spam.pages(spark.createDataFrame(rows, COLUMNS + more)).where("flagged").select("doc_id").distinct().collect())
+
+
+def test_pages_are_told_apart(spark):
+    bad = [*CASES.values(), *RUNS.values(), *TAGS.values(), *STITCHED.values(), *LISTS]
+    good = [*CLEAN.values(), *VARIED.values(), *CODED.values(), *EXPLAINED.values()]
+    rows = corpus(bad, good)
+    got = flagged(spark, rows)
+    names = [*CASES, *RUNS, *TAGS, *STITCHED, *range(len(LISTS)), *CLEAN, *VARIED, *CODED, *EXPLAINED]
+    assert [names[i] for i in range(len(bad)) if i not in got] == []
+    assert [names[i] for i in got if i >= len(bad)] == []
+
+
+def test_stitched_pages_need_the_phrases_of_others(spark):
+    """Alone on their host, these pages look like sentences, code or own names; the lists of other hosts tell what they are."""
+    for name in ("no separators", "own-looking tags", "assignments"):
+        text = STITCHED[name]
+        alone = flagged(spark, [(1, text, "web", "p1")])
+        beside = flagged(spark, [(1, text, "web", "p1"), *((i + 2, t, "web", f"p{i % 3}") for i, t in enumerate(LISTS))])
+        assert alone == [] and 1 in beside, name
+
+
+def test_defined_cases(spark):
+    spam_text = CASES["keywords"]
+    rows = [(None, spam_text, None, None, "x", 1), (None, PROSE, None, None, "x", 1), (5, spam_text, None, "p", "x", 1), (5, PROSE, None, "p", "x", 1), (6, "cheap broker, " * 30_000, "web", "p", "x", 1), (7, None, None, None, "x", 1), (8, "", None, None, "x", 1), (9, "cheap, best", None, None, "x", 1)]
+    df = spark.createDataFrame([*rows, rows[2]], COLUMNS + ", phrase string, support int")
+    got = [r["doc_id"] for r in spam.pages(df).where("flagged").collect()]
+    assert sorted(x for x in got if x is not None) == [5, 6] and got.count(None) == 1
+    assert spam.pages(df.limit(0)).collect() == []
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, "cheap, best", "web", "p")] * 9
+    assert flagged(spark, rows) == []
+
+
+def test_phrases_count_hosts(spark):
+    """Two hosts' lists make a phrase stuffed, one host's never, and prose that has it more often takes it back."""
+    listed, prose = "broker app, tax tool", "The broker app of the desk writes the mapping of late files again."
+    phrases = lambda rows: {r["n"] for r in spam.stuffed(spam.evidence(spark.createDataFrame(rows, COLUMNS))).collect()}
+    assert phrases([(1, listed, "s", "a"), (2, listed, "s", "a")]) == set()
+    assert phrases([(1, listed, "s", "a"), (2, listed, "s", "b")]) == {2}
+    with_prose = [(1, "broker app", "s", "a"), (2, "broker app", "s", "b"), *((i, prose, "s", "c") for i in range(3, 5))]
+    assert phrases(with_prose) == set()
+
 
-def test_tags_and_leading_words(spark):
-    for name, text in TAGS.items():
-        listed, whole, items = spam.measure(text)
-        assert items >= spam.LEAST_ITEMS and listed > 0.5 * whole, name
-    for name, text in CODED.items():
-        listed, whole, items = spam.measure(text)
-        assert items < spam.LEAST_ITEMS or listed <= 0.45 * whole, name
-    df = spark.createDataFrame([(i, t, "web", f"p{i}") for i, t in enumerate([*TAGS.values(), *CODED.values()])], "doc_id bigint, text string, source string, project_id string")
-    assert sorted(r["doc_id"] for r in spam.pages(df).where("flagged").collect()) == [*range(len(TAGS))]
+def test_rare_and_common_phrases_by_either_way(spark, monkeypatch):
+    rows = corpus([*STITCHED.values(), *LISTS], CLEAN.values())
+    want = flagged(spark, rows)
+    monkeypatch.setattr(spam, "HEAVY", 0.01)
+    monkeypatch.setattr(spam.store, "is_small", lambda *a, **k: False)
+    assert flagged(spark, rows) == want
