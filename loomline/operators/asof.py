@@ -58,13 +58,19 @@ def intervals(history: DataFrame, bucket_seconds: int, horizon: Column | None =
     return steps.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_us") / size), F.floor(F.greatest(end, F.col("from_us")) / size))))
 
 
-def match(events: DataFrame, entity: str, ts: str, histories: Mapping[str, DataFrame], bucket_seconds: int = DAY) -> DataFrame:
+def latest(events: DataFrame, ts: str) -> int | None:
+    """The greatest time in microseconds; ask the raw table, so that one column is read and nothing else computed."""
+    return events.select(F.max(ts).alias("t")).select(_micros(F.col("t"))).first()[0]
+
+
+def match(events: DataFrame, entity: str, ts: str, histories: Mapping[str, DataFrame], bucket_seconds: int = DAY, latest: int | None = None) -> DataFrame:
     """events with one column for each attribute of histories: its value known at ts.
 
-    histories: attribute -> (entity, valid_from, value), one value for each entity and valid_from.
+    histories: attribute -> (entity, valid_from, value), one value for each entity and valid_from. latest: a time (microseconds)
+    that no event is after, if it is known.
     """
     size = bucket_seconds * 1_000_000
-    top = events.agg(F.max(_micros(F.col(ts))).alias("m")).first()["m"]
+    top = latest if latest is not None else events.agg(F.max(_micros(F.col(ts))).alias("m")).first()["m"]
     us, bucket = "__us", "__bucket"
     out = events.withColumn(us, _micros(F.col(ts))).withColumn(bucket, F.floor(F.col(us) / size))
     for name, history in histories.items():

@@ -1,14 +1,15 @@
 """The property graph: nodes (id, label, name, ...) and edges (source_id, target_id, type, ...) as DataFrames.
 
 Writes are set-based: an upsert is a union followed by "the newest row of each key" with map-side partials;
-edges load only if both ends exist. Traversals go level by level: each level joins the distinct frontier to
-the edges and is written to the shared folder, so plans stay flat and lost executors cost one level. The
-frontier and the visited set are broadcast only if their counted rows are few.
+edges load only if both ends exist. Traversals go level by level: each level asks the edges for those at the distinct
+frontier and writes what it found to the shared folder, so plans stay flat and lost executors cost one level. The
+edges themselves are never copied: a level is a semi-join, which goes below unions and distincts to the scans, or a look
+into the buckets of an `EdgeStore`. One visited set is kept; it and the frontier are broadcast only if proven small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import scalar as S
+from ..sources import keyed
 
 # --- loading --------------------------------------------------------------------------------------
 
@@ -67,6 +69,14 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, edges.source_id == ids.id, "left_semi").join(ids, edges.target_id == ids.id, "left_semi")
 
 
+def without_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end that is no node: what an endpoint merge leaves out, to be retried or reported."""
+    ids = nodes.select("id").distinct()
+    known = ids.withColumn("__k", F.lit(True))
+    j = edges.join(known.withColumnRenamed("id", "source_id").withColumnRenamed("__k", "__a"), "source_id", "left").join(known.withColumnRenamed("id", "target_id").withColumnRenamed("__k", "__b"), "target_id", "left")
+    return j.where("__a IS NULL OR __b IS NULL").select(*edges.columns)
+
+
 def link_projects(nodes: DataFrame, edges: DataFrame, source: str, target: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """Both project nodes and a PROJECT_LINK between them; created_at is only set on creation."""
     spark = nodes.sparkSession
@@ -157,32 +167,92 @@ def flow(edges: DataFrame) -> DataFrame:
     return edges.select(a.alias("source_id"), b.alias("target_id"), *[c for c in edges.columns if c not in ("source_id", "target_id")])
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(id, depth): nodes within `depth` hops of the seeds (id), with the least depth; seeds are depth 0."""
-    a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    hops = store.materialize(edges.select(F.col(a).alias("at"), F.col(b).alias("id")), "reach-hops")
-    frontier = store.materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach-0")
-    levels = [frontier]
-    for d in range(1, depth + 1):
-        ends = hops.join(store.checked_broadcast(frontier.select(F.col("id").alias("at"))), "at").select("id").distinct()
-        for level in levels:
-            ends = ends.join(level.select("id"), "id", "left_anti")
-        frontier = store.materialize(ends.withColumn("depth", F.lit(d)), f"reach-{d}")
-        levels.append(frontier)
+class EdgeStore:
+    """Edges on shared storage, filed by source and by target: a level of a traversal opens only the buckets of its frontier."""
+
+    SIDES = {"source_id": "by_source", "target_id": "by_target"}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, rows_per_bucket: int = 1_000_000):
+        self.store = keyed.KeyedStore(spark, path, {name: (side,) for side, name in self.SIDES.items()}, buckets, rows_per_bucket)
+
+    def add(self, edges: DataFrame) -> None:
+        manifest = self.store.manifest()
+        for name in self.SIDES.values():
+            self.store.write(manifest, name, edges)
+        self.store.publish(self.store.tidy(manifest))
+
+    def at(self, side: str, ids: DataFrame) -> DataFrame | None:
+        """Edges whose end on a side is one of ids (id)."""
+        return self.store.near(self.store.manifest(), self.SIDES[side], ids.select(F.col("id").alias(side)))
+
+
+def edges_at(edges: DataFrame | EdgeStore, side: str, ids: DataFrame) -> DataFrame | None:
+    """Edges whose end on a side is one of ids (id), which should be materialised."""
+    if isinstance(edges, EdgeStore):
+        return edges.at(side, ids)
+    return edges.join(store.checked_broadcast(ids.select(F.col("id").alias(side))), side, "left_semi").select(*edges.columns)
+
+
+def levels(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int | None, reverse: bool = False) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(d, edges from nodes first reached in d - 1 hops, nodes (id) first reached in d hops) for d = 1, 2, ... while there are any."""
+    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    visited = frontier = store.materialize(seeds.select("id").where("id IS NOT NULL").distinct(), "reach-0")
+    d = 1
+    while depth is None or d <= depth:
+        found = edges_at(edges, here, frontier)
+        if found is None:
+            return
+        hop = store.materialize(found.distinct(), f"reach-edges-{d}")
+        frontier = store.materialize(hop.select(F.col(there).alias("id")).distinct().join(store.checked_broadcast(visited), "id", "left_anti"), f"reach-{d}")
+        yield d, hop, frontier
         if not frontier.limit(1).count():
-            break
-    return reduce(DataFrame.unionByName, levels)
+            return
+        visited = visited.unionByName(frontier)
+        d += 1
 
 
-def downstream(edges: DataFrame, seeds: DataFrame, depth: int = 10) -> DataFrame:
+def reach(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """(id, depth): nodes within `depth` hops of the seeds (id), with the least depth; seeds are depth 0."""
+    parts = [seeds.select("id").distinct().withColumn("depth", F.lit(0))]
+    parts += [frontier.withColumn("depth", F.lit(d)) for d, _, frontier in levels(edges, seeds, depth, reverse)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def downstream(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int = 10) -> DataFrame:
     return reach(edges, seeds, depth).where("depth > 0")
 
 
-def upstream(edges: DataFrame, seeds: DataFrame, depth: int = 10) -> DataFrame:
+def upstream(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int = 10) -> DataFrame:
     return reach(edges, seeds, depth, reverse=True).where("depth > 0")
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "both") -> DataFrame:
+def lineage_rows(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int = 10, reverse: bool = False, nodes: DataFrame | None = None, project: str | None = None, repositories: Sequence[str] | None = None) -> DataFrame:
+    """(source, relationship, target, depth, and the edges' other columns): the edges on ways of up to `depth` hops from the seeds.
+
+    depth is the least number of hops at which an edge is met (1 at the seeds). With a project or repositories only ways
+    count that end in a node of those (nodes: id, project_id, repository_id): edges are pruned level by level from the far end.
+    """
+    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    hops = [(d, hop) for d, hop, _ in levels(edges, seeds, depth, reverse)]
+    if project is not None or repositories is not None:
+        ends = nodes if project is None else nodes.where(F.col("project_id") == project)
+        ends = ends.select("id", *(["repository_id"] if repositories is not None else []))
+        ends = (ends if repositories is None else ends.where(F.col("repository_id").isin(list(repositories)))).select("id").distinct()
+        kept, wanted = [], None
+        for d, hop in reversed(hops):
+            good = hop.join(ends.withColumnRenamed("id", there), there, "left_semi")
+            if wanted is not None:  # or it leads on to a node that counts
+                good = good.unionByName(hop.join(wanted.withColumnRenamed("id", there), there, "left_semi")).distinct()
+            good = store.materialize(good, "lineage-kept")
+            wanted = good.select(F.col(here).alias("id")).distinct()
+            kept.append((d, good))
+        hops = kept[::-1]
+    more = [c for c in hops[0][1].columns if c not in ("source_id", "target_id", "type")] if hops else []
+    rows = [h.select(F.col("source_id").alias("source"), F.col("type").alias("relationship"), F.col("target_id").alias("target"), F.lit(d).alias("depth"), *more) for d, h in hops]
+    return reduce(DataFrame.unionByName, rows) if rows else seeds.sparkSession.createDataFrame([], "source string, relationship string, target string, depth int")
+
+
+def lineage(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int = 5, direction: str = "both") -> DataFrame:
     """(id, depth, direction) of a node's surroundings, the node itself as `self`."""
     parts = [seeds.select("id", F.lit(0).alias("depth"), F.lit("self").alias("direction"))]
     if direction in ("both", "up", "upstream"):
@@ -192,8 +262,11 @@ def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str =
     return reduce(DataFrame.unionByName, parts)
 
 
-def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(path, types, hops): every edge-simple path of 1..depth hops from the seeds; as many rows as there are paths."""
+def trails(edges: DataFrame, seeds: DataFrame, depth: int, closed: bool = False) -> DataFrame:
+    """(path, types, hops): every edge-simple path of 1..depth hops from the seeds; as many rows as there are paths.
+
+    Paths that end where they began are walked on, but come out only if `closed`.
+    """
     hops = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), "type", F.xxhash64("source_id", "type", "target_id").alias("edge"))
     now = seeds.select(F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<bigint>").alias("used"))
     out = []
@@ -201,26 +274,33 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         step = now.join(hops, "at").where(~F.array_contains("used", F.col("edge")))
         now = store.materialize(step.select(F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("types", F.col("type")).alias("types"), F.array_append("used", F.col("edge")).alias("used")), f"trails-{d}")
         out.append(now.select("path", "types", F.lit(d).alias("hops")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 12) -> DataFrame:
-    """(path, hops) of a shortest undirected path, the lexicographically first; no row if there is none."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id"), F.col("source_id")).toDF("at", "next")).distinct()
-    both = store.materialize(both, "path-hops")
-    now = spark.createDataFrame([(source, [source])], "at string, path array<string>")
-    seen = [store.materialize(now, "path-0")]
-    for d in range(most + 1):
-        hit = seen[-1].where(F.col("at") == target)
+    every = reduce(DataFrame.unionByName, out)
+    return every if closed else every.where(F.col("path")[0] != F.element_at("path", -1))
+
+
+def shortest_path(edges: DataFrame | EdgeStore, source: str, target: str) -> DataFrame:
+    """(path, hops) of a shortest undirected path, the lexicographically first; no row if there is none.
+
+    The search goes on as long as it meets new nodes, however long the path is.
+    """
+    spark = edges.store.spark if isinstance(edges, EdgeStore) else edges.sparkSession
+    frontier = store.materialize(spark.createDataFrame([(source, [source])], "id string, path array<string>"), "path-0")
+    visited, d = frontier.select("id"), 0
+    while True:
+        hit = frontier.where(F.col("id") == target)
         if hit.limit(1).count():
             return hit.select("path", F.lit(d).alias("hops"))
-        step = both.join(store.checked_broadcast(seen[-1]), "at").select(F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")).groupBy("at").agg(F.min("path").alias("path"))
-        for level in seen:
-            step = step.join(level.select("at"), "at", "left_anti")
-        seen.append(store.materialize(step, f"path-{d + 1}"))
-        if not seen[-1].limit(1).count():
+        ids = frontier.select("id")
+        sides = [(e.select(F.col(a).alias("id"), F.col(b).alias("next"))) for a, b in (("source_id", "target_id"), ("target_id", "source_id")) if (e := edges_at(edges, a, ids)) is not None]
+        if not sides:
+            break
+        near = store.materialize(reduce(DataFrame.unionByName, sides).distinct().join(store.checked_broadcast(visited.withColumnRenamed("id", "next")), "next", "left_anti"), "path-near")
+        step = near.join(store.checked_broadcast(frontier), "id").groupBy("next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+        d += 1
+        frontier = store.materialize(step.withColumnRenamed("next", "id"), f"path-{d}")
+        if not frontier.limit(1).count():
             break
+        visited = visited.unionByName(frontier.select("id"))
     return spark.createDataFrame([], "path array<string>, hops int")
 
 
@@ -229,9 +309,14 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 12) ->
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, n): counts by label and by type, and in all (name null)."""
-    a = nodes.rollup("label").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), F.col("label").alias("name"), "n")
-    b = edges.rollup("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), F.col("type").alias("name"), "n")
-    return a.unionByName(b)
+
+
+    def tally(df: DataFrame, column: str, kind: str) -> DataFrame:
+        each = df.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+        total = each.agg(F.lit(None).cast("string").alias("name"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))  # of an empty graph too
+        return each.unionByName(total).select(F.lit(kind).alias("kind"), "name", "n")
+
+    return tally(nodes, "label", "node").unionByName(tally(edges, "type", "edge"))
 
 
 def purge(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,10 +390,15 @@ def backfill(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"source": F.coalesce("source", F.lit("parser")), "status": F.coalesce("status", F.lit("approved")), "confidence": F.coalesce("confidence", F.lit(1.0))})
 
 
-def review(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """edges with the status of verdicts (source_id, target_id, type, verdict); others as they are."""
-    v = verdicts.select("source_id", "target_id", "type", F.when(F.col("verdict") == "approve", "approved").otherwise("rejected").alias("__s"))
-    return edges.join(v, ["source_id", "target_id", "type"], "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
+def review(edges: DataFrame, verdicts: DataFrame, now: Column | None = None) -> DataFrame:
+    """edges with the status of verdicts (source_id, target_id, type, verdict, perhaps notes), reviewed_at and reviewer_notes; others as they are."""
+    notes = F.col("notes") if "notes" in verdicts.columns else F.lit(None).cast("string")
+    v = verdicts.select("source_id", "target_id", "type", F.when(F.col("verdict") == "approve", "approved").otherwise("rejected").alias("__s"), notes.alias("__n"))
+    j = edges.join(v, ["source_id", "target_id", "type"], "left")
+    old = lambda c, kind: F.col(c) if c in edges.columns else F.lit(None).cast(kind)
+    at = now if now is not None else F.current_timestamp()
+    done = F.col("__s").isNotNull()
+    return j.withColumns({"status": F.coalesce("__s", "status"), "reviewed_at": F.when(done, at).otherwise(old("reviewed_at", "timestamp")), "reviewer_notes": F.when(done, F.col("__n")).otherwise(old("reviewer_notes", "string"))}).drop("__s", "__n")
 
 
 def judge_proposals(proposals: DataFrame, context: DataFrame, edges: DataFrame) -> DataFrame:
@@ -369,7 +459,7 @@ CATALOGUE = {
 }
 
 
-def chat_context(nodes: DataFrame, edges: DataFrame, question: str, entities: int = 3, depth: int = 2) -> DataFrame:
+def chat_context(nodes: DataFrame, edges: DataFrame | EdgeStore, question: str, entities: int = 3, depth: int = 2) -> DataFrame:
     """(id, depth, direction): the surroundings of the first few nodes whose names the question's terms are in."""
     spark = nodes.sparkSession
     found = spark.range(1).select(S.terms(F.lit(question))).first()[0]  # one row

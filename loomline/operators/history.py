@@ -17,14 +17,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import store
+from ..sources import keyed
 
 ATTRIBUTES = ("ticker", "asset_class", "region", "sector", "currency")
 OPEN_END = 99991231
@@ -36,25 +35,28 @@ def bare(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, MARKS, ""))
 
 
-def _entries(payload: Column) -> Column:
-    as_map = F.from_json(payload, "map<string,string>", {"allowSingleQuotes": "false"})
-    return F.transform(F.map_entries(as_map), lambda e: F.struct(bare(e["key"]).alias("k"), e["value"].alias("v")))
-
-
-def _pick(entries: Column, key: str) -> Column:
-    hits = F.filter(entries, lambda e: (e["k"] == key) & (F.trim(F.regexp_replace(e["v"], r"[\s\xa0]+", " ")) != ""))
-    return F.try_element_at(hits, F.lit(1))["v"]
+def _as_map(payload: Column) -> Column:
+    return F.from_json(payload, "map<string,string>", {"allowSingleQuotes": "false"})
 
 
 def changes_of(snapshots: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """(entity, as_of_date, loaded_at, seq, <attributes>) of each readable snapshot; values in bare form."""
-    slim = store.spread(snapshots.select("as_of_date", "loaded_at", "id", "payload"))
-    raw = slim.select("as_of_date", "loaded_at", F.col("id").alias("seq"), _entries(F.col("payload")).alias("top")).where("as_of_date IS NOT NULL AND top IS NOT NULL")
-    nested = F.flatten(F.transform(F.filter(F.col("top"), lambda e: F.ltrim(e["v"]).startswith("{")), lambda e: F.coalesce(_entries(e["v"]), F.array().cast("array<struct<k:string,v:string>>"))))
-    flat = raw.withColumn("entries", F.concat("top", nested))
-    entity = F.upper(F.regexp_replace(_pick(F.col("entries"), "isin"), r"[\s\xa0]+", ""))
-    cols = [bare(_pick(F.col("entries"), bare_name(a))).alias(a) for a in attributes]
-    return flat.select(entity.alias("entity"), "as_of_date", "loaded_at", "seq", *cols).where("entity IS NOT NULL AND entity <> ''")
+    """(entity, as_of_date, loaded_at, seq, <attributes>) of each readable snapshot; values in bare form.
+
+    A payload is parsed once; only values that are objects are parsed again. Rows that are no snapshots leave with the
+    generator, as a filter on what was parsed would be pushed below the projection and parse everything twice.
+    """
+    slim = store.spread(snapshots.select("as_of_date", "loaded_at", "id", "payload")).where("as_of_date IS NOT NULL AND payload IS NOT NULL")
+    top = F.map_entries(_as_map(F.col("payload")))
+    objects = F.flatten(F.transform(F.filter("top", lambda e: F.ltrim(e["value"]).startswith("{")), lambda e: F.coalesce(F.map_entries(_as_map(e["value"])), F.array().cast("array<struct<key:string,value:string>>"))))
+    wanted = [bare_name(a) for a in ("isin", *attributes)]
+    named = F.filter(F.transform(F.concat("top", "nested"), lambda e: F.struct(bare(e["key"]).alias("k"), e["value"].alias("v"))), lambda e: e["k"].isin(*wanted) & (F.trim(F.regexp_replace(e["v"], r"[\s\xa0]+", " ")) != ""))
+    pick = lambda key: F.try_element_at(F.filter("entries", lambda e: e["k"] == key), F.lit(1))["v"]
+    entity = F.upper(F.regexp_replace(pick("isin"), r"[\s\xa0]+", ""))
+    row = F.struct(entity.alias("entity"), *[bare(pick(bare_name(a))).alias(a) for a in attributes])
+    base = ["as_of_date", "loaded_at", F.col("id").alias("seq")]
+    parsed = slim.select(*base, top.alias("top")).withColumn("nested", objects).select("as_of_date", "loaded_at", "seq", named.alias("entries"))
+    kept = parsed.select("as_of_date", "loaded_at", "seq", F.explode(F.filter(F.array(row), lambda r: r["entity"] != "")).alias("r"))
+    return kept.select("r.entity", "as_of_date", "loaded_at", "seq", *[F.col(f"r.{a}").alias(a) for a in attributes])
 
 
 def bare_name(name: str) -> str:
@@ -96,11 +98,15 @@ def is_late(days: int = 2) -> Column:
 
 
 def build(snapshots: DataFrame, attributes: Sequence[str] = ATTRIBUTES, late_after_days: int = 2) -> DataFrame:
-    """The full history of a landing table: chains from the snapshots that came in time, then one
-    affected-chain rebuild for the late and corrected ones. The result doesn't depend on the split."""
+    """The full history of a landing table, through a store of its own: one batch of the snapshots that came in time, then one
+    of the late and corrected ones, which rebuilds the chains it touches. The result doesn't depend on the split."""
+    spark = snapshots.sparkSession
     changes = store.materialize(compact_within(changes_of(snapshots, attributes), late_after_days), "changes")
-    in_time, late = changes.where("NOT late").drop("late"), changes.where("late").drop("late")
-    return rebuild_affected(chains(in_time, attributes), in_time, late, attributes)
+    kept = HistoryStore(spark, store.fresh_path(spark, "history"), attributes=attributes)
+    kept.apply(changes.where("NOT late").drop("late"))
+    kept.apply(changes.where("late").drop("late"))
+    found = kept.history()
+    return found if found is not None else chains(changes.drop("late").limit(0), attributes)
 
 
 def compact_within(changes: DataFrame, late_after_days: int) -> DataFrame:
@@ -121,76 +127,36 @@ def versions(history: DataFrame) -> DataFrame:
 
 
 class HistoryStore:
-    """Changes and chains on shared storage, in hash buckets of the entity.
+    """Changes and chains on shared storage, filed by entity.
 
-    apply() writes new generations of the touched buckets' chains beside the old ones and then replaces
-    the manifest with a single rename, so a reader sees either all old or all new chains of a batch.
+    apply() fetches the raw changes of the batch's entities alone, rebuilds their chains, writes them in place of the old
+    ones (with the other chains of their buckets) and publishes both in one step; a reader sees either all old or all new
+    chains of a batch, and of two writers one is refused with StaleWriter.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, attributes: Sequence[str] = ATTRIBUTES):
-        self.spark, self.path, self.buckets, self.attributes = spark, path.rstrip("/"), buckets, tuple(attributes)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("entity"), F.lit(self.buckets)).cast("int")
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict:
-        p, fs = self._fs(f"{self.path}/manifest.json")
-        if not fs.exists(p):
-            return {"changes": [], "chains": {}}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).collect()))
-
-    def _publish(self, manifest: dict) -> None:
-        jvm = self.spark.sparkContext._jvm
-        tmp, fs = self._fs(f"{self.path}/manifest-{uuid.uuid4().hex}.json")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        target, _ = self._fs(f"{self.path}/manifest.json")
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, target, rename)
-
-    def changes(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
-        paths = self.manifest()["changes"]
-        if not paths:
-            return None
-        df = self.spark.read.parquet(*paths)
-        return df if buckets is None else df.where(F.col("bucket").isin(list(buckets)))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, attributes: Sequence[str] = ATTRIBUTES, rows_per_bucket: int = 1_000_000):
+        self.attributes = tuple(attributes)
+        self.store = keyed.KeyedStore(spark, path, {"changes": ("entity",), "chains": ("entity",)}, buckets, rows_per_bucket)
 
     def history(self) -> DataFrame | None:
-        """All current chains."""
-        gens = self.manifest()["chains"]
-        if not gens:
-            return None
-        return self.spark.read.parquet(*[f"{path}/bucket={b}" for b, path in gens.items()]).select("entity", "valid_from", "valid_to", *self.attributes)
+        """All current chains; None before the first batch."""
+        return self.store.read(self.store.manifest(), "chains")
+
+    def changes(self) -> DataFrame | None:
+        return self.store.read(self.store.manifest(), "changes")
 
     def apply(self, batch: DataFrame) -> None:
         """Take in a batch of changes (see changes_of), in any order of dates."""
-        manifest = self.manifest()
-        gen = uuid.uuid4().hex
-        new = f"{self.path}/changes/{gen}"
-        filed = compact(batch).withColumn("bucket", self._bucket())
-        filed.write.partitionBy("bucket").parquet(new)
-        landed = self.spark.read.schema(filed.schema).parquet(new)
-        touched = [r[0] for r in landed.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not touched:
+        manifest = self.store.manifest()
+        fresh = store.materialize(compact(batch), "history-batch")
+        buckets = self.store.touched(manifest, "chains", fresh)
+        if not buckets:
             return
-        old = self.changes(touched)
-        fresh = landed.drop("bucket")
-        if old is None:
-            current = chains(fresh, self.attributes)
-        else:
-            had = [f"{manifest['chains'][str(b)]}/bucket={b}" for b in touched if str(b) in manifest["chains"]]
-            kept = self.spark.read.parquet(*had).select("entity", "valid_from", "valid_to", *self.attributes) if had else chains(fresh.limit(0), self.attributes)
-            current = rebuild_affected(kept, old.drop("bucket"), fresh, self.attributes)
-        out = f"{self.path}/chains/{gen}"
-        current.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(out)
-        manifest["changes"] = [*manifest["changes"], new]
-        manifest["chains"] |= {str(b): out for b in touched}
-        self._publish(manifest)
+        old = self.store.near(manifest, "changes", fresh)
+        rebuilt = chains(fresh if old is None else old.unionByName(fresh), self.attributes)
+        there = self.store.read(manifest, "chains", buckets)
+        if there is not None:
+            rebuilt = rebuilt.unionByName(there.join(store.checked_broadcast(fresh.select("entity").distinct()), "entity", "left_anti"))
+        self.store.write(manifest, "changes", fresh)
+        self.store.replace(manifest, "chains", rebuilt, buckets)
+        self.store.publish(self.store.tidy(manifest))

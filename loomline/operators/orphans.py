@@ -57,8 +57,9 @@ def deletions(deleted: DataFrame) -> DataFrame:
     return deleted.select(F.lower(F.trim("table_name")).alias("target"), key_of(F.col("record_id")).alias("key")).where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
 
 
-def verdicts(refs: DataFrame, known: DataFrame, deleted: DataFrame, heavy_share: float = 0.001) -> tuple[DataFrame, DataFrame]:
-    """(heavy, light): (target, key, state, since) of the keys with an orphan; state is `late?` if only rows before `since` are."""
+def verdicts(refs: DataFrame, known: DataFrame, deleted: DataFrame, heavy_share: float = 0.001) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(heavy keys, heavy, light): all heavy keys, and (target, key, state, since) of the heavy and of the other keys with an orphan;
+    state is `late?` if only rows before `since` are."""
     per_period = store.materialize(refs.groupBy("target", "key", "period").agg(F.count("*").alias("n"), F.min("created_at").alias("first")), "refs-per-period")
     per_key = per_period.groupBy("target", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     total = per_period.agg(F.sum("n")).first()[0] or 0
@@ -76,18 +77,19 @@ def verdicts(refs: DataFrame, known: DataFrame, deleted: DataFrame, heavy_share:
         state = F.when(present & (F.col("first") < F.col("since")), "late?").when(present, F.lit(None).cast("string")).when(F.col("listed"), F.lit("deleted")).otherwise("missing")
         return df.select("target", "key", "since", state.alias("state")).where("state IS NOT NULL")
 
-    return judge(of_heavy), judge(of_light)
+    return heavy.select("target", "key"), judge(of_heavy), judge(of_light)
 
 
 def orphans(tables: dict[str, DataFrame], deleted: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     """(src_table, src_field, row_id, state, period) of each orphan reference, one row for each."""
     refs = references(tables)
     known = records(tables).withColumn("here", F.lit(True))
-    heavy, light = verdicts(refs, known, deletions(deleted), heavy_share)
+    keys, heavy, light = verdicts(refs, known, deletions(deleted), heavy_share)
     heavy = store.materialize(heavy, "orphan-heavy")  # at most 1 / heavy_share rows
     light = store.checked_broadcast(store.materialize(light, "orphan-light"))
     heavy_rows = refs.join(F.broadcast(heavy), ["target", "key"])
-    light_rows = refs.join(light, ["target", "key"])
+    # rows of heavy keys leave before a shuffle could bring them together
+    light_rows = refs.join(F.broadcast(keys), ["target", "key"], "left_anti").join(light, ["target", "key"])
     rows = heavy_rows.unionByName(light_rows).where("state <> 'late?' OR created_at < since")
     state = F.when(F.col("state") == "late?", "late").otherwise(F.col("state"))
     return rows.select("src_table", "src_field", "row_id", state.alias("state"), "period").distinct()

@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.amounts_in_usd(store.materialize(_units(spark, sf_dir), "units"), table(spark, sf_dir, "fx_rates"), _money(spark))
+    return units.amounts_in_usd(store.materialize(_units(spark, sf_dir), "units"), table(spark, sf_dir, "fx_rates"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p3_found, p3_counts, p5_found, p5_amounts)}

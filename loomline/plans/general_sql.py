@@ -122,15 +122,15 @@ _UNITS = f"""
 WITH {_SNAPSHOTS}, {_QUOTES},
 tick AS (SELECT isin, as_of_date, upper(ticker) AS ticker, lag(ticker) OVER (PARTITION BY isin ORDER BY as_of_date) AS before FROM filled),
 steps AS (SELECT ticker, CAST(as_of_date AS TIMESTAMP) AS at, max(isin) AS isin FROM tick WHERE ticker IS NOT NULL AND (before IS NULL OR upper(before) <> ticker) GROUP BY ALL),
-a AS (SELECT 'a' AS feed, trade_id AS row_id, upper(regexp_replace(isin, '[^A-Za-z0-9]', '', 'g')) AS isin, CAST(price AS DOUBLE) AS price, trim(currency) AS t, trim(source_system) AS s FROM trade_feed_venue_a WHERE price IS NOT NULL),
-b0 AS (SELECT id, exec_time, regexp_replace(upper(trim(ticker)), '[. ][A-Z]{{1,2}}$', '') AS ticker, CAST(gross_amount AS DOUBLE) / CAST(qty AS DOUBLE) AS price, trim(ccy) AS t, trim(source_system) AS s FROM trade_feed_venue_b WHERE gross_amount IS NOT NULL),
-b AS (SELECT 'b' AS feed, id AS row_id, isin, price, t, s FROM b0 ASOF LEFT JOIN steps ON b0.ticker = steps.ticker AND b0.exec_time >= steps.at),
-rows AS (SELECT feed, row_id, isin, price, coalesce({_ccy_any('t')}, {_ccy_any('s')}) AS ccy, coalesce({_power('t')}, {_power('s')}) AS p FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+a AS (SELECT 'a' AS feed, trade_id AS row_id, upper(regexp_replace(isin, '[^A-Za-z0-9]', '', 'g')) AS isin, CAST(price AS DOUBLE) AS price, trade_ts AS ts, CAST(price AS DOUBLE) AS amount, trim(currency) AS t, trim(source_system) AS s FROM trade_feed_venue_a WHERE price IS NOT NULL),
+b0 AS (SELECT id, exec_time, regexp_replace(upper(trim(ticker)), '[. ][A-Z]{{1,2}}$', '') AS ticker, CAST(gross_amount AS DOUBLE) / CAST(qty AS DOUBLE) AS price, CAST(gross_amount AS DOUBLE) AS amount, trim(ccy) AS t, trim(source_system) AS s FROM trade_feed_venue_b WHERE gross_amount IS NOT NULL),
+b AS (SELECT 'b' AS feed, id AS row_id, isin, price, exec_time AS ts, amount, t, s FROM b0 ASOF LEFT JOIN steps ON b0.ticker = steps.ticker AND b0.exec_time >= steps.at),
+rows AS (SELECT feed, row_id, isin, price, ts, amount, coalesce({_ccy_any('t')}, {_ccy_any('s')}) AS ccy, coalesce({_power('t')}, {_power('s')}) AS p FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
 lev AS (SELECT ccy, log10(median(usd)) AS l FROM quotes WHERE ccy IS NOT NULL GROUP BY 1),
 logs AS (SELECT r.*, CASE WHEN price > 0 THEN log10(price) + coalesce(p, 0) + l END AS lp FROM rows r LEFT JOIN lev USING (ccy) WHERE ccy IS NOT NULL),
 med AS (SELECT isin, median(lp) AS m FROM logs WHERE isin IS NOT NULL AND lp IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
-judged AS (SELECT feed, row_id, ccy AS unit_ccy, CASE WHEN p IS NOT NULL THEN p WHEN abs(lp - m - 2) < 0.5 THEN -2 WHEN abs(lp - m + 3) < 0.5 THEN 3 WHEN abs(lp - m + 6) < 0.5 THEN 6 ELSE 0 END AS pow FROM logs LEFT JOIN med USING (isin))
-SELECT feed, row_id, unit_ccy, CAST(pow AS BIGINT) AS unit_pow10 FROM judged WHERE pow <> 0"""
+judged AS (SELECT feed, row_id, ts, amount, ccy AS unit_ccy, CASE WHEN p IS NOT NULL THEN p WHEN abs(lp - m - 2) < 0.5 THEN -2 WHEN abs(lp - m + 3) < 0.5 THEN 3 WHEN abs(lp - m + 6) < 0.5 THEN 6 ELSE 0 END AS pow FROM logs LEFT JOIN med USING (isin))
+"""
 
 ORACLES = {
     "p1_found": f"WITH {_SNAPSHOTS} SELECT isin, CAST(strftime(valid_from, '%Y%m%d') AS BIGINT) AS valid_from, coalesce(CAST(strftime(valid_to, '%Y%m%d') AS BIGINT), 99991231) AS valid_to FROM versions",
@@ -146,7 +146,11 @@ final_day AS (SELECT ccy, CAST(as_of_date AS TIMESTAMP) AS day, max(ROW(as_of_da
 k AS (SELECT t.*, s.best AS known FROM trades t ASOF JOIN steps s ON t.ccy = s.ccy AND t.trade_ts >= s.vis),
 b AS (SELECT k.*, f.best AS final FROM k ASOF JOIN final_day f ON k.ccy = f.ccy AND k.trade_ts >= f.day)
 SELECT trade_id, known[3] AS rate_id FROM b WHERE known[3] <> final[3]""",
-    "p5_found": _UNITS,
+    "p5_found": f"{_UNITS} SELECT feed, row_id, unit_ccy, CAST(pow AS BIGINT) AS unit_pow10 FROM judged WHERE pow <> 0",
+    "p5_amounts": f"""{_UNITS},
+day_rate AS (SELECT ccy, CAST(as_of_date AS TIMESTAMP) AS day, arg_max(usd, ROW(loaded_at, rate_id)) AS usd FROM quotes WHERE ccy IS NOT NULL AND usd > 0 GROUP BY ALL),
+priced AS (SELECT j.*, CASE WHEN unit_ccy = 'USD' AND ts IS NOT NULL THEN 1 ELSE r.usd END AS usd FROM judged j ASOF LEFT JOIN day_rate r ON j.unit_ccy = r.ccy AND j.ts >= r.day)
+SELECT feed, row_id, unit_ccy || '|' || CASE pow WHEN -2 THEN 'c' WHEN 2 THEN 'h' WHEN 3 THEN 'k' WHEN 6 THEN 'm' ELSE '1' END AS unit, CAST(round(CAST(amount * (pow(CAST(10 AS DOUBLE), pow) * usd) AS DECIMAL(38,8)), 2) AS DOUBLE) AS amount_usd FROM priced""",
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT src_table, src_field, row_id, state FROM orphans",
     "p3_counts": f"WITH {_ORPHANS} SELECT src_table, src_field, period, state, count(*) AS n FROM orphans GROUP BY ALL",
 }

@@ -57,7 +57,7 @@ def g01_upsert_nodes(spark, sf):
 def g03_endpoint_merge(spark, sf):
     n, e = fk(spark, sf)
     new = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("C"), F.col("s_suppkey") * 20).alias("target_id"), F.lit("SERVES").alias("type"))
-    return G.upsert_edges(e.where("type = 'CONTAINS'"), new, n)
+    return G.upsert_edges(e, new, n)
 
 
 def g06_name_search(spark, sf):
@@ -69,15 +69,30 @@ def g07_multi_name_search(spark, sf):
 
 
 def g08_upstream(spark, sf):
-    return G.upstream(fk(spark, sf)[1], seeds(spark, "P1"), 4)
+    return G.lineage_rows(fk(spark, sf)[1], seeds(spark, "P1"), 4, reverse=True)
 
 
 def g09_downstream(spark, sf):
+    return G.lineage_rows(fk(spark, sf)[1], seeds(spark, "R0"), 3)
+
+
+def g09_downstream_nodes(spark, sf):
     return G.downstream(fk(spark, sf)[1], seeds(spark, "R0"), 3)
 
 
+def g09_downstream_of_project(spark, sf):
+    """Only ways that end at suppliers: the labels stand for projects."""
+    n, e = fk(spark, sf)
+    return G.lineage_rows(e, seeds(spark, "R1"), 3, nodes=n.withColumn("project_id", F.col("label")).withColumn("repository_id", F.lit("fk")), project="Supplier", repositories=["fk"])
+
+
 def g10_shortest_path(spark, sf):
-    return G.shortest_path(fk(spark, sf)[1].where("type <> 'READS_FROM'"), "C1", "S1").select(F.array_join("path", ">").alias("path"), "hops")
+    """From the first customer to the last supplier of its region."""
+    nation, customer, supplier = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    region = customer.where("c_custkey = 1").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey")
+    of_region = supplier.join(nation.join(region, "n_regionkey", "left_semi"), F.col("s_nationkey") == F.col("n_nationkey"))
+    last = of_region.agg(F.max("s_suppkey")).first()[0]  # one row
+    return G.shortest_path(fk(spark, sf)[1], "C1", f"S{last}").select(F.array_join("path", ">").alias("path"), "hops")
 
 
 def g11_graph_stats(spark, sf):
@@ -106,7 +121,7 @@ def g17_edge_urn(spark, sf):
 
 
 def g18_lineage_payload(spark, sf):
-    return G.lineage(fk(spark, sf)[1].where("type <> 'READS_FROM'"), seeds(spark, "N7"), 5)
+    return G.lineage(fk(spark, sf)[1], seeds(spark, "N7"), 5)
 
 
 def g20_review(spark, sf):
@@ -152,7 +167,7 @@ def g29_backfill(spark, sf):
 
 def g30_visual_graph(spark, sf):
     n, e = fk(spark, sf)
-    return G.visual(n.where("label <> 'Part'"), e.where("type <> 'READS_FROM'"))[1]
+    return G.visual(n, e)[1]
 
 
 def g31_bounded_paths(spark, sf):
@@ -186,25 +201,28 @@ def g33_chat_context(spark, sf):
     return G.chat_context(n, e, "what depends on nation_17 downstream?", 3, 2)
 
 
-# The SQL of g03, g10, g18 and g30 is of the graph without reads (or parts); these four are the same over all of it.
+def sc11_node_scan(spark, sf):
+    return G.node_scan(fk(spark, sf)[0].withColumn("project_id", F.lit("fk")), label="Nation", contains="_1", project_id="fk").select("id", "label", "name")
 
 
-def g03_endpoint_merge_whole(spark, sf):
-    n, e = fk(spark, sf)
-    new = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("C"), F.col("s_suppkey") * 20).alias("target_id"), F.lit("SERVES").alias("type"))
-    return G.upsert_edges(e, new, n)
+def sc12_edge_scan(spark, sf):
+    n, _ = fk(spark, sf)
+    return G.edge_scan(governed(spark, sf), n, 0.97, status="proposed").select("source_id", "target_id", "type", "confidence")
 
 
-def g10_shortest_path_whole(spark, sf):
-    return G.shortest_path(fk(spark, sf)[1], "C1", "S1").select(F.array_join("path", ">").alias("path"), "hops")
+def sc13_entity_by_id(spark, sf):
+    return G.by_id(fk(spark, sf)[0], "N7")
 
 
-def g18_lineage_payload_whole(spark, sf):
-    return G.lineage(fk(spark, sf)[1], seeds(spark, "N7"), 5)
+def g13_clear(spark, sf):
+    return G.stats(*G.clear(*fk(spark, sf)))
 
 
-def g30_visual_graph_whole(spark, sf):
-    return G.visual(*fk(spark, sf))[1]
+def g05_edges_without_ends(spark, sf):
+    """What an endpoint merge leaves out, as it would be retried."""
+    n, _ = fk(spark, sf)
+    new = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("C"), F.col("s_suppkey") * 20).alias("target_id"), F.lit("SERVES").alias("type"))
+    return G.without_ends(new, n)
 
 
 def g30_lineage_graph(spark, sf):
@@ -221,20 +239,41 @@ def _walk(seed: str, depth: int, at: str = "source_id", to: str = "target_id", e
     return _DOWN.format(EDGES=EDGES + extra, seed=seed, depth=depth, at=at, to=to, edges=edges)
 
 
+_ROWS = """
+WITH RECURSIVE {EDGES}, hop(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM hop JOIN edges e ON {at} = hop.id WHERE depth < {depth}),
+near AS (SELECT id, min(depth) AS depth FROM hop GROUP BY id)
+SELECT source_id AS source, type AS relationship, target_id AS target, CAST(depth + 1 AS INT) AS depth FROM near JOIN edges ON {at} = near.id WHERE depth < {depth}"""
+
+
+def _rows(seed: str, depth: int, at: str = "source_id", to: str = "target_id") -> str:
+    return _ROWS.format(EDGES=EDGES, seed=seed, depth=depth, at=at, to=to)
+
+
 ORACLES = {
     "g01_upsert_nodes": f"WITH {NODES} SELECT id, label, CASE WHEN label = 'Nation' AND CAST(substr(id, 2) AS INT) % 2 = 0 THEN lower(name) ELSE name END AS name FROM nodes",
-    "g03_endpoint_merge": f"WITH {EDGES} SELECT source_id, target_id, type FROM edges WHERE type = 'CONTAINS' UNION ALL SELECT 'S' || s_suppkey, 'C' || (s_suppkey * 20), 'SERVES' FROM supplier WHERE s_suppkey * 20 IN (SELECT c_custkey FROM customer)",
+    "g03_endpoint_merge": f"WITH {EDGES} SELECT source_id, target_id, type FROM edges UNION ALL SELECT 'S' || s_suppkey, 'C' || (s_suppkey * 20), 'SERVES' FROM supplier WHERE s_suppkey * 20 IN (SELECT c_custkey FROM customer)",
     "g06_name_search": f"WITH {NODES} SELECT * FROM nodes WHERE contains(lower(name), 'nation_1') ORDER BY id LIMIT 100",
     "g07_multi_name_search": f"WITH {NODES} SELECT * FROM nodes WHERE contains(lower(name), 'iran') OR contains(lower(name), 'asia') OR contains(lower(name), 'supplier#00000000') ORDER BY id LIMIT 50",
-    "g08_upstream": _walk("P1", 4, "target_id", "source_id"),
-    "g09_downstream": _walk("R0", 3),
-    "g10_shortest_path": "SELECT CASE WHEN c_nationkey = s_nationkey THEN 'C1>N' || c_nationkey || '>S1' WHEN a.n_regionkey = b.n_regionkey THEN 'C1>N' || c_nationkey || '>R' || a.n_regionkey || '>N' || s_nationkey || '>S1' END AS path, CASE WHEN c_nationkey = s_nationkey THEN 2 WHEN a.n_regionkey = b.n_regionkey THEN 4 END AS hops FROM customer, supplier, nation a, nation b WHERE c_custkey = 1 AND s_suppkey = 1 AND a.n_nationkey = c_nationkey AND b.n_nationkey = s_nationkey AND (c_nationkey = s_nationkey OR a.n_regionkey = b.n_regionkey)",
+    "g08_upstream": _rows("P1", 4, "target_id", "source_id"),
+    "g09_downstream": _rows("R0", 3),
+    "g09_downstream_nodes": _walk("R0", 3),
+    "g09_downstream_of_project": "SELECT 'N' || s_nationkey AS source, 'CONTAINS' AS relationship, 'S' || s_suppkey AS target, 2 AS depth FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT DISTINCT 'R1', 'CONTAINS', 'N' || n_nationkey, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1",
+    "sc11_node_scan": f"WITH {NODES} SELECT * FROM nodes WHERE label = 'Nation' AND contains(lower(name), '_1') ORDER BY id LIMIT 1000",
+    "sc12_edge_scan": f"WITH {GOVERNED} SELECT source_id, target_id, type, confidence FROM gov WHERE status = 'proposed' AND confidence >= 0.97 ORDER BY source_id, target_id LIMIT 1000",
+    "sc13_entity_by_id": f"WITH {NODES} SELECT * FROM nodes WHERE id = 'N7'",
+    "g13_clear": "SELECT 'node' AS kind, CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'edge', NULL, 0",
+    "g05_edges_without_ends": "SELECT 'S' || s_suppkey AS source_id, 'C' || (s_suppkey * 20) AS target_id, 'SERVES' AS type FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)",
+    "g10_shortest_path": """
+WITH me AS (SELECT c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 1),
+last AS (SELECT max(s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM me))
+SELECT CASE WHEN c_nationkey = s_nationkey THEN 'C1>N' || c_nationkey || '>S' || k ELSE 'C1>N' || c_nationkey || '>R' || n_regionkey || '>N' || s_nationkey || '>S' || k END AS path,
+  CASE WHEN c_nationkey = s_nationkey THEN 2 ELSE 4 END AS hops FROM me, last JOIN supplier ON s_suppkey = k""",
     "g11_graph_stats": f"WITH {NODES}, {EDGES} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY ROLLUP (label) UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ROLLUP (type)",
     "g12_purge_detach": f"WITH {NODES}, {EDGES} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes WHERE label <> 'Customer' GROUP BY ROLLUP (label) UNION ALL SELECT 'edge', type, count(*) FROM edges WHERE left(source_id, 1) <> 'C' AND left(target_id, 1) <> 'C' GROUP BY ROLLUP (type)",
     "g15_suffix_enrichment": f"WITH {NODES}, props(key, owner) AS (VALUES ('steel', 'metal'), ('ia', 'ends in ia'), ('china', 'china')) SELECT id, max_by(owner, ROW(length(key), key)) AS owner FROM nodes, props WHERE ends_with(lower(name), key) GROUP BY id",
     "g16_urn_lookup": f"WITH {NODES} SELECT * FROM nodes WHERE label = 'Nation' AND lower(name) = 'nation_7'",
     "g17_edge_urn": "SELECT 'R' || n_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'CONTAINS' AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_7' AND r_name = 'ASIA'",
-    "g18_lineage_payload": "SELECT 'N7' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT 'R' || n_regionkey, 1, 'upstream' FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'C' || c_custkey, 1, 'downstream' FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'S' || s_suppkey, 1, 'downstream' FROM supplier WHERE s_nationkey = 7 UNION ALL SELECT 'O' || o_orderkey, 2, 'downstream' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7",
+    "g18_lineage_payload": f"SELECT 'N7' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT id, depth, 'upstream' FROM ({_walk('N7', 5, 'target_id', 'source_id')}) UNION ALL SELECT id, depth, 'downstream' FROM ({_walk('N7', 5)})",
     "g20_review": f"WITH {GOVERNED} SELECT CASE WHEN status = 'proposed' THEN CASE WHEN coalesce(confidence, 0) >= 0.95 THEN 'approved' ELSE 'rejected' END ELSE status END AS status, count(*) AS n FROM gov GROUP BY 1",
     "g21_schema_rollup": "SELECT 'R' || r_regionkey AS id, r_name AS name, count(n_nationkey) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS members FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL",
     "g22_dependencies": "SELECT 'N' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_out, 1 AS n_in FROM nation",
@@ -249,15 +288,10 @@ SELECT CASE WHEN nk NOT IN (SELECT n_nationkey FROM nation) OR c_custkey % 7 = 0
     "g27_validation": "SELECT CASE WHEN k = 0 THEN 'passed' ELSE 'failed' END AS status, n AS expected_nodes, n AS expected_edges, k AS missing_nodes, k AS missing_edges FROM (SELECT count(*) AS n, count(*) FILTER (WHERE s_suppkey % 10 = 0) AS k FROM supplier)",
     "g28_relationship_names": "SELECT DISTINCT event_type, 'REL_9_' || upper(event_type) || '_TO' AS type FROM events",
     "g29_backfill": f"WITH {GOVERNED} SELECT coalesce(source, 'parser') AS source, coalesce(status, 'approved') AS status, count(*) AS n, round(sum(coalesce(confidence, 1.0)), 4) AS confidence FROM gov GROUP BY 1, 2",
-    "g30_visual_graph": f"WITH {NODES}, {EDGES}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes WHERE label <> 'Part') SELECT a.i AS source, b.i AS target, type FROM edges JOIN num a ON a.id = source_id JOIN num b ON b.id = target_id WHERE type <> 'READS_FROM'",
+    "g30_visual_graph": f"WITH {NODES}, {EDGES}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes) SELECT a.i AS source, b.i AS target, type FROM edges JOIN num a ON a.id = source_id JOIN num b ON b.id = target_id",
     "g31_bounded_paths": f"WITH {EDGES}, one AS (SELECT * FROM edges WHERE source_id = 'R1'), two AS (SELECT e.target_id, o.type || '>' || e.type AS types FROM one o JOIN edges e ON e.source_id = o.target_id) SELECT 1 AS hops, type AS types, count(*) AS n FROM one GROUP BY ALL UNION ALL SELECT 2, types, count(*) FROM two GROUP BY ALL UNION ALL SELECT 3, t.types || '>' || e.type, count(*) FROM two t JOIN edges e ON e.source_id = t.target_id GROUP BY ALL",
     "g34_path_confidence": "WITH s AS (SELECT l_orderkey, l_linenumber % 3 = 0 AS txt, lead(l_linenumber % 3 = 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt FROM lineitem), g AS (SELECT l_orderkey, count(*) FILTER (WHERE nxt IS NOT NULL AND nxt <> txt) AS issues FROM s GROUP BY 1) SELECT issues, greatest(0.0, round(1 - 0.1 * issues, 6)) AS confidence, count(*) AS n FROM g GROUP BY ALL",
     "g_flow_downstream": _walk("P1", 2, edges="fl", extra=", fl AS (SELECT CASE WHEN type IN ('READS_FROM', 'DERIVES') THEN target_id ELSE source_id END AS source_id, CASE WHEN type IN ('READS_FROM', 'DERIVES') THEN source_id ELSE target_id END AS target_id FROM edges)"),
 }
-ORACLES |= {
-    "g03_endpoint_merge_whole": f"WITH {EDGES} SELECT source_id, target_id, type FROM edges UNION ALL SELECT 'S' || s_suppkey, 'C' || (s_suppkey * 20), 'SERVES' FROM supplier WHERE s_suppkey * 20 IN (SELECT c_custkey FROM customer)",
-    "g18_lineage_payload_whole": f"SELECT 'N7' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT id, depth, 'upstream' FROM ({_walk('N7', 5, 'target_id', 'source_id')}) UNION ALL SELECT id, depth, 'downstream' FROM ({_walk('N7', 5)})",
-    "g30_visual_graph_whole": f"WITH {NODES}, {EDGES}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nodes) SELECT a.i AS source, b.i AS target, type FROM edges JOIN num a ON a.id = source_id JOIN num b ON b.id = target_id",
-}
 #: Without SQL, with brute-force tests.
-QUERIES = {name: globals()[name] for name in (*ORACLES, "g10_shortest_path_whole", "g30_lineage_graph")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "g30_lineage_graph")}

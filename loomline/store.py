@@ -39,12 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends (or by `drop_path`)."""
     path = f"{shared_dir(spark)}/loomline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     fs.deleteOnExit(p)
     return path
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -87,5 +87,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     fs.delete(p, True)

@@ -29,7 +29,8 @@ def test_traversals_end_on_cycles(spark, graph):
 
 def test_trails_and_shortest_path(spark, graph):
     _, e = graph
-    assert sorted("".join(r["path"]) for r in G.trails(e, seed(spark, "a"), 3).collect()) == ["ab", "abc", "abca", "abcd", "ac", "aca", "acab", "acd"]
+    assert sorted("".join(r["path"]) for r in G.trails(e, seed(spark, "a"), 3, closed=True).collect()) == ["ab", "abc", "abca", "abcd", "ac", "aca", "acab", "acd"]
+    assert sorted("".join(r["path"]) for r in G.trails(e, seed(spark, "a"), 3).collect()) == ["ab", "abc", "abcd", "ac", "acab", "acd"]
     assert G.shortest_path(e, "b", "d").first()["path"] == ["b", "c", "d"]
     assert G.shortest_path(e, "a", "f").collect() == [] and G.shortest_path(e, "a", "a").first()["hops"] == 0
 

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from loomline.operators import history as H
+from loomline.sources import keyed
 
 SCHEMA = "id bigint, as_of_date date, payload string, loaded_at timestamp_ntz"
 
@@ -77,18 +78,53 @@ def test_brute_force(spark):
     assert found(spark, data) == sorted(want, key=repr)
 
 
+def batch(spark, data):
+    return H.changes_of(spark.createDataFrame(data, SCHEMA))
+
+
 def test_store_replaces_touched_chains_only(spark, tmp_path):
-    store = H.HistoryStore(spark, f"file://{tmp_path}/h", buckets=8)
-    assert store.history() is None
-    batch = lambda data: H.changes_of(spark.createDataFrame(data, SCHEMA))
-    store.apply(batch([snap(1, 1, {"isin": "A", "ticker": "T1"}), snap(2, 9, {"isin": "A", "ticker": "T3"}), snap(3, 1, {"isin": "B", "ticker": "T"})]))
-    before = store.manifest()
-    store.apply(batch([snap(4, 5, {"isin": "A", "ticker": "T2"}, loaded=20)]))
-    after = store.manifest()
-    assert sum(before["chains"][b] != after["chains"][b] for b in before["chains"]) == 1
-    assert rows(H.versions(store.history())) == [("A", 20240101, 20240105), ("A", 20240105, 20240109), ("A", 20240109, 99991231), ("B", 20240101, 99991231)]
-    store.apply(batch([]))
-    assert store.manifest() == after
+    kept = H.HistoryStore(spark, f"file://{tmp_path}/h", buckets=8)
+    assert kept.history() is None
+    kept.apply(batch(spark, [snap(1, 1, {"isin": "A", "ticker": "T1"}), snap(2, 9, {"isin": "A", "ticker": "T3"}), snap(3, 1, {"isin": "B", "ticker": "T"})]))
+    before = kept.store.manifest()
+    kept.apply(batch(spark, [snap(4, 5, {"isin": "A", "ticker": "T2"}, loaded=20)]))
+    after = kept.store.manifest()
+    assert len(after["tables"]["chains"]["generations"][-1]["buckets"]) == 1  # the late change's bucket alone was written
+    assert before["tables"]["chains"]["generations"][0]["path"] == after["tables"]["chains"]["generations"][0]["path"]
+    assert rows(H.versions(kept.history())) == [("A", 20240101, 20240105), ("A", 20240105, 20240109), ("A", 20240109, 99991231), ("B", 20240101, 99991231)]
+    kept.apply(batch(spark, []))
+    assert kept.store.manifest() == after
+
+
+def test_a_late_change_reads_its_bucket_only(spark, tmp_path):
+    kept = H.HistoryStore(spark, f"file://{tmp_path}/h", buckets=32)
+    kept.apply(batch(spark, [snap(i, 1 + i % 9, {"isin": f"I{i}", "ticker": "T"}) for i in range(200)]))
+    manifest = kept.store.manifest()
+    late = batch(spark, [snap(999, 20, {"isin": "I7", "ticker": "U"})])
+    buckets = kept.store.touched(manifest, "changes", late)
+    assert len(buckets) == 1 and kept.store.read(manifest, "changes", buckets).count() < 40
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    kept = H.HistoryStore(spark, f"file://{tmp_path}/h")
+    kept.apply(batch(spark, [snap(1, 1, {"isin": "A", "ticker": "T1"})]))
+    stale = kept.store.manifest()
+    kept.apply(batch(spark, [snap(2, 5, {"isin": "A", "ticker": "T2"})]))
+    with pytest.raises(keyed.StaleWriter):
+        kept.store.publish(stale)
+    assert rows(H.versions(kept.history())) == [("A", 20240101, 20240105), ("A", 20240105, 99991231)]
+
+
+def test_buckets_grow_and_generations_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "MOST", 3)
+    kept = H.HistoryStore(spark, f"file://{tmp_path}/h", buckets=1, rows_per_bucket=8)
+    data = [snap(i, 1 + i, {"isin": f"I{i % 6}", "ticker": f"T{i}"}) for i in range(24)]
+    for at in range(0, 24, 3):
+        kept.apply(batch(spark, data[at : at + 3]))
+    tables = kept.store.manifest()["tables"]
+    assert tables["changes"]["buckets"] == 4 and all(len(t["generations"]) <= 4 for t in tables.values())
+    assert rows(H.versions(kept.history())) == found(spark, data)
+    assert kept.store.clean() > 0 and rows(H.versions(kept.history())) == found(spark, data)
 
 
 @pytest.mark.parametrize("days", [0, 2, 400])

@@ -42,6 +42,19 @@ def test_hot_key_and_heavy_split(spark):
     assert all(len(v) == 600 and v == every[0.0] for v in every.values())
 
 
+def test_rows_of_heavy_keys_are_never_shuffled(spark, monkeypatch):
+    """With tables too large to broadcast, a key named by a third of all rows leaves by a broadcast before the shuffled join."""
+    monkeypatch.setattr(O.store, "checked_broadcast", lambda df, *a, **k: df)
+    files = [(f"f{i}", "hot" if i % 3 == 0 else f"cold{i}", None, T(1 + i % 28), "x") for i in range(300)]
+    t = tables(spark, files, runs=[("hot", None, T(1))])
+    got = O.orphans(t, deleted(spark), 0.1)
+    assert rows(got.select("row_id"))[:2] == [("f1",), ("f10",)] and got.count() == 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
+    anti = [i for i, line in enumerate(plan.splitlines()) if "LeftAnti" in line]
+    assert anti and "broadcast" in plan
+
+
 def test_empty_tables(spark):
     assert rows(O.found(tables(spark, []), deleted(spark))) == []
     assert rows(O.counts(tables(spark, []), deleted(spark))) == []

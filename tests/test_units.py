@@ -92,5 +92,38 @@ def test_units_found(spark):
     got = rows(U.units_found(U.trade_units(fa, fb, ref, rates), table))
     assert got == sorted([("a", 50, "USD", -2), ("a", 51, "USD", -2), ("a", 54, "GBP", -2), ("b", 1, "USD", 3), ("b", 3, "USD", 6)], key=repr)
     assert rows(U.units_found(U.trade_units(fa.limit(0), fb.limit(0), ref.limit(0), rates.limit(0)), table)) == []
-    usd = {(r["feed"], r["row_id"]): r["amount_usd"] for r in U.amounts_in_usd(U.trade_units(fa, fb, ref, rates), rates, table).collect()}
+    usd = {(r["feed"], r["row_id"]): r["amount_usd"] for r in U.amounts_in_usd(U.trade_units(fa, fb, ref, rates), rates).collect()}
     assert usd["a", 50] == 10 and usd["b", 3] == 1000 and usd["b", 1] == 1000 and usd["a", 51] is None
+
+
+def test_rates_are_edges_as_they_are_quoted(spark):
+    q = U.quoted(fx(spark, (1, "USD/JPY", 150, 1, (1, 3)), (1, "JPY/100", 0.66, 2, (1, 3)), (1, "EUR/GBP", 0.85, 3, (1, 3)), (1, "GBX", 0.0125, 4, (1, 3)), (1, "Euro", 1.1, 5, (1, 3)), (1, "?", 1, 6, (1, 3)), (1, "EUR", 0, 7, (1, 3))))
+    assert rows(q.select("source", "target", "slope")) == sorted([("USD|1", "JPY|1", 150.0), ("JPY|h", "USD|1", 0.66), ("EUR|1", "GBP|1", 0.85), ("GBP|c", "USD|1", 0.0125), ("EUR|1", "USD|1", 1.1)], key=repr)
+
+
+def day_of(d):
+    return (date(2024, 1, d) - date(1970, 1, 1)).days
+
+
+def test_daily_compositions(spark):
+    rates = fx(spark, (1, "GBP", 1.25, 1, (1, 3)), (1, "EUR/GBP", 0.8, 2, (1, 3)), (3, "USD/JPY", 150, 3, (3, 1)), (3, "JPY/100", 0.7, 4, (3, 5)), (4, "GBP", 1.5, 5, (4, 1)), (4, "GBP", 1.0, 6, (4, 2)))
+    at = int(datetime(2024, 1, 5).timestamp() * 1_000_000)
+    got = {(r["day"], r["unit"]): r["slope"] for r in U.daily_conversions(rates, at).collect()}
+    assert got[day_of(1), "GBP|c"] == pytest.approx(0.0125) and got[day_of(1), "EUR|1"] == pytest.approx(1.0)  # through GBP
+    assert (day_of(2), "JPY|1") not in got and got[day_of(3), "JPY|1"] == pytest.approx(0.007)  # of one date the quotation loaded last
+    assert got[day_of(4), "EUR|k"] == pytest.approx(800.0) and got[day_of(5), "GBP|1"] == 1.0  # corrected, and in force on the next day
+
+
+def test_conflicting_rates_are_reported(spark):
+    good = [(1, "GBP", 1.25, 1, (1, 3)), (1, "EUR", 1.0, 2, (1, 3)), (1, "EUR/GBP", 0.8, 3, (1, 3)), (2, "GBP", 1.25, 4, (2, 3)), (2, "EUR", 1.0, 5, (2, 3))]
+    at = int(datetime(2024, 1, 3).timestamp() * 1_000_000)
+    assert rows(U.rate_conflicts(fx(spark, *good), at)) == []
+    bad = U.rate_conflicts(fx(spark, *good, (2, "EUR/GBP", 0.9, 6, (2, 3))), at).collect()
+    assert {r["day"] for r in bad} == {day_of(2)} and len(bad) == 1 and bad[0]["error"] > 0.05
+
+
+def test_texts_are_read_alike_once_or_row_by_row(spark, monkeypatch):
+    df = spark.createDataFrame([("kUSD", "x"), (None, "VENUE_B (EUR, thousands)"), ("GBp", None), (None, None), ("kUSD", "x")], "ccy string, src string")
+    want = rows(U.stated(df, "ccy", "src"))
+    monkeypatch.setattr(U.store, "is_small", lambda *a, **k: False)
+    assert rows(U.stated(df, "ccy", "src")) == want and ("kUSD", "x", "USD", "k") in want and len(want) == 5
