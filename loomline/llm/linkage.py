@@ -1,15 +1,21 @@
 """New file batches against all history: incremental record linkage.
 
-Files with one project, digest and canonical path form a *class*; only classes are compared. Persisted tables
-hold the classes, their blocking keys, the links between classes and the representative of each cluster. A
-batch probes the blocking keys of its new classes, scores candidate pairs by learned weights (Fellegi-Sunter
-log odds, fitted by expectation-maximisation on the counts of agreement patterns of all candidates), confirms
-them exactly, and updates the representatives of the affected clusters alone (union-find as label
-propagation over the new links, never on the driver). History is probed by key and not compared again.
+Files with one project, digest and canonical path form a *class*; only classes are compared. Persisted tables, filed by
+key (`sources.keyed`), hold the classes, their blocking keys with what is compared, the links between classes, and the
+clusters. A batch reads the buckets its own keys fall into: the classes it names, the blocks its new classes are in, the
+links and clusters they touch. It writes new classes only, and all of a batch is published in one step.
+
+Candidate pairs are scored by learned weights (Fellegi-Sunter log odds of the agreement levels of content, path and size).
+They are fitted to the agreement patterns of all pairs seen so far, whose counts are kept with the tables: exact repeats
+are matches for certain, pairs without agreement of content or path are none, and expectation-maximisation shares out those
+between. A pair is accepted if its score reaches the threshold that is learned with the weights, the prior odds against a
+match. Accepted links update the representatives of the clusters they touch (union-find as label propagation over those
+clusters' roots alone, never on the driver).
 
 Blocking: the head, the tail and two middles of the digest within a project. A block of up to SMALL classes is compared
 as it is. A larger one (one content under a thousand paths) is blocked further by the path and the path
-without each one of its characters, which loses no pair that differs by a single slip, so there is no cap.
+without each one of its characters, which loses no pair that differs by a single slip, so there is no cap; the pairs
+left out differ in path, and are counted for the weights by group sizes, so what is learned doesn't depend on SMALL.
 
 Same content: equal digests, one the head of the other (at least 8 digits), or at most two edits apart. Same
 file: canonical paths equal or one slip (an edit or a swap of neighbours, not in digits) apart.
@@ -22,12 +28,12 @@ earlier created_at; ties of created_at go by id; empty tables give no rows; othe
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
+from ..sources import keyed
 
 SMALL = 32
 PIECE = 12
@@ -40,8 +46,11 @@ COPY_OF = r"(^|/)(?:copy of|kopie von|copia de|copie de) "
 ACCENTS = ("àáâãäåāçćčèéêëēęìíîïīñńòóôõöøōùúûüūýÿžźżšśł", "aaaaaaaccceeeeeeiiiiinnooooooouuuuuyyzzzssl")
 #: A whole SHA-256 in base64 (url-safe too): 43 characters, not all of them hex digits, and perhaps padding.
 BASE64 = r"^\s*(?:[sS][hH][aA][-_ ]?256(?:[:=\s]+|-))?+(?=[0-9a-fA-F-]*[G-Zg-z+/_])([A-Za-z0-9+/_-]{43})=?\s*$"
-#: Agreement levels are weighed as if so many pairs had been seen of each beforehand.
-PRIOR = 1.0
+#: Pairs (content, path, size) that are counted as seen beforehand, so that the first small batches have weights: matches, and others.
+MATCHES = {(2, 2, 2): 20.0, (2, 2, 1): 1.0, (2, 2, 0): 1.0, (1, 2, 2): 4.0, (2, 1, 2): 4.0, (1, 1, 2): 1.0}
+OTHERS = {(2, 0, 2): 20.0, (2, 0, 1): 1.0, (2, 0, 0): 1.0, (1, 0, 2): 1.0, (0, 2, 0): 20.0, (0, 1, 0): 1.0, (0, 0, 0): 4.0}
+#: What every level has been seen besides.
+LEAST = 0.1
 
 
 def digest_of(c: Column) -> Column:
@@ -86,44 +95,41 @@ def path_level(a: Column, b: Column) -> Column:
     return F.when(a == b, 2).when(slip, 1).otherwise(0)
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 3) -> dict[tuple[int, int], float]:
-    """(field, level) -> log2 odds of a match, by EM over the counts of all agreement patterns.
+FIELDS = ("content", "path", "size")
+
+
+def certain(pattern: tuple[int, ...]) -> float | None:
+    """1 for exact repeats, 0 without agreement of content or path, None between."""
+    return 0.0 if 0 in pattern[:2] else 1.0 if pattern[:2] == (2, 2) else None
+
+
+def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20) -> tuple[dict[tuple[int, int], float], float]:
+    """((field, level) -> log2 odds of a match, least score of a match), by EM over the counts of all agreement patterns.
 
-    patterns has one entry for each combination of levels, a few dozen whatever the data. Pairs equal in
-    content and path are matches, pairs that differ in either are none; EM shares out those between. A few
-    rounds are enough, and more would be too many: levels that only occur between are weakly identified.
+    patterns has one entry for each combination of levels, a few dozen whatever the data. The threshold is where a pair is as
+    likely a match as not: the log2 odds against a match among all pairs.
     """
-    if not patterns:
-        return {}
-    fields = range(len(patterns[0][0]))
-    levels = {(f, p[f]) for p, _ in patterns for f in fields}
-    best = {f: max(v for g, v in levels if g == f) for f in fields}
-    sizes = {f: sum(1 for g, _ in levels if g == f) for f in fields}
-    anchor = lambda p: 0.0 if 0 in p[:2] else 1.0 if p[:2] == (2, 2) else None
-    # those between begin with how much they agree
-    likely = {p: anchor(p) if anchor(p) is not None else sum(p) / max(1, sum(best.values())) for p, _ in patterns}
-    m = u = {}
-    for _ in range(rounds):
-        of_m, of_u, total_m, total_u = dict.fromkeys(levels, PRIOR), dict.fromkeys(levels, PRIOR), 0.0, 0.0
-        for p, n in patterns:
-            total_m, total_u = total_m + n * likely[p], total_u + n * (1 - likely[p])
+    fields = range(len(FIELDS))
+    levels = [(f, v) for f in fields for v in (0, 1, 2)]
+    likely = {p: certain(p) if certain(p) is not None else 0.5 for p, _ in patterns}
+    for turn in range(rounds):
+        of_m, of_u = dict.fromkeys(levels, LEAST), dict.fromkeys(levels, LEAST)
+        seen = [(p, n * likely[p], n * (1 - likely[p])) for p, n in patterns if turn or certain(p) is not None]  # those between join when there are weights
+        for p, match, other in [*((p, n, 0.0) for p, n in MATCHES.items()), *((p, 0.0, n) for p, n in OTHERS.items()), *seen]:
             for f in fields:
-                of_m[f, p[f]] += n * likely[p]
-                of_u[f, p[f]] += n * (1 - likely[p])
-        m = {(f, v): of_m[f, v] / (total_m + PRIOR * sizes[f]) for f, v in levels}
-        u = {(f, v): of_u[f, v] / (total_u + PRIOR * sizes[f]) for f, v in levels}
-        share = (total_m + PRIOR) / (total_m + total_u + 2 * PRIOR)
-        for p, _ in patterns:
-            if anchor(p) is None:
+                of_m[f, p[f]] += match
+                of_u[f, p[f]] += other
+        total_m, total_u = sum(of_m[0, v] for v in (0, 1, 2)), sum(of_u[0, v] for v in (0, 1, 2))
+        m, u, share = {k: n / total_m for k, n in of_m.items()}, {k: n / total_u for k, n in of_u.items()}, total_m / (total_m + total_u)
+        for p in likely:
+            if certain(p) is None:
                 a, b = share * math.prod(m[f, p[f]] for f in fields), (1 - share) * math.prod(u[f, p[f]] for f in fields)
                 likely[p] = a / (a + b)
-    return {key: math.log2(m[key] / u[key]) for key in levels}
+    return {key: math.log2(m[key] / u[key]) for key in levels}, math.log2((1 - share) / share)
 
 
-FIELDS = ("content", "path", "size")
-
-
-def score(pairs: DataFrame, weights: dict[tuple[int, int], float]) -> Column:
+def score(weights: dict[tuple[int, int], float]) -> Column:
+    """Sum of the weights of a pair's levels; a level never seen counts nothing."""
     total = F.lit(0.0)
     for f, name in enumerate(FIELDS):
         for (g, level), w in sorted(weights.items()):
@@ -132,125 +138,187 @@ def score(pairs: DataFrame, weights: dict[tuple[int, int], float]) -> Column:
     return total
 
 
-class Linker:
-    """Persisted classes, blocking keys, links and representatives, and the ingestion of batches."""
+def size_level(a: Column, b: Column) -> Column:
+    return F.when(a.isNull() | b.isNull(), 1).when(a == b, 2).otherwise(0)
 
-    TABLES = ("classes", "blocks", "links", "representatives")
 
-    def __init__(self, spark: SparkSession, path: str, least_score: float = -10.0):
-        self.spark, self.path, self.least_score, self.parts = spark, path, least_score, {t: [] for t in self.TABLES}
+class Linker:
+    """Persisted classes, blocking keys, links and clusters, and the ingestion of batches."""
 
-    def _add(self, name: str, df: DataFrame) -> DataFrame:
-        part = f"{self.path}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(part)
-        self.parts[name].append(part)
-        return self.spark.read.schema(df.schema).parquet(part)
+    KEYS = {"classes": ("class_id",), "blocks": ("block",), "links": ("class_id",), "clusters": ("class_id",), "members": ("representative",)}
 
-    def _all(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(*self.parts[name]) if self.parts[name] else like.limit(0)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, rows_per_bucket: int = 1_000_000):
+        self.spark, self.store = spark, keyed.KeyedStore(spark, path, self.KEYS, buckets, rows_per_bucket)
 
     @staticmethod
     def rows_of(files: DataFrame) -> DataFrame:
-        """(id, created_at, class_id, project_id, digest, path, size) of each record that can have a case."""
-        rows = files.select("id", "created_at", "project_id", digest_of(F.col("file_hash")).alias("digest"), path_of(F.col("relative_path"), F.col("filename")).alias("path"), F.col("file_size_bytes").alias("size")).where("id IS NOT NULL AND created_at IS NOT NULL AND project_id IS NOT NULL AND digest IS NOT NULL AND path IS NOT NULL")
+        """(id, created_at, project_id, digest, path, size, class_id) of each record that can have a case.
+
+        Rows without a case leave with the generator: a filter on what was read would be pushed below and read it twice.
+        """
+        there = files.where("id IS NOT NULL AND created_at IS NOT NULL AND project_id IS NOT NULL AND file_hash IS NOT NULL")
+        read = F.struct(digest_of(F.col("file_hash")).alias("digest"), path_of(F.col("relative_path"), F.col("filename")).alias("path"))
+        kept = F.explode(F.filter(F.array(read), lambda r: r["digest"].isNotNull() & r["path"].isNotNull()))
+        rows = there.select("id", "created_at", "project_id", F.col("file_size_bytes").alias("size"), kept.alias("r")).select("id", "created_at", "project_id", "r.digest", "r.path", "size")
         return rows.withColumn("class_id", F.xxhash64("project_id", "digest", "path"))
 
     @staticmethod
-    def classes_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("class_id", "project_id", "digest", "path").agg(F.min(F.struct("created_at", "id")).alias("first"), F.min("size").alias("size"))
+    def classes_like(rows: DataFrame) -> DataFrame:
+        """(class_id, project_id, digest, path, first, size, most, n) of the rows' classes: the first record, least and greatest size, rows."""
+        return rows.groupBy("class_id", "project_id", "digest", "path").agg(F.min(F.struct("created_at", "id")).alias("first"), F.min("size").alias("size"), F.max("size").alias("most"), F.count("*").alias("n"))
 
     @staticmethod
     def blocks_of(classes: DataFrame) -> DataFrame:
+        """(block, class_id, digest, path, size, head): the blocking keys of each class, with what is compared."""
         head = F.xxhash64("project_id", F.lit("head"), F.substring("digest", 1, PIECE))
         tail = F.when(F.length("digest") >= 48, F.xxhash64("project_id", F.lit("tail"), F.substring(F.col("digest"), -PIECE, PIECE)))
         # two slips leave the head, the tail or one of the middles as it was
         middle = F.when(F.length("digest") >= 48, F.xxhash64("project_id", F.lit("middle"), F.substring("digest", 27, PIECE)))
         from_end = F.when(F.length("digest") >= 48, F.xxhash64("project_id", F.lit("from end"), F.substring(F.col("digest"), -38, PIECE)))
-        keys = F.filter(F.array(head, tail, middle, from_end), lambda k: k.isNotNull())
-        return classes.select("class_id", F.explode(keys).alias("block"))
+        # a digest cut to fewer digits than PIECE meets all that begin like it
+        short = F.xxhash64("project_id", F.lit("short"), F.substring("digest", 1, 8))
+        keys = F.filter(F.array(head, tail, middle, from_end, short), lambda k: k.isNotNull())
+        return classes.select(F.posexplode(keys).alias("kind", "block"), "class_id", "digest", "path", "size").select("block", "class_id", "digest", "path", "size", (F.col("kind") == 0).alias("head"))
+
+    def _compared(self, blocks: DataFrame) -> tuple[DataFrame, list[tuple[tuple[int, ...], int]]]:
+        """((a, b, content, path, size) of the candidate pairs with a new class, counts of the pairs left out by pattern).
 
-    def _candidates(self, blocks: DataFrame, fresh: DataFrame, classes: DataFrame) -> DataFrame:
-        """(a, b) with a < b and at least one new class; blocks are those that new classes are in."""
-        sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+        blocks: rows of blocks_of with `new`; old classes meet new ones only.
+        """
+        sizes = blocks.groupBy("block").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("n > 1 AND any").select("block", "n")
         sized = store.materialize(blocks.join(sizes, "block"), "link-blocks")
-        left, right = sized.where(f"n <= {SMALL}").select("block", F.col("class_id").alias("a")), sized.where(f"n <= {SMALL}").select("block", F.col("class_id").alias("b"))
-        pairs = left.join(right, "block").where("a < b").select("a", "b")
-        crowded = sized.where(f"n > {SMALL}").select("block", "class_id").join(classes.select("class_id", "path"), "class_id")
-        n = F.length("path")
-        variants = F.array_distinct(F.concat(F.array(F.xxhash64("block", "path")), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.col("block"), F.concat(F.substring(F.col("path"), F.lit(1), i - 1), F.substring(F.col("path"), i + 1, n))))))
-        keyed = store.materialize(crowded.select("class_id", F.explode(variants).alias("key")), "link-variants")
-        more = keyed.select("key", F.col("class_id").alias("a")).join(keyed.select("key", F.col("class_id").alias("b")), "key").where("a < b").select("a", "b")
-        new = fresh.select(F.col("class_id").alias("c")).distinct()
-        both = pairs.unionByName(more).distinct()
-        return both.join(new, F.col("a") == F.col("c"), "left_semi").unionByName(both.join(new, F.col("b") == F.col("c"), "left_semi")).distinct() if self.parts["links"] else both
-
-    def _compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        a = classes.select(F.col("class_id").alias("a"), F.struct("digest", "path", "size", "project_id").alias("x"))
-        b = classes.select(F.col("class_id").alias("b"), F.struct("digest", "path", "size", "project_id").alias("y"))
-        joined = pairs.join(a, "a").join(b, "b").where("x.project_id = y.project_id")
-        size = F.when(F.col("x.size").isNull() | F.col("y.size").isNull(), 1).when(F.col("x.size") == F.col("y.size"), 2).otherwise(0)
-        return joined.select("a", "b", content_level(F.col("x.digest"), F.col("y.digest")).alias("content"), path_level(F.col("x.path"), F.col("y.path")).alias("path"), size.alias("size"))
+        side = lambda df, p: df.select("key", F.struct("class_id", "digest", "path", "size", "new").alias(p))
+
+        def paired(keyed_rows: DataFrame) -> DataFrame:
+            new, every = side(keyed_rows.where("new"), "x"), side(keyed_rows, "y")
+            # of two new classes the smaller meets the larger
+            met = new.join(every, "key").where("x.class_id <> y.class_id AND (NOT y.new OR x.class_id < y.class_id)")
+            a, b = F.least("x.class_id", "y.class_id"), F.greatest("x.class_id", "y.class_id")
+            content, path, size = content_level(F.col("x.digest"), F.col("y.digest")), path_level(F.col("x.path"), F.col("y.path")), size_level(F.col("x.size"), F.col("y.size"))
+            return met.select(a.alias("a"), b.alias("b"), content.alias("content"), path.alias("path"), size.alias("size"))
+
+        pairs = paired(sized.where(f"n <= {SMALL}").withColumn("key", F.col("block")))
+        crowded = sized.where(f"n > {SMALL}")
+        left_out = self._left_out(crowded)
+        if left_out:  # there are crowded blocks
+            n = F.length("path")
+            cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.col("block"), F.concat(F.substring(F.col("path"), F.lit(1), i - 1), F.substring(F.col("path"), i + 1, n))))
+            variants = F.array_distinct(F.concat(F.array(F.xxhash64("block", "path")), cut))
+            pairs = pairs.unionByName(paired(crowded.withColumn("key", F.explode(variants))))
+        return store.materialize(pairs.distinct(), "link-compared"), left_out
+
+    @staticmethod
+    def _left_out(crowded: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+        """Counts by pattern of all pairs with a new class in crowded head blocks, as pairs of different paths (nearly all are)."""
+        pairs = lambda n, k: n * (n - 1) / 2 - (n - k) * (n - k - 1) / 2  # noqa: E731 - of n classes, k of them new
+        alike = crowded.where("head").groupBy("block", "digest", "size").agg(F.count("*").alias("n"), F.sum(F.col("new").cast("int")).alias("k"))
+        same = alike.groupBy("block", "digest").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(pairs(F.col("n"), F.col("k"))).alias("equal"))
+        whole = same.groupBy("block").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("equal").alias("equal"), F.sum(pairs(F.col("n"), F.col("k"))).alias("same"))
+        equal, same_digest, every = whole.agg(F.sum("equal"), F.sum("same"), F.sum(pairs(F.col("n"), F.col("k")))).first()
+        return [] if every is None else [((2, 0, 2), int(equal)), ((2, 0, 0), int(same_digest - equal)), ((1, 0, 0), int(every - same_digest))]
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """(id_1, id_2): the batch's records that repeat an accepted one (or one of the batch), with the earliest."""
+        manifest = self.store.manifest()
         rows = store.materialize(self.rows_of(files), "link-rows")
-        seen = self.classes_of(rows)
-        before = self._all("classes", seen)
-        old_links_like = self.spark.createDataFrame([], "a bigint, b bigint")
-        old_blocks = self._all("blocks", self.spark.createDataFrame([], "class_id bigint, block bigint"))
-        old_links = self._all("links", old_links_like)
-        batch = self._add("classes", seen)
-        fresh = batch.join(before.select("class_id"), "class_id", "left_anti")
-        blocks = self._add("blocks", self.blocks_of(fresh))
-        classes = before.unionByName(batch).groupBy("class_id", "project_id", "digest", "path").agg(F.min("first").alias("first"), F.min("size").alias("size"))
-        # probe: of the history's keys only those that a new class has
-        probed = old_blocks.join(blocks.select("block").distinct(), "block", "left_semi").unionByName(blocks)
-        compared = store.materialize(self._compared(self._candidates(probed, fresh, classes), classes), "link-compared")
-        patterns = [((r["content"], r["path"], r["size"]), r["n"]) for r in compared.groupBy(*FIELDS).agg(F.count("*").alias("n")).collect()]  # at most 27 rows
-        self.weights = learn(patterns)
-        accepted = compared.where((score(compared, self.weights) >= self.least_score) & (F.col("content") > 0) & (F.col("path") > 0)).select("a", "b")
-        links = self._add("links", accepted)
-        self._unite(links)
-        every = old_links.unionByName(links)
-        sides = every.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(every.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
-        touched = rows.select("class_id").distinct()
-        linked = sides.join(touched, "class_id", "left_semi").join(classes.select(F.col("class_id").alias("other"), "first"), "other").select("class_id", "first")
-        own = classes.join(touched, "class_id", "left_semi").select("class_id", "first")
-        best = linked.unionByName(own).groupBy("class_id").agg(F.min("first").alias("first"))
+        known = self.store.near(manifest, "classes", rows.select("class_id"))
+        seen = self.classes_like(rows)
+        if known is not None:
+            before = known.groupBy("class_id").agg(F.min("first").alias("before"))
+            seen = seen.join(before, "class_id", "left")
+        else:
+            seen = seen.withColumn("before", F.lit(None).cast(seen.schema["first"].dataType))
+        seen = store.materialize(seen, "link-seen")
+        fresh = seen.where("before IS NULL")
+        self.store.write(manifest, "classes", seen.where("before IS NULL OR first < before").select("class_id", "first"))
+        blocks = self.store.write(manifest, "blocks", self.blocks_of(fresh))
+        old = self.store.near(self.store.manifest(), "blocks", blocks)
+        probed = blocks.withColumn("new", F.lit(True))
+        probed = probed if old is None else probed.unionByName(old.withColumn("new", F.lit(False)))
+        compared, left_out = self._compared(probed)
+        self._learn(manifest, seen, compared, left_out)
+        accepted = compared.where(score(self.weights) >= self.least_score)
+        links = self.store.write(manifest, "links", accepted.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(accepted.select(F.col("b").alias("class_id"), F.col("a").alias("other"))))
+        if any(n for p, n in self.patterns if p[0] and p[1] and p[:2] != (2, 2)):  # there may be links
+            self._unite(manifest, links)
+        hits = self._hits(manifest, rows, seen, links)
+        self.store.publish(self.store.tidy(manifest))
+        return hits
+
+    def _learn(self, manifest: dict, seen: DataFrame, compared: DataFrame, left_out: list[tuple[tuple[int, ...], int]]) -> None:
+        """Add the batch's pattern counts (at most 27) to those kept, and fit weights and threshold to all of them."""
+        counts = {tuple(p): n for p, n in manifest["more"].get("patterns", [])}
+        near = {tuple(r[f] for f in FIELDS): r["n"] for r in compared.groupBy(*FIELDS).agg(F.count("*").alias("n")).collect()}
+        repeats = seen.where("n > 1 OR before IS NOT NULL").groupBy(size_level(F.col("size"), F.col("most")).alias("size")).agg(F.sum(F.col("n") - F.when(F.col("before").isNull(), 1).otherwise(0)).alias("n"))
+        exact = {(2, 2, r["size"]): r["n"] for r in repeats.collect()}
+        for p, n in [*near.items(), *exact.items(), *left_out]:
+            counts[p] = counts.get(p, 0) + n
+        self.patterns = sorted((p, n) for p, n in counts.items() if n > 0)
+        self.weights, self.least_score = learn(self.patterns)
+        manifest["more"] = {"patterns": [[list(p), n] for p, n in self.patterns], "weights": [[f, v, w] for (f, v), w in sorted(self.weights.items())], "least_score": self.least_score}
+
+    def _hits(self, manifest: dict, rows: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
+        now = seen.select("class_id", F.least("first", F.coalesce("before", "first")).alias("first"))
+        mine = seen.select("class_id")
+        sides = links.join(mine, "class_id", "left_semi").select("class_id", "other")
+        earlier = self.store.near(self.store.manifest(), "links", mine)
+        if earlier is not None:
+            sides = sides.unionByName(earlier.select("class_id", "other"))
+        sides = store.materialize(sides.distinct(), "link-sides")
+        firsts = now
+        classes = self.store.near(self.store.manifest(), "classes", sides.select(F.col("other").alias("class_id")))
+        if classes is not None:
+            firsts = firsts.unionByName(classes.select("class_id", "first"))
+        firsts = firsts.groupBy("class_id").agg(F.min("first").alias("first"))
+        linked = sides.join(firsts.withColumnRenamed("class_id", "other"), "other").select("class_id", "first")
+        best = linked.unionByName(now).groupBy("class_id").agg(F.min("first").alias("first"))
         hits = rows.join(best, "class_id").where(F.col("first.created_at") < F.col("created_at"))
-        return hits.select(F.least("id", F.col("first.id")).alias("id_1"), F.greatest("id", F.col("first.id")).alias("id_2")).distinct()
+        return store.materialize(hits.select(F.least("id", F.col("first.id")).alias("id_1"), F.greatest("id", F.col("first.id")).alias("id_2")).distinct(), "link-hits")
 
-    def representatives(self) -> DataFrame:
+    def representatives(self) -> DataFrame | None:
         """(class_id, representative) of every class in a cluster of more than one; the newest entry counts."""
-        like = self.spark.createDataFrame([], "class_id bigint, representative bigint, version int")
-        return self._all("representatives", like).groupBy("class_id").agg(F.max_by("representative", "version").alias("representative"))
-
-    def _unite(self, links: DataFrame) -> None:
-        """Union the clusters that new links touch: labels of the touched clusters alone are propagated."""
-        now = self.representatives()
-        find = lambda side: links.select("a", "b").join(now.select(F.col("class_id").alias(side), F.col("representative").alias(f"r{side}")), side, "left").select("a", "b", F.coalesce(f"r{side}", side).alias(f"r{side}"))
-        roots = find("a").join(find("b"), ["a", "b"]).select("ra", "rb", "a", "b") if self.parts["representatives"] else links.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b")
-        arcs = store.materialize(roots.select(F.col("ra").alias("u"), F.col("rb").alias("v")).unionByName(roots.select(F.col("rb").alias("u"), F.col("ra").alias("v"))).where("u <> v").distinct(), "link-arcs")
-        labels = store.materialize(arcs.select("u", F.col("u").alias("label")).distinct(), "link-labels")
+        return self._newest(self.store.read(self.store.manifest(), "clusters"))
+
+    @staticmethod
+    def _newest(clusters: DataFrame | None) -> DataFrame | None:
+        return None if clusters is None else clusters.groupBy("class_id").agg(F.max_by("representative", "version").alias("representative"))
+
+    def _unite(self, manifest: dict, links: DataFrame) -> None:
+        """Union the clusters that new links touch: the labels of their roots alone are propagated, then given to their members."""
+        published = self.store.manifest()
+        near = self._newest(self.store.near(published, "clusters", links))
+        pairs = links.where("class_id < other")
+        if near is None:
+            arcs = pairs.select(F.col("class_id").alias("u"), F.col("other").alias("v"))
+        else:
+            root = lambda df, c, into: df.join(near.select(F.col("class_id").alias(c), F.col("representative").alias("__r")), c, "left").withColumn(into, F.coalesce("__r", c)).drop("__r")
+            arcs = root(root(pairs, "class_id", "u"), "other", "v").select("u", "v")
+        arcs = store.materialize(arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "link-arcs")
+        labels = store.materialize(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "link-labels")
         while True:
-            near = arcs.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
-            moved = labels.join(near, "u", "left").select("u", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved"))
+            least = arcs.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
+            moved = labels.join(least, "u", "left").select("u", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved"))
             # pointer jumping: take the label of the label
             jumped = moved.join(moved.select(F.col("u").alias("label"), F.col("label").alias("far")), "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "moved")
             step = store.materialize(jumped, "link-labels")
             if not step.where("moved").limit(1).count():
                 break
             labels = step.drop("moved")
-        roots_now = labels.select(F.col("u").alias("root"), F.col("label").alias("representative"))
-        members = now.select("class_id", F.col("representative").alias("root")).unionByName(labels.select(F.col("u").alias("class_id"), F.col("u").alias("root"))).distinct()
-        update = members.join(roots_now, "root").select("class_id", "representative", F.lit(len(self.parts["representatives"])).alias("version")).distinct()
-        self._add("representatives", update)
-
-
-def repeated(files: DataFrame, batches: int = 2) -> DataFrame:
+        roots = labels.select(F.col("u").alias("representative"), F.col("label").alias("after"))
+        members = roots.select(F.col("representative").alias("class_id"), "after")
+        old = self.store.near(published, "members", roots)
+        if old is not None:
+            members = members.unionByName(old.join(roots, "representative").select("class_id", "after")).distinct()
+        version = published["version"] + 1
+        update = store.materialize(members.select("class_id", F.col("after").alias("representative")), "link-members")
+        self.store.write(manifest, "clusters", update.withColumn("version", F.lit(version)))
+        self.store.write(manifest, "members", update)
+
+
+def repeated(files: DataFrame, batches: int = 2, buckets: int = 16) -> DataFrame:
     """All repeats of a table, taken in as batches in the order of created_at."""
     spark = files.sparkSession
-    linker = Linker(spark, store.fresh_path(spark, "linker"))
+    linker = Linker(spark, store.fresh_path(spark, "linker"), buckets)
     slim = files.select("id", "project_id", "filename", "relative_path", "file_hash", "file_size_bytes", "created_at")
     at = F.unix_micros(F.col("created_at").cast("timestamp"))
     cuts = slim.agg(F.percentile_approx(at, [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
@@ -258,6 +326,5 @@ def repeated(files: DataFrame, batches: int = 2) -> DataFrame:
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = slim.where((at > low) if low is not None else F.lit(True)).where((at <= high) if high is not None else F.lit(True))
         pairs = linker.ingest(part)
-        pairs = store.materialize(pairs, "repeats")
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()

@@ -33,6 +33,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -65,7 +66,6 @@ TAGGED = re.compile(r"(?:#(?!(?:define|include|if|ifdef|ifndef|elif|else|endif|p
 CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 CONTENTS = re.compile(r"\.{3,}\s*\d+$")
-DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"\w+")
 PIECE = re.compile(r"[^\s,;|]+")
 ENDED = (".", "!", "?", "…", ":", '"', "”", ")")
@@ -110,47 +110,49 @@ def items_of(u: str) -> int:
     return n + u.count(" - ") + u.count(" – ") + u.count(" @ ") + u.count(" / ") + 1
 
 
-def guess(u: str) -> tuple[int, int, str, float]:
-    """(look, links and tags, text without addresses, variety) of a unit."""
-    if u.endswith("。"):
-        return SENTENCE, 0, u, 1.0
+def guess(u: str) -> tuple[int, int, float, list[str]]:
+    """(look, links and tags, variety, words) of a unit; words without those of addresses, in lower case."""
     if "#" in u:
         parts = u.split()
         tagged = [w for w in parts if TAGGED.fullmatch(w)]
         if len(tagged) > 0.5 * len(parts):
-            return LIST, sum(w.count("#") for w in tagged), CAMEL.sub(" ", u), 1.0
+            return LIST, sum(w.count("#") for w in tagged), 1.0, WORD.findall(CAMEL.sub(" ", u).lower().replace("_", " "))
     plain, links = u, 0
-    if HOSTED.search(u):
-        plain = URL.sub(" ", u)
-        links = len(URL.findall(u))
-    words = WORD.findall(plain)
+    dotted = "." in u[:-1]
+    if (dotted or "://" in u) and HOSTED.search(u):
+        plain, links = URL.subn(" ", u)
+    words = WORD.findall(plain.lower().replace("_", " "))
+    if u.endswith("。"):
+        return SENTENCE, 0, 1.0, words
     n = len(words)
-    varied = variety([w.lower() for w in words]) if n >= 6 else 1.0
+    varied = variety(words) if n >= 6 else 1.0
     if begins_code(u) or LOG.match(u) or u[0] == "|" or CONTENTS.search(u) or u[:8].lower() == "contents":
-        return OTHER, links, plain, varied
+        return OTHER, links, varied, words
     parts = u.split()
-    own = sum(1 for w in parts if ("_" in w or "." in w) and OWN.fullmatch(w))
-    if own >= 0.5 * sum(1 for w in parts if w not in ("-", "*", "|")):
-        return OTHER, links, plain, varied
-    if len(u) > 40 and not links:
+    own = 0
+    if dotted or "_" in u:
+        own = sum([1 for w in parts if ("_" in w or "." in w) and OWN.fullmatch(w)])
+        if own and own >= 0.5 * sum(1 for w in parts if w not in ("-", "*", "|")):
+            return OTHER, links, varied, words
+    if not links and max(map(len, parts)) > 40:
         longest = max(map(len, PIECE.findall(u)), default=0)
         if longest >= 64:
-            return BLOB, 0, "", 1.0
+            return BLOB, 0, 1.0, []
         if longest > 40:
-            return OTHER, 0, plain, varied
-    if len(u) - len(DIGITS.sub("", u)) > 0.4 * len(u):
-        return OTHER, links, plain, varied
+            return OTHER, 0, varied, words
+    if sum(map(u.count, "0123456789")) > 0.4 * len(u):
+        return OTHER, links, varied, words
     ended = u.endswith(ENDED)
     if links:
-        return (SENTENCE if ended and n >= 6 * links else LIST), links, plain, varied
+        return (SENTENCE if ended and n >= 6 * links else LIST), links, varied, words
     if n >= LEAST_RUN and varied <= VARIED:
-        return LIST, 0, plain, varied
+        return LIST, 0, varied, words
     items = items_of(u)
     if ended and (n >= 6 or (own and n >= 4)) and n >= 3 * items:
-        return SENTENCE, 0, plain, varied
+        return SENTENCE, 0, varied, words
     if n >= 9 and n >= 5 * items:
-        return SENTENCE, 0, plain, varied
-    return LIST, 0, plain, varied
+        return SENTENCE, 0, varied, words
+    return LIST, 0, varied, words
 
 
 class Ids(dict):
@@ -171,20 +173,20 @@ class Ids(dict):
 ALONE = (1 << 32) - 1
 
 
-def measure(text: str, ids: Ids) -> list[tuple[int, int, float, bool, int, list[int], list[bool]]]:
-    """(look, characters, gap, doubtful, support, phrases, new) of each unit.
+def measure(text: str, ids: Ids) -> list[tuple[int, int, float, bool, int, int, list[int]]]:
+    """(look, characters, gap, doubtful, support, n_new, phrases) of each unit.
 
     gap: share of words that repeat others nearby. doubtful: a short sentence if nothing speaks against it. support: links,
-    tags, and phrases repeated on the page. phrases: pairs of word numbers, distinct in the unit. new: the first of its kind of
-    look on the page.
+    tags, and phrases repeated on the page. phrases: pairs of word numbers, distinct in the unit; the first n_new are the first
+    of the page in units of its kind (lists, or all else).
     """
     found = []
     often: Counter = Counter()
     for u in units(text):
-        look, marks, plain, varied = guess(u)
+        look, marks, varied, words = guess(u)
         if look == BLOB:
             continue
-        w = [ids[x] for x in WORD.findall(plain.lower().replace("_", " "))]
+        w = [ids[x] for x in words]
         pairs = [a << 32 | b for a, b in zip(w, w[1:])] if len(w) != 1 else [w[0] << 32 | ALONE]
         own = set(pairs)
         if look == LIST:
@@ -193,16 +195,20 @@ def measure(text: str, ids: Ids) -> list[tuple[int, int, float, bool, int, list[
     # a phrase in every fifth unit is what the page is about
     least = max(3, 0.2 * len(found))
     ruling = {p for p, n in often.items() if n >= least}
-    seen: tuple[set, set] = (set(), set())
+    in_lists: set = set()
+    elsewhere: set = set()
     out = []
-    for u, look, marks, varied, n, all_pairs, own in found:
-        phrases = list(own)
-        mine = seen[look == LIST]
-        new = [p not in mine for p in phrases]
-        mine |= own
-        again = all_pairs - len(own) + sum(1 for p in own if often[p] > 1) if look == LIST else 0
-        doubtful = look == LIST and not marks and n >= 3 and varied > VARIED and u.endswith(ENDED) and ruling.isdisjoint(own)
-        out.append((look, len(u), 1.0 - varied, doubtful, marks + again, phrases, new))
+    for u, look, marks, varied, n, pairs, own in found:
+        mine = in_lists if look == LIST else elsewhere
+        new = own - mine
+        phrases = list(new) if len(new) == len(own) else [*new, *(own - new)]
+        mine |= new
+        doubtful = False
+        if look == LIST:
+            linked = marks
+            marks += pairs - len(own) + sum([1 for p in own if often[p] > 1])
+            doubtful = not linked and n >= 3 and varied > VARIED and u.endswith(ENDED) and ruling.isdisjoint(own)
+        out.append((look, len(u), 1.0 - varied, doubtful, marks, len(new), phrases))
     return out
 
 
@@ -231,18 +237,19 @@ def evidence(documents: DataFrame) -> DataFrame:
                     pages.append(page)
                     hosts.append(h)
                     rows.append((unit, *row))
-            no, look, chars, gap, doubtful, support, phrases, new = zip(*rows, strict=True) if rows else [()] * 8
-            codes = np.array([p for ps in phrases for p in ps], dtype=np.uint64)
-            flags = np.array([x for ns in new for x in ns], dtype=np.uint64)
+            no, look, chars, gap, doubtful, support, fresh, phrases = zip(*rows, strict=True) if rows else [()] * 8
+            sizes = np.fromiter(map(len, phrases), dtype=np.int64, count=len(phrases))
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            codes = np.fromiter(chain.from_iterable(phrases), dtype=np.uint64, count=offsets[-1])
+            first_new = np.arange(offsets[-1]) < np.repeat(offsets[:-1] + np.array(fresh, dtype=np.int64), sizes)
             table = np.array([*ids.hashes, 0], dtype=np.uint64)
-            first, second = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(ALONE)).astype(np.int64)
-            second[second == ALONE] = len(table) - 1
-            mixed = table[first] * np.uint64(0x9E3779B97F4A7C15) + (table[second] ^ (table[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            values = ((mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)) | flags
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int32)
+            left, right = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(ALONE)).astype(np.int64)
+            right[right == ALONE] = len(table) - 1
+            mixed = table[left] * np.uint64(0x9E3779B97F4A7C15) + (table[right] ^ (table[right] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            values = ((mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)) | first_new.astype(np.uint64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(docs, pa.int32())), pa.array(pages, pa.int64()), pa.array(hosts, pa.int64()), pa.array(no, pa.int32()), pa.array(look, pa.int8()), pa.array(chars, pa.int32()),
-                pa.array(gap, pa.float32()), pa.array(doubtful, pa.bool_()), pa.array(support, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))],
+                pa.array(gap, pa.float32()), pa.array(doubtful, pa.bool_()), pa.array(support, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))],
                 ["doc_id", "page", "host", "unit", "look", "chars", "gap", "doubtful", "support", "phrases"])
             if len(ids.hashes) > Ids.MOST:
                 ids = Ids()

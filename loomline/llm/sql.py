@@ -5,7 +5,8 @@ from __future__ import annotations
 #: All pairs of one project are compared here, which is slow beyond small tables, and has no blocking to get wrong.
 P4 = r"""
 WITH r0 AS (
-  SELECT DISTINCT id, project_id, created_at, regexp_replace(regexp_replace(lower(trim(file_hash)), '^\s*(sha[-_ ]?256|0x)[:=\s]*', ''), '[^0-9a-f]', '', 'g') AS h,
+  SELECT DISTINCT id, project_id, created_at, CASE WHEN regexp_matches(file_hash, '^\s*[A-Za-z0-9+/_-]{43}=?\s*$') AND regexp_matches(file_hash, '[G-Zg-z+/_]')
+      THEN lower(hex(from_base64(replace(replace(regexp_extract(file_hash, '[A-Za-z0-9+/_-]{43}'), '-', '+'), '_', '/') || '='))) ELSE regexp_replace(regexp_replace(lower(trim(file_hash)), '^\s*(sha[-_ ]?256|0x)[:=\s]*', ''), '[^0-9a-f]', '', 'g') END AS h,
     CASE WHEN trim(relative_path) <> '' THEN relative_path ELSE filename END AS p
   FROM files WHERE id IS NOT NULL AND project_id IS NOT NULL AND created_at IS NOT NULL AND file_hash IS NOT NULL),
 r1 AS (SELECT * EXCLUDE (p), '/' || replace(trim(lower(strip_accents(CASE WHEN contains(p, '%') THEN url_decode(p) ELSE p END))), '\', '/') AS p FROM r0 WHERE length(h) >= 8 AND p IS NOT NULL),

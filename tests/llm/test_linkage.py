@@ -140,5 +140,64 @@ def test_clusters_follow_batches(spark):
 
 
 def test_weights_tell_matches():
-    w = L.learn([((2, 2, 2), 900), ((2, 1, 2), 60), ((1, 2, 2), 40), ((2, 0, 2), 500), ((0, 2, 0), 3)])
-    assert w[1, 2] > 0 > w[1, 0] and w[1, 1] > 0 and w[0, 2] > w[0, 0] and w[2, 2] > w[2, 0] and L.learn([]) == {}
+    w, least = L.learn([((2, 2, 2), 900), ((2, 1, 2), 60), ((1, 2, 2), 40), ((2, 0, 2), 500), ((0, 2, 0), 3)])
+    total = lambda p: sum(w.get((f, v), 0.0) for f, v in enumerate(p))
+    assert w[1, 2] > 0 > w[1, 0] and w[1, 1] > 0 and w[0, 2] > w[0, 0] and w[2, 2] > w[2, 0]
+    assert all(total(p) >= least for p in ((2, 2, 2), (2, 1, 2), (1, 2, 2), (1, 1, 2))) and all(total(p) < least for p in ((2, 0, 2), (0, 2, 0), (1, 0, 2), (0, 1, 0)))
+
+
+def test_weights_of_no_pairs_are_those_expected():
+    w, least = L.learn([])
+    assert w[1, 2] > w[1, 1] > 0 > w[1, 0] and -3 < least < 3
+
+
+def batch_of(spark, n, start, project="p"):
+    """n files of their own content, and every third a second time."""
+    import hashlib
+
+    data = []
+    for i in range(start, start + n):
+        h = hashlib.sha256(f"{project}{i // 3 if i % 3 else i}".encode()).hexdigest()
+        data.append((f"{project}{i:06}", project, f"x/load_{'abcdefghij'[i % 10]}_{i:06}.sql", h, i))
+    return frame(spark, data)
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """What a small batch opens of the history is the same number of bucket files' rows, however long the history is."""
+    read = []
+    for k, history in enumerate((300, 1200)):
+        linker = L.Linker(spark, f"file://{tmp_path}/{k}", buckets=64, rows_per_bucket=50)
+        for at in range(0, history, 300):
+            linker.ingest(batch_of(spark, 300, at)).collect()
+        manifest = linker.store.manifest()
+        batch = linker.rows_of(batch_of(spark, 3, history))
+        seen = linker.classes_like(batch)
+        rows = 0
+        for table, keys in (("classes", batch), ("blocks", linker.blocks_of(seen))):
+            found = linker.store.read(manifest, table, linker.store.touched(manifest, table, keys))
+            rows += 0 if found is None else found.count()
+        read.append(rows)
+    assert read[1] < 2 * read[0] + 100, read
+
+
+def test_only_new_classes_are_written(spark, tmp_path):
+    linker = L.Linker(spark, f"file://{tmp_path}/l")
+    files = batch_of(spark, 30, 0)
+    linker.ingest(files).collect()
+    before = linker.store.manifest()["tables"]
+    linker.ingest(files).collect()
+    after = linker.store.manifest()
+    assert [g["rows"] for g in after["tables"]["classes"]["generations"]] == [g["rows"] for g in before["classes"]["generations"]]
+    assert after["more"]["weights"] and after["version"] == 2
+
+
+def test_learned_counts_dont_depend_on_the_size_of_compared_blocks(spark, tmp_path, monkeypatch):
+    data = [(f"t{i}", "p", f"dir{i % 26}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'zyxwvutsrqponmlkjihgfedcba'[i // 26]}q/conftest.py", H, i) for i in range(60)]
+    counts = []
+    for k, small in enumerate((8, 1000)):
+        monkeypatch.setattr(L, "SMALL", small)
+        linker = L.Linker(spark, f"file://{tmp_path}/{k}")
+        linker.ingest(frame(spark, data)).collect()
+        counts.append(dict(linker.patterns))
+    many = [sum(n for p, n in c.items() if p[1] == 0) for c in counts]
+    assert abs(many[0] - many[1]) <= 0.05 * many[1] and {p: n for p, n in counts[0].items() if p[1]} == {p: n for p, n in counts[1].items() if p[1]}
