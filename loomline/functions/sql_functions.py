@@ -10,8 +10,8 @@ from ..operators import chunking, parsing
 #: Name -> definition over the views `runs` and `files`. Null repositories are equal to each other.
 SQL_FUNCTIONS = {
     "get_next_sequence": "CREATE OR REPLACE TEMPORARY FUNCTION get_next_sequence(proj STRING, stamp STRING) RETURNS INT RETURN (SELECT coalesce(max(sequence), 0) + 1 FROM runs WHERE project_id = proj AND timestamp = stamp)",
-    "find_duplicate_file": "CREATE OR REPLACE TEMPORARY FUNCTION find_duplicate_file(proj STRING, repo STRING, digest STRING) RETURNS TABLE (id STRING, relative_path STRING) RETURN SELECT id, relative_path FROM files WHERE project_id = proj AND repository_id <=> repo AND file_hash = digest ORDER BY created_at, id LIMIT 1",
-    "find_previous_file_version": "CREATE OR REPLACE TEMPORARY FUNCTION find_previous_file_version(proj STRING, repo STRING, path STRING) RETURNS TABLE (id STRING, file_hash STRING) RETURN SELECT id, file_hash FROM files WHERE project_id = proj AND repository_id <=> repo AND relative_path = path ORDER BY created_at DESC, id DESC LIMIT 1",
+    "find_duplicate_file": "CREATE OR REPLACE TEMPORARY FUNCTION find_duplicate_file(proj STRING, repo STRING, digest STRING) RETURNS TABLE (id STRING, relative_path STRING) RETURN SELECT r.id, r.relative_path FROM (SELECT min(struct(created_at, id, relative_path)) AS r FROM files WHERE project_id = proj AND repository_id <=> repo AND file_hash = digest) WHERE r IS NOT NULL",
+    "find_previous_file_version": "CREATE OR REPLACE TEMPORARY FUNCTION find_previous_file_version(proj STRING, repo STRING, path STRING) RETURNS TABLE (id STRING, file_hash STRING) RETURN SELECT r.id, r.file_hash FROM (SELECT max(struct(created_at, id, file_hash)) AS r FROM files WHERE project_id = proj AND repository_id <=> repo AND relative_path = path) WHERE r IS NOT NULL",
 }
 
 

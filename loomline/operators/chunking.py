@@ -51,9 +51,10 @@ def tables_of(c: Column) -> Column:
 
 
 def embedding_text(context: Column, path: Column, kind: Column, tables: Column, content: Column) -> Column:
-    """The text that is embedded: context, file, type and tables before the content; empty parts are skipped."""
-    part = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
-    return F.concat_ws("\n", part("Context", context), part("File", path), part("Type", kind), part("Tables", F.array_join(tables, ", ")), content)
+    """The text that is embedded: context, file, type and tables as comment lines before the content; no context or tables, no line."""
+    before = F.when(context != "", F.concat(F.lit("-- Context:\n"), context, F.lit("\n")))
+    named = F.when(F.size(tables) > 0, F.concat(F.lit("-- Tables: "), F.array_join(tables, ", ")))
+    return F.concat_ws("\n", before, F.concat(F.lit("-- File: "), path), F.concat(F.lit("-- Type: "), kind), named, content)
 
 
 # --- greedy packing -------------------------------------------------------------------------------
@@ -94,24 +95,37 @@ def pack_overlapping(text: str, most: int = SQL_TOKENS) -> list[tuple[str, int,
     return [*out, ("\n".join(lines[start:]), start + 1, len(lines))]
 
 
-def cut_statement(statement: str) -> list[str]:
-    """A statement within the budget as it is; else its common table expressions, each with the heads of those
-    before it that it names, and the main part; else its statements packed."""
+def cut_statement(statement: str) -> list[tuple[str, str, int, int, list[str]]]:
+    """(kind, chunk, first and last offset in the statement, common table expressions it rests on) of a statement.
+
+    Within the budget it is one chunk. Else its common table expressions are, each with the heads of those before it that it
+    names, and the main part; without any its subqueries that fit; without those its statements packed.
+    """
     if estimate(statement) <= SQL_TOKENS:
-        return [statement]
+        return [("SQL_STATEMENT", statement, 0, len(statement) - 1, [])]
     spans = [(m.group(1), m.start(), _closing(statement, m.end() - 1)) for m in re.finditer(r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(\w+)\s+as\s*\(", statement)]
     spans = [s for s in spans if s[2] > 0]
     if not spans:
-        return pack_statements(statement)
+        inner = [(m.start(), _closing(statement, m.start())) for m in re.finditer(r"(?i)\(\s*select\b", statement)]
+        fitting = [("SQL_SUBQUERY", statement[a : b + 1], a, b, []) for a, b in inner if b > 0 and estimate(statement[a : b + 1]) <= SQL_TOKENS]
+        if fitting:
+            return fitting
+        out, at = [], 0
+        for c in pack_statements(statement):
+            at = max(at, statement.find(c[:40], at))
+            out.append(("SQL_STATEMENT", c, at, min(len(statement), at + len(c)) - 1, []))
+        return out
     out, heads = [], {}
     for name, a, b in spans:
         body = statement[a : b + 1].lstrip(", \n")
-        used = [h for n, h in heads.items() if re.search(rf"\b{n}\b", body)]
-        out.append("\n".join([*used, body]))
+        used = [n for n in heads if re.search(rf"\b{n}\b", body)]
+        out.append(("SQL_CTE", "\n".join([*[heads[n] for n in used], body]), b + 1 - len(body), b, used))
         heads[name] = body[:500]
-    main = statement[spans[-1][2] + 1 :].strip()
+    end = spans[-1][2] + 1
+    main = statement[end:].strip()
     if main:
-        out.append("\n".join([*[h for n, h in heads.items() if re.search(rf"\b{n}\b", main)], main]))
+        used = [n for n in heads if re.search(rf"\b{n}\b", main)]
+        out.append(("SQL_STATEMENT", "\n".join([*[heads[n] for n in used], main]), len(statement) - len(statement[end:].lstrip()), len(statement) - 1, used))
     return out
 
 
@@ -124,30 +138,45 @@ def _closing(s: str, at: int) -> int:
     return -1
 
 
-def sql_chunks(text: str) -> list[str]:
-    """Statements, cut further where they are too long. Dollar quotes and strings keep their semicolons."""
-    parts, depth_quote, start, i = [], None, 0, 0
+def statements(text: str) -> list[tuple[int, str]]:
+    """(offset, statement) of each statement; dollar quotes, strings and comments keep their semicolons."""
+    parts, quote, start, i = [], None, 0, 0
     while i < len(text):
-        if depth_quote:
-            if text.startswith(depth_quote, i):
-                i += len(depth_quote)
-                depth_quote = None
+        if quote:
+            if text.startswith(quote, i):
+                i += len(quote)
+                quote = None
                 continue
         elif text[i] in "'\"":
-            depth_quote = text[i]
+            quote = text[i]
         elif text[i] == "$" and (m := re.match(r"\$\w*\$", text[i:])):
-            depth_quote = m.group(0)
-            i += len(depth_quote)
+            quote = m.group(0)
+            i += len(quote)
             continue
         elif text.startswith("--", i):
-            i = text.find("\n", i) if "\n" in text[i:] else len(text)
+            end = text.find("\n", i)
+            i = end if end >= 0 else len(text)
             continue
         elif text[i] == ";":
-            parts.append(text[start : i + 1].strip())
+            parts.append((start, text[start : i + 1]))
             start = i + 1
         i += 1
-    parts.append(text[start:].strip())
-    return [c for p in parts if p.strip("; \n\t") for c in cut_statement(p)]
+    parts.append((start, text[start:]))
+    return [(at + len(p) - len(p.lstrip()), p.strip()) for at, p in parts if p.strip("; \n\t\r")]
+
+
+def sql_pieces(text: str) -> list[tuple[str, str, int, int, list[str]]]:
+    """(kind, chunk, first line, last line, common table expressions it rests on) of a SQL text."""
+    out = []
+    for at, statement in statements(text):
+        for kind, chunk, first, last, used in cut_statement(statement):
+            out.append((kind, chunk, text.count("\n", 0, at + first) + 1, text.count("\n", 0, at + last) + 1, used))
+    return out
+
+
+def sql_chunks(text: str) -> list[str]:
+    """Statements, cut further where they are too long."""
+    return [chunk for _, chunk, _, _, _ in sql_pieces(text)]
 
 
 def python_chunks(text: str) -> list[tuple[str, str, int, int]]:
@@ -175,7 +204,7 @@ def python_chunks(text: str) -> list[tuple[str, str, int, int]]:
 def chunk_text(extension: str, text: str) -> list[tuple[str, str]]:
     """(kind, chunk) by extension: SQL, Python, and lines for all others."""
     if extension in ("sql", "ddl", "dml"):
-        return [("SQL_STATEMENT", c) for c in sql_chunks(text)]
+        return [(k, c) for k, c, _, _, _ in sql_pieces(text)]
     if extension in ("py", "pyspark", "python"):
         return [(k, c) for k, c, _, _ in python_chunks(text)]
     return [("GENERIC", c) for c in pack_lines(text)]
@@ -196,7 +225,81 @@ def chunk_files(files: DataFrame, keep: tuple[str, ...] = ("path",), content: st
     return files.select(*keep, ext.alias("__ext"), F.col(content).alias("__text")).mapInPandas(run, schema)
 
 
+#: Words that stand where a table's name would.
+NO_TABLES = ("select", "lateral", "unnest", "values", "set")
+
+
+def describe(kind: str, chunk: str) -> tuple[list[str], list[str], list[str]]:
+    """(tables, qualified columns, functions defined) that a chunk names, each sorted and distinct."""
+    tables = sorted({t for t in re.findall(r"(?i)\b(?:from|join|into|update)\s+([a-z_][\w.]*)", chunk) if t.lower() not in NO_TABLES})
+    columns = sorted({c for c in re.findall(r"(?<![\w.])([A-Za-z_]\w*\.[A-Za-z_]\w*)(?![\w.(])", chunk) if c not in tables})
+    if kind.startswith("SQL"):
+        functions = re.findall(r"(?i)\bcreate\s+(?:or\s+(?:replace|alter)\s+)?(?:function|procedure|proc)\s+([\w.]+)", chunk)
+    else:
+        functions = re.findall(r"(?m)^\s*(?:async\s+)?def\s+(\w+)", chunk)
+    return tables, columns, sorted(set(functions))
+
+
+def pieces(extension: str, text: str) -> list[tuple[str, str, str, int, int, list[str]]]:
+    """(language, kind, chunk, first line, last line, dependencies) of a file's chunks."""
+    if extension in ("sql", "ddl", "dml"):
+        return [("sql", kind, chunk, a, b, used) for kind, chunk, a, b, used in sql_pieces(text)]
+    if extension in ("py", "pyspark", "python"):
+        return [("python", kind, chunk, a, b, sorted(set(re.findall(r"(?m)^\s*(?:from|import)\s+([\w.]+)", chunk)))) for kind, chunk, a, b in python_chunks(text)]
+    out, line = [], 1
+    for chunk in pack_lines(text):
+        n = chunk.count("\n")
+        out.append((extension or "text", "GENERIC", chunk, line, line + n, []))
+        line += n + 1
+    return out
+
+
+RECORD = "chunk_no int, language string, kind string, chunk string, start_line int, end_line int, tables array<string>, columns array<string>, functions array<string>, dependencies array<string>, context string, tokens int"
+
+
+def chunk_records(files: DataFrame, keep: tuple[str, ...] = ("path",), content: str = "content", extension: Column | None = None) -> DataFrame:
+    """The whole record of every chunk (see RECORD): span, language, what it names and rests on, and the context it is embedded with."""
+    ext = extension if extension is not None else F.lower(F.regexp_extract(keep[0], r"\.([^./]+)$", 1))
+    names = [c.split()[0] for c in RECORD.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for *key, e, text in pdf.itertuples(index=False, name=None):
+                for i, (language, kind, chunk, a, b, used) in enumerate(pieces(e, text) if text is not None else []):
+                    context = f"-- CTEs defined: {', '.join(used)}" if language == "sql" and used else ""
+                    rows.append((*key, i, language, kind, chunk, a, b, *describe(kind, chunk), used, context, estimate(chunk)))
+            yield pd.DataFrame(rows, columns=[*keep, *names])
+
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep) + ", " + RECORD
+    return files.select(*keep, ext.alias("__ext"), F.col(content).alias("__text")).mapInPandas(run, schema)
+
+
 def cache_misses(files: DataFrame, cache: DataFrame, version: int, days: int = 30, content: str = "content") -> DataFrame:
     """files whose content hash has no fresh entry of this schema version in the parse cache."""
     fresh = cache.where((F.col("schema_version") == version) & (F.col("created_at") >= F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS")))
     return files.withColumn("file_hash", F.sha2(content, 256)).join(fresh.select("file_hash"), "file_hash", "left_anti")
+
+
+def cache_put(cache: DataFrame, new: DataFrame, most: int = 10_000) -> DataFrame:
+    """cache with new entries (file_hash and more) in place of older ones; the `most` accessed last are kept (ties by hash)."""
+    merged = cache.join(new.select("file_hash"), "file_hash", "left_anti").unionByName(new)
+    return merged.orderBy(F.desc("last_accessed"), "file_hash").limit(most)
+
+
+def cache_touch(cache: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """cache with the time of access of the entries asked for (file_hash)."""
+    hit = asked.select("file_hash").distinct().withColumn("__hit", F.lit(True))
+    return cache.join(hit, "file_hash", "left").withColumn("last_accessed", F.when(F.col("__hit"), now).otherwise(F.col("last_accessed"))).drop("__hit").select(*cache.columns)
+
+
+def cache_stats(cache: DataFrame, asked: DataFrame, version: int, days: int = 30, now: Column | None = None) -> DataFrame:
+    """(entries, bytes, expired, hits, misses, hit_rate): one row about the cache and the keys asked for (file_hash)."""
+    at = now if now is not None else F.current_timestamp()
+    fresh = (F.col("schema_version") == version) & (F.col("created_at") >= at - F.expr(f"INTERVAL {days} DAYS"))
+    whole = cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum((~fresh).cast("bigint")), F.lit(0)).alias("expired"))
+    hits = asked.select("file_hash").join(cache.where(fresh).select("file_hash", F.lit(1).alias("__hit")), "file_hash", "left").agg(F.count("__hit").alias("hits"), (F.count("*") - F.count("__hit")).alias("misses"))
+    rate = F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6)).otherwise(0.0)
+    return whole.join(F.broadcast(hits), F.lit(True)).withColumn("hit_rate", rate)  # one row

@@ -287,9 +287,11 @@ def shortest_path(edges: DataFrame | EdgeStore, source: str, target: str) -> Dat
     frontier = store.materialize(spark.createDataFrame([(source, [source])], "id string, path array<string>"), "path-0")
     visited, d = frontier.select("id"), 0
     while True:
-        hit = frontier.where(F.col("id") == target)
-        if hit.limit(1).count():
-            return hit.select("path", F.lit(d).alias("hops"))
+        n, there = frontier.agg(F.count("*"), F.max(F.col("id") == target)).first()
+        if there:
+            return frontier.where(F.col("id") == target).select("path", F.lit(d).alias("hops"))
+        if not n:
+            break
         ids = frontier.select("id")
         sides = [(e.select(F.col(a).alias("id"), F.col(b).alias("next"))) for a, b in (("source_id", "target_id"), ("target_id", "source_id")) if (e := edges_at(edges, a, ids)) is not None]
         if not sides:
@@ -298,8 +300,6 @@ def shortest_path(edges: DataFrame | EdgeStore, source: str, target: str) -> Dat
         step = near.join(store.checked_broadcast(frontier), "id").groupBy("next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
         d += 1
         frontier = store.materialize(step.withColumnRenamed("next", "id"), f"path-{d}")
-        if not frontier.limit(1).count():
-            break
         visited = visited.unionByName(frontier.select("id"))
     return spark.createDataFrame([], "path array<string>, hops int")
 
@@ -345,6 +345,16 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return with_ends(edges, nodes)
 
 
+#: Labels of what a context is made of.
+CONTEXT_LABELS = ("File", "DataAsset", "Column", "FunctionOrProcedure")
+
+
+def context_subgraph(nodes: DataFrame, edges: DataFrame, scope: str, labels: Sequence[str] = CONTEXT_LABELS, most: int = 20, path: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges among them): the first `most` nodes by id of the given labels whose path contains the scope, ignoring case."""
+    some = nodes.where(F.col("label").isin(list(labels)) & F.contains(F.lower(path), F.lit(scope.lower()))).orderBy("id").limit(most)
+    return some, induced(some, edges)
+
+
 def visual(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes numbered from 0 by id and links by those numbers; links with unknown ends are left out.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
+
 #: Log levels by rank.
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
@@ -55,12 +57,12 @@ def histogram(values: DataFrame, buckets: Sequence[float], by: str, value: str =
 def percentiles(values: DataFrame, by: str, quantiles: Sequence[float], value: str = "value") -> DataFrame:
     """(by, n, mean, p<q>...): exact order statistics at index int(n * q) of the sorted values.
 
-    Values are counted per (group, value) first; the index is found by a running count over distinct values.
+    Values are counted per (group, value) first; the index is found by a running count over distinct values, which is spread
+    over tasks where a group has many.
     """
-    v = values.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    running = F.sum("c").over(Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    v = store.materialize(values.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c")), "percentiles")
     total = v.groupBy(by).agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"))
-    j = v.withColumn("r", running).join(total, by)
+    j = store.running(v, [by], [F.col("v")], F.col("c"), "r").join(total, by)
     picks = [F.min(F.when(F.col("r") > F.floor(F.col("n") * q), F.col("v"))).alias(f"p{round(q * 100)}") for q in quantiles]
     return j.groupBy(by, "n", "mean").agg(*picks)
 
@@ -74,9 +76,17 @@ def prometheus(samples: DataFrame) -> DataFrame:
     return g.select("name", F.posexplode(text).alias("pos", "line")).orderBy("name", "pos").select("line")
 
 
-def activity(events: DataFrame, ok: Column, latency: str = "value", endpoint: str = "event_type") -> DataFrame:
-    """(total, ok, success_rate, avg_latency): one row over all events."""
-    return events.agg(F.count("*").alias("total"), F.sum(ok.cast("bigint")).alias("ok"), F.round(F.avg(ok.cast("double")), 6).alias("success_rate"), F.round(F.avg(latency), 2).alias("avg_latency"))
+def activity(events: DataFrame, ok: Column, latency: str = "value", cached: Column | None = None) -> DataFrame:
+    """(total, ok, success_rate, avg_latency, cache_hit_rate): one row over all events; the hit rate is that of events that asked a cache."""
+    hits = F.avg(cached.cast("double")) if cached is not None else F.lit(None).cast("double")
+    return events.agg(F.count("*").alias("total"), F.sum(ok.cast("bigint")).alias("ok"), F.round(F.avg(ok.cast("double")), 6).alias("success_rate"), F.round(F.avg(latency), 2).alias("avg_latency"), F.round(hits, 6).alias("cache_hit_rate"))
+
+
+def error_types(events: DataFrame, ok: Column, kind: Column, latency: str = "value") -> DataFrame:
+    """(error_type, n, share, avg_latency) of the events that failed; a null kind is `unknown`."""
+    bad = events.where(~ok).groupBy(F.coalesce(kind, F.lit("unknown")).alias("error_type")).agg(F.count("*").alias("n"), F.round(F.avg(latency), 2).alias("avg_latency"))
+    whole = bad.agg(F.sum("n").alias("__all"))
+    return bad.join(F.broadcast(whole), F.lit(True)).select("error_type", "n", F.round(F.col("n") / F.col("__all"), 6).alias("share"), "avg_latency")  # one row
 
 
 def top(events: DataFrame, by: str, k: int = 10) -> DataFrame:
@@ -86,15 +96,17 @@ def top(events: DataFrame, by: str, k: int = 10) -> DataFrame:
 def ema(series: DataFrame, by: str, order: Sequence[str], value: str = "value", alpha: float = 0.3) -> DataFrame:
     """(by, ema): exponential average in order, seeded with the first value; an average of 0 counts as unseeded.
 
-    A fold in order can't be split, but it can be closed: only values after the last unseeded point matter, and
-    their weights fall below 2^-60 within 120 steps for alpha 0.3. The fold runs over each group's last TAIL values,
-    with the rest of the weight below the precision of a double.
+    The fold has a closed form, a sum over all values: the first value that isn't 0 weighs (1 - alpha)^(values after it), any
+    later one alpha times that, so that partial sums do it. An average can be 0 again later only if values of both signs cancel
+    out exactly, and is then taken as it is. Rows should differ in order; the numbers in order are spread over tasks.
     """
-    tail = 200
-    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    last = series.where(F.col(value).isNotNull()).select(by, F.struct(*order, F.col(value).cast("double").alias("__v")).alias("s"), F.row_number().over(w).alias("r")).where(F.col("r") <= tail)
-    folded = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, s: F.when(a == 0, s["__v"]).otherwise(alpha * s["__v"] + (1 - alpha) * a))
-    return last.groupBy(by).agg(F.round(folded, 6).alias("ema"))
+    v = series.where(F.col(value).isNotNull()).select(by, *order, F.col(value).cast("double").alias("__v"))
+    numbered = store.running(v, [by], [F.desc(c) for c in order], F.lit(1), "__after").withColumn("__after", F.col("__after") - 1)
+    seeds = numbered.groupBy(by).agg(F.max(F.when(F.col("__v") != 0, F.col("__after"))).alias("__first"))
+    j = numbered.join(store.checked_broadcast(seeds), by)
+    weight = F.pow(F.lit(1 - alpha), F.col("__after")) * F.when(F.col("__after") == F.col("__first"), 1.0).otherwise(alpha)
+    part = F.when(F.col("__after") <= F.col("__first"), weight * F.col("__v"))
+    return j.groupBy(by).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("ema"))
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
+
 FINAL = ("processed", "error", "skipped")
 
 
@@ -26,6 +28,35 @@ def with_counts(parents: DataFrame, key: str, **children: tuple[DataFrame, str])
     return parents
 
 
+def create(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """old with the rows of new (id and more) whose id isn't there yet, stamped with created_at and updated_at where there are such columns."""
+    fresh = new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti")
+    stamped = [now.cast(old.schema[c].dataType).alias(c) if c in ("created_at", "updated_at") else F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    return old.unionByName(fresh.select(*stamped))
+
+
+def update(old: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """old with the columns of changes (id and more) that aren't null; changed rows are stamped with updated_at."""
+    columns = [c for c in changes.columns if c != "id" and c in old.columns]
+    j = old.join(changes.select("id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns]), "id", "left")
+    value = lambda c: F.coalesce(f"__{c}", c) if c in columns else F.when(F.col("__hit"), now.cast(old.schema[c].dataType)).otherwise(F.col(c)) if c == "updated_at" else F.col(c)
+    return j.select(*[value(c).alias(c) for c in old.columns])
+
+
+def delete_project(gone: DataFrame, projects: DataFrame, repositories: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(projects, repositories, links) without the projects gone (id), their repositories, and links with an end in either."""
+    ids = gone.select("id").distinct()
+    lost = repositories.join(ids.withColumnRenamed("id", "project_id"), "project_id", "left_semi").select("id").unionByName(ids).distinct()
+    left = links.join(lost.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(lost.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    kept = repositories.join(ids.withColumnRenamed("id", "project_id"), "project_id", "left_anti").select(*repositories.columns)
+    return projects.join(ids, "id", "left_anti").select(*projects.columns), kept, left.select(*links.columns)
+
+
+def update_context(projects: DataFrame, contexts: DataFrame, now: Column) -> DataFrame:
+    """projects with the contexts (id, context) that are valid (see context_errors); an invalid one changes nothing."""
+    return update(projects, contexts.where(F.size(context_errors(F.col("context"))) == 0).select("id", "context"), now)
+
+
 def links_of(links: DataFrame, project: str) -> DataFrame:
     """Links with the project on either side."""
     return links.where((F.col("source_id") == project) | (F.col("target_id") == project))
@@ -41,14 +72,47 @@ def bad_links(links: DataFrame, repositories: DataFrame) -> DataFrame:
 def detect_links(refs: DataFrame, least: int = 1) -> DataFrame:
     """(repo_a, repo_b, shared, confidence): repositories that name the same tables. refs: (repository_id, name).
 
-    Every name is reduced to its sorted repositories; only names in few repositories tell anything, but all
-    count: pairs are made per name from a bounded set, the distinct repositories.
+    Repositories with the same names are one class, and pairs are between classes: a name in R repositories of C classes makes
+    C^2 / 2 pairs at most, however many copies there are. Names of more than COMMON classes tell little by themselves and make
+    no pairs (see common_names, which reports them); they are still counted for every pair that shares another name.
     """
-    named = refs.select("repository_id", F.lower("name").alias("name")).distinct()
-    sizes = named.groupBy("repository_id").agg(F.count("*").alias("n"))
-    pairs = named.toDF("a", "name").join(named.toDF("b", "name"), "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    small = F.least("na", "nb")
-    return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select(F.col("a").alias("repo_a"), F.col("b").alias("repo_b"), "shared", F.round(F.col("shared") / small, 6).alias("confidence"))
+    named, classes = name_classes(refs)
+    common = store.materialize(named.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("name"), "common-names")
+    rare = named.join(F.broadcast(common), "name", "left_anti") if store.is_small(common) else named.join(common, "name", "left_anti")
+    pairs = rare.select(F.col("class").alias("a"), "name").join(rare.select(F.col("class").alias("b"), "name"), "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # what a pair shares of the common names: by the sets of them, which are small and one row a class
+    sets = named.join(common, "name", "left_semi").groupBy("class").agg(F.collect_set("name").alias("names"))
+    both = pairs.join(sets.toDF("a", "x"), "a", "left").join(sets.toDF("b", "y"), "b", "left")
+    more = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0)
+    pairs = both.select("a", "b", (F.col("shared") + more).alias("shared"))
+    members = classes.select("class", "repository_id", "n")
+    # copies of one class share all their names: each with the first of them
+    firsts = classes.groupBy("class").agg(F.min("repository_id").alias("repo_a"))
+    copies = members.join(firsts, "class").where("repo_a < repository_id").select("repo_a", F.col("repository_id").alias("repo_b"), F.col("n").alias("shared"), F.lit(1.0).alias("confidence")).where(F.col("shared") >= least)
+    of = firsts.join(classes.groupBy("class").agg(F.first("n").alias("n")), "class")
+    named_pairs = pairs.where(F.col("shared") >= least).join(of.toDF("a", "ra", "na"), "a").join(of.toDF("b", "rb", "nb"), "b")
+    between = named_pairs.select(F.least("ra", "rb").alias("repo_a"), F.greatest("ra", "rb").alias("repo_b"), "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("confidence"))
+    return between.unionByName(copies)
+
+
+#: A name of more classes of repositories than this makes no pairs by itself.
+COMMON = 1000
+
+
+def name_classes(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, name), (class, repository_id, n)): repositories with exactly the same names, in lower case, are one class; n names each."""
+    named = store.materialize(refs.select("repository_id", F.lower("name").alias("name")).where("repository_id IS NOT NULL AND name IS NOT NULL").distinct(), "names")
+    classes = store.materialize(named.groupBy("repository_id").agg(F.xxhash64(F.sum(F.xxhash64("name").cast("decimal(38,0)")).cast("string"), F.bit_xor(F.xxhash64(F.reverse("name"))), F.count("*")).alias("class"), F.count("*").alias("n")), "name-classes")
+    first = classes.groupBy("class").agg(F.min("repository_id").alias("repository_id"))
+    return named.join(first, "repository_id").select("class", "name"), classes
+
+
+def common_names(refs: DataFrame, least: int | None = None) -> DataFrame:
+    """(name, repositories, classes) of the names that are in more than `least` (COMMON) classes of repositories, as a class instead of pairs."""
+    named, classes = name_classes(refs)
+    sizes = classes.groupBy("class").agg(F.count("*").alias("copies"))
+    g = named.join(sizes, "class").groupBy("name").agg(F.sum("copies").alias("repositories"), F.count("*").alias("classes"))
+    return g.where(F.col("classes") > (COMMON if least is None else least))
 
 
 #: Fields of a project's context that are lists of strings, and its formats.
@@ -97,6 +161,12 @@ def file_filter(files: DataFrame, superseded: bool = False, **equal: str | None)
     return files if superseded else files.where(~F.coalesce("is_superseded", F.lit(False)))
 
 
+def page_of(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page with `total`, the number of all rows, and `has_more` on every row; no row beyond the end."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, limit, offset).join(F.broadcast(total), F.lit(True)).withColumn("has_more", F.col("total") > offset + limit).orderBy(*order)  # one row
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
@@ -188,6 +258,21 @@ def extensions(c: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.when(p.startswith("."), p).otherwise(F.concat(F.lit("."), p))))
 
 
+def save_settings(settings: DataFrame, allowed: Sequence[str], most_mb: int, by: str, now: Column) -> DataFrame:
+    """The one row of upload settings (id, allowed_extensions, max_file_size_mb, updated_at, updated_by), in place of the one before."""
+    if not 1 <= most_mb <= 500:
+        raise ValueError("the size limit is between 1 and 500 MB")
+    one = settings.sparkSession.range(1).select(F.lit("default").alias("id"), extensions(F.lit(",".join(allowed))).alias("allowed_extensions"), F.lit(most_mb).alias("max_file_size_mb"), now.alias("updated_at"), F.lit(by).alias("updated_by"))
+    return put(settings, one.select(*[F.col(c).cast(settings.schema[c].dataType).alias(c) for c in settings.columns]), ("id",))
+
+
+def free_model(model: Column, free: Sequence[str], default: str) -> Column:
+    """struct(model, downgraded): a model of the free tier as it is, none as the default, any other as the default and downgraded."""
+    kept = model.isin(*free)
+    none = model.isNull() | (model == "")
+    return F.struct(F.when(kept, model).otherwise(F.lit(default)).alias("model"), (~none & ~kept).alias("downgraded"))
+
+
 def first_models(configs: DataFrame) -> DataFrame:
     """(usage_type, model_id, chain): the enabled model of the least priority, and all enabled ones in order."""
     return configs.where("enabled").groupBy("usage_type").agg(F.min_by("model_id", F.struct("priority", "model_id")).alias("model_id"), F.transform(F.array_sort(F.collect_list(F.struct("priority", "model_id"))), lambda s: s["model_id"]).alias("chain"))

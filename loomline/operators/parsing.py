@@ -301,6 +301,75 @@ def to_graph(parsed: DataFrame, project: str, path: str = "path") -> tuple[DataF
     return nodes, edges.unionByName(arcs("calls", me, node_id(F.lit("FunctionOrProcedure"), x), F.lit("CALLS"))).distinct()
 
 
+def column_graph(columns: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of column lineage: rows (write, target, sources, transformation), of column_lineage over intended_lineage.
+
+    A written table contains its columns, a transformation (keyed by column and logic) generates one, source columns are input to it
+    and lie in their tables. Sources without a table lie in `unknown`; rows that write nothing have no column.
+    """
+    rows = columns.where("write IS NOT NULL AND write <> 'console' AND target <> ''").select("write", "target", "sources", "transformation").distinct()
+    node_id = lambda label, name: S.urn(F.lit(label), F.lit(project), name)
+    full = F.concat_ws(".", "write", "target")
+    key = F.concat(F.lit("transformation:"), F.sha2(F.concat_ws(":", full, "transformation"), 256))
+    made = rows.select(node_id("DataAsset", F.col("write")).alias("table"), F.col("write").alias("table_name"), node_id("Column", full).alias("column"), "target", node_id("Transformation", key).alias("step"), "transformation", F.explode_outer("sources").alias("source"))
+    parts = F.split("source", r"\.")
+    of = F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("unknown"))
+    s = made.withColumns({"source_table": F.when(F.col("source").isNotNull(), of), "source_name": F.element_at(parts, -1)})
+    s = s.withColumns({"source_column": F.when(F.col("source").isNotNull(), node_id("Column", F.concat_ws(".", "source_table", "source_name"))), "source_asset": F.when(F.col("source").isNotNull(), node_id("DataAsset", F.col("source_table")))})
+    node = lambda i, label, name: F.struct(F.col(i).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
+    edge = lambda a, b, kind: F.struct(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("type"))
+    nodes = s.select(F.inline(F.array(node("table", "Table", "table_name"), node("column", "Column", "target"), node("step", "Transformation", "transformation"), node("source_column", "Column", "source_name"), node("source_asset", "DataAsset", "source_table")))).where("id IS NOT NULL")
+    edges = s.select(F.inline(F.array(edge("table", "column", "CONTAINS"), edge("step", "column", "GENERATES"), edge("source_asset", "source_column", "CONTAINS"), edge("source_column", "step", "INPUT_TO")))).where("source_id IS NOT NULL")
+    return nodes.groupBy("id").agg(F.max("label").alias("label"), F.min("name").alias("name")), edges.distinct()
+
+
+def attachments(files: DataFrame, project: str, content: str = "content") -> DataFrame:
+    """Edges ATTACHED_TO from triggers to their tables, and ALIAS_OF from synonyms to what they stand for."""
+    c = _sql_clean(F.col(content))
+    node_id = lambda label, name: S.urn(F.lit(label), F.lit(project), name)
+
+    def pairs(pattern: str, label: str, kind: str) -> DataFrame:
+        both = F.explode(F.arrays_zip(_plain(find(c, pattern, 1)).alias("a"), _plain(find(c, pattern, 2)).alias("b")))
+        return files.select(both.alias("p")).select(node_id(label, F.col("p.a")).alias("source_id"), node_id("DataAsset", F.col("p.b")).alias("target_id"), F.lit(kind).alias("type"))
+
+    trigger = pairs(rf"(?is)\bCREATE\s+{OR}(?:CONSTRAINT\s+)?TRIGGER\s+{IDENT}\s[^;]*?\bON\s+{IDENT}", "Trigger", "ATTACHED_TO")
+    return trigger.unionByName(pairs(rf"(?i)\bCREATE\s+{OR}SYNONYM\s+{IDENT}\s+FOR\s+{IDENT}", "Synonym", "ALIAS_OF")).distinct()
+
+
+def full_graph(files: DataFrame, project: str, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of SQL files with their columns, transformations, triggers and synonyms; ends without a node get one."""
+    parsed = intended_lineage(files, content)
+    nodes, edges = to_graph(parsed, project, path)
+    more, columns = column_graph(column_lineage(parsed, content), project)
+    edges = edges.unionByName(columns).unionByName(attachments(files, project, content)).distinct()
+    nodes = nodes.unionByName(more).groupBy("id").agg(F.max("label").alias("label"), F.min("name").alias("name"))
+    return nodes.unionByName(fallback_nodes(edges, nodes)), edges
+
+
+def fallback_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, label, name) for the ends of edges that are no nodes, as their URNs name them; an end that is no URN is a DataAsset of that name."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    lost = ends.join(nodes.select("id"), "id", "left_anti")
+    u = S.urn_parts(F.col("id"))
+    return lost.select("id", F.coalesce(F.nullif(u["entity_type"], F.lit("")), F.lit("DataAsset")).alias("label"), F.coalesce(F.nullif(u["asset_path"], F.lit("")), F.col("id")).alias("name"))
+
+
+def objects_of(objects: DataFrame, kind: str) -> DataFrame:
+    """Header objects of a kind."""
+    return objects.where(F.col("kind") == kind)
+
+
+def tables_with_children(objects: DataFrame, children: DataFrame, by: str = "path") -> DataFrame:
+    """Tables that have indexes, keys or constraints."""
+    return objects_of(objects, "TABLE").join(children.select(by, F.col("parent_name").alias("full_name")).distinct(), [by, "full_name"], "left_semi")
+
+
+def indexed_views(objects: DataFrame, children: DataFrame, by: str = "path") -> DataFrame:
+    """Views that have an index."""
+    indexed = children.where("child_kind = 'indexes'").select(by, F.col("parent_name").alias("full_name")).distinct()
+    return objects_of(objects, "VIEW").join(indexed, [by, "full_name"], "left_semi")
+
+
 def json_graph(docs: DataFrame, project: str, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
     """A JsonDocument node for each file and a JsonKey node for each key, joined by HAS_KEY."""
     rows = docs.select(path, F.explode(json_summary(F.col(content))["keys"]).alias("key"))

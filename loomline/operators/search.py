@@ -7,13 +7,16 @@ weights per document with map-side partials, over the terms of the query alone.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import scalar as S
+from ..sources import keyed
 
 
 def collection_info(points: DataFrame, vector: str = "vector") -> DataFrame:
@@ -31,6 +34,15 @@ def matching(points: DataFrame, **equal: object) -> DataFrame:
     return points
 
 
+def point_by_id(points: DataFrame, point_id: str | int) -> DataFrame:
+    """The point of an id; a text of digits is a number where ids are numbers."""
+    kind = points.schema["id"].dataType
+    numeric = kind.typeName() in ("byte", "short", "integer", "long")
+    if numeric and not str(point_id).lstrip("-").isdigit():
+        return points.limit(0)
+    return points.where(F.col("id") == F.lit(int(point_id) if numeric else str(point_id)).cast(kind))
+
+
 def delete_by(points: DataFrame, **equal: object) -> tuple[DataFrame, DataFrame]:
     """(points left, (deleted) one row): equality on the given columns; nulls don't match."""
     hit = F.lit(True)
@@ -44,47 +56,145 @@ def vector_literal(values: Sequence[float]) -> Column:
 
 
 def dense(points: DataFrame, query: Sequence[float], k: int = 10, vector: str = "vector", **equal: object) -> DataFrame:
-    """(id, score): the k points of the greatest cosine; payload filters come before the ranking."""
+    """(id, score): the k points of the greatest cosine (ties by id); payload filters come before the ranking."""
     score = S.cosine(F.col(vector), vector_literal(query))
-    return matching(points, **equal).where(F.col(vector).isNotNull()).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    best = matching(points, **equal).where(F.col(vector).isNotNull()).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return best.select("id", F.round("score", 6).alias("score"))
+
+
+#: Queries that are scored together, points that they meet at once, and bytes of query vectors that are broadcast at most.
+QUERY_BLOCK, POINT_TILE, QUERY_BYTES = 256, 20_000, 32_000_000
+
+
+def best_of(ids, vectors, names, matrix, k: int):
+    """(query_id, id, score) of the k points of a batch nearest to each query, by one product; norms of 0 score 0."""
+    import numpy as np
+    import pandas as pd
 
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = unit(np.array(vectors, dtype="float64")) @ unit(np.array(matrix, dtype="float64")).T
+    ids = np.asarray(ids)
+    out = []
+    for j, q in enumerate(names):
+        best = np.lexsort((ids, -scores[:, j]))[:k]
+        out.append(pd.DataFrame({"query_id": q, "id": ids[best], "score": scores[best, j]}))
+    return out
 
-def dense_many(points: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector", block: int = 64) -> DataFrame:
+
+def dense_many(points: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector") -> DataFrame:
     """(query_id, id, score, rank) for every query row (query_id, vector) against all points.
 
-    Queries are gathered into blocks of fixed size; each block's matrix meets every Arrow batch of points in one
-    product. A batch keeps its k best per query; the final rank is over at most k rows of each batch.
+    Few queries are broadcast and meet every Arrow batch of points in one scan. More are met tile by tile: points are cut into
+    tiles and queries into blocks by hash, and each (tile, block) is one product of bounded size. Either way a batch keeps its k
+    best per query, and the final rank is over at most k rows of each.
     """
-    import numpy as np
+    q = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).cast("array<double>").alias("q"))
+    p = points.where(F.col(vector).isNotNull()).select("id", F.col(vector).cast("array<double>").alias("v"))
+    q = store.materialize(q, "queries")
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, score double"
+    if store.is_small(q, size=QUERY_BYTES):
+        rows = q.collect()  # proven small
+        shipped = q.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["q"] for r in rows]))
+
+        def run(batches):
+            names, matrix = shipped.value
+            for pdf in batches:
+                for at in range(0, len(names) if len(pdf) else 0, QUERY_BLOCK):
+                    yield from best_of(pdf["id"], pdf["v"].tolist(), names[at : at + QUERY_BLOCK], matrix[at : at + QUERY_BLOCK], k)
 
-    numbered = [(r["query_id"], r["vector"]) for r in queries.select("query_id", F.col(vector).alias("vector")).toLocalIterator()]
-    parts = []
-    for at in range(0, len(numbered), block):
-        chunk = numbered[at : at + block]
-        matrix = np.array([v for _, v in chunk], dtype="float64")
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        names = [q for q, _ in chunk]
+        near = p.mapInPandas(run, schema)
+    else:
+        tiles, blocks = -(-p.count() // POINT_TILE), -(-q.count() // QUERY_BLOCK)
+        tile, block = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        left = p.withColumn("tile", tile).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        right = q.withColumn("block", block).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")))
 
-        def run(batches, matrix=matrix, names=names):
+        def met(a, b):
             import pandas as pd
 
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.array(pdf["v"].tolist(), dtype="float64")
-                scores = (m @ matrix.T) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                ids = pdf["id"].to_numpy()
-                for j, q in enumerate(names):
-                    best = np.lexsort((ids, -np.round(scores[:, j], 6)))[:k]
-                    yield pd.DataFrame({"query_id": q, "id": ids[best], "score": np.round(scores[best, j], 6)})
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        parts.append(points.where(F.col(vector).isNotNull()).select("id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, f"query_id {kind}, id {points.schema['id'].dataType.simpleString()}, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            found = best_of(a["id"], a["v"].tolist(), b["query_id"].tolist(), b["q"].tolist(), k) if len(a) and len(b) else []
+            return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+        near = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInPandas(met, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- collections and an index ---------------------------------------------------------------------
+
+
+def create_collection(collections: DataFrame, name: str, size: int, distance: str = "cosine") -> DataFrame:
+    """collections (name, size, distance) with a new one; one that is there stays as it is, and another size for it is refused."""
+    there = collections.where(F.col("name") == name).select("size").limit(1).collect()  # one row
+    if there and there[0][0] != size:
+        raise ValueError(f"collection {name} has vectors of {there[0][0]}, not {size}")
+    if there:
+        return collections
+    return collections.unionByName(collections.sparkSession.createDataFrame([(name, size, distance)], collections.schema))
+
+
+class VectorIndex:
+    """An inverted-file index: every point is filed under the nearest of `cells` centroids, a search opens the cells nearest to it.
+
+    Centroids are fitted (spherical k-means) on at most `sample` points, those of the smallest hashes; all points are filed. A
+    point is stored with its cell, so a search reads `probes` buckets of cells and scores those points exactly.
+    """
+
+    def __init__(self, spark, path: str, cells: int = 16, sample: int = 20_000, probes: int = 13):
+        self.store = keyed.KeyedStore(spark, path, {"points": ("cell",)}, buckets=cells)
+        self.cells, self.sample, self.probes = cells, sample, probes
+
+    def fit(self, points: DataFrame, rounds: int = 12) -> None:
+        """Learn the centroids and keep them in the manifest."""
+        import numpy as np
+
+        rows = points.where("vector IS NOT NULL").select("vector").orderBy(F.xxhash64("id")).limit(self.sample).collect()  # a bounded sample
+        m = np.array([r[0] for r in rows], dtype="float64").reshape(len(rows), -1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        centres = m[np.linspace(0, len(m) - 1, min(self.cells, len(m))).astype(int)] if len(m) else m
+        for _ in range(rounds if len(m) else 0):
+            nearest = np.argmax(m @ centres.T, axis=1)
+            sums = np.array([m[nearest == c].sum(axis=0) if (nearest == c).any() else centres[c] for c in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
+        manifest = self.store.manifest()
+        manifest["more"] = {"centroids": centres.tolist()}
+        self.store.publish(manifest)
+
+    def _nearest(self, df: DataFrame, n: int) -> DataFrame:
+        """df (..., vector) with cells: the n nearest centroids, nearest first."""
+        centres = self.store.manifest()["more"]["centroids"]
+
+        def run(batches):
+            import numpy as np
+
+            c = np.array(centres, dtype="float64")
+            for pdf in batches:
+                if len(pdf):
+                    m = np.array(pdf["vector"].tolist(), dtype="float64")
+                    pdf["cells"] = list(np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :n].astype("int32"))
+                    yield pdf
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInPandas(run, f"{fields}, cells array<int>")
+
+    def add(self, points: DataFrame) -> None:
+        """File points (id, vector)."""
+        manifest = self.store.manifest()
+        filed = self._nearest(points.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector")), 1)
+        self.store.write(manifest, "points", filed.select("id", "vector", F.col("cells")[0].alias("cell")))
+        self.store.publish(self.store.tidy(manifest))
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, id, score, rank): the k nearest points of the probed cells for each query (query_id, vector)."""
+        asked = self._nearest(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), self.probes)
+        asked = store.materialize(asked.select("query_id", F.col("vector").alias("q"), F.explode("cells").alias("cell")), "probes")
+        points = self.store.near(self.store.manifest(), "points", asked)
+        scored = points.join(store.checked_broadcast(asked), "cell").select("query_id", "id", S.cosine(F.col("vector"), F.col("q")).alias("score"))
+        # the k best of each query and bucket of points first, so that no query's points meet in one task
+        some = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy(F.desc("score"), "id")
+        few = scored.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return few.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def words(c: Column) -> Column:
@@ -132,6 +242,17 @@ def semantic_cache(cache: DataFrame, vector: Sequence[float], least: float = 0.9
     return dense(cache, vector, 1).where(F.col("score") >= least)
 
 
+def remember(turns: DataFrame, session: str, said: DataFrame) -> DataFrame:
+    """turns with the turns said (id, role, content, timestamp, vector) of a session; one with an id that is there replaces it."""
+    new = said.withColumn("session_id", F.lit(session)).select(*turns.columns)
+    return upsert_points(turns, new)
+
+
+def forget(turns: DataFrame, session: str) -> DataFrame:
+    """turns without those of a session."""
+    return turns.where(~F.col("session_id").eqNullSafe(F.lit(session)))
+
+
 def memory_context(turns: DataFrame, vector: Sequence[float], query: str, k: int = 5) -> DataFrame:
     """(id, score, line): the k turns nearest to the query, without the query itself, as `[time] role: content`."""
     best = store.checked_broadcast(dense(turns, vector, k + 1))
@@ -154,8 +275,8 @@ def corpus_search(chunks: DataFrame, what: str, name: str) -> DataFrame:
 
 def trim_context(ranked: DataFrame, budget: int = 1500, least: int = 3, group: str | None = None) -> DataFrame:
     """The prefix of ranked (rank, text) that fits: the first `least` rows and all within the token budget."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = ranked.withColumn("tokens", S.tokens(F.col("text"))).withColumn("used", F.sum("tokens").over(w))
+    sized = ranked.withColumn("tokens", S.tokens(F.col("text")))
+    used = store.running(sized, [group] if group else [], [F.col("rank")], F.col("tokens"), "used")
     return used.where((F.col("rank") <= least) | (F.col("used") <= budget))
 
 
@@ -165,9 +286,8 @@ def response_mode(n: Column, tokens: Column, budget: int = 1500, most: int = 10)
 
 def truncate_blocks(blocks: DataFrame, budget: int = 8000, separator: int = 2, group: str | None = None) -> DataFrame:
     """The prefix of blocks (pos, text) whose joined length, a quarter taken as tokens, is within the budget."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = F.sum(F.length("text") + separator).over(w) - separator
-    return blocks.withColumn("length", joined).where(F.floor(F.col("length") / 4) <= budget)
+    joined = store.running(blocks, [group] if group else [], [F.col("pos")], F.length("text") + separator, "length").withColumn("length", F.col("length") - separator)
+    return joined.where(F.floor(F.col("length") / 4) <= budget)
 
 
 def embed_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
@@ -216,3 +336,6 @@ def resolve_sources(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
     kind = F.when(F.col("type").isin(*EVIDENCE), F.col("type")).otherwise(F.col("__type"))
     good = store.materialize(j.select("id", kind.alias("type"), F.coalesce("note", "__note", F.lit("Relevant evidence")).alias("note")).where(F.col("type").isin(*EVIDENCE)), "sources")
     return good if good.limit(1).count() else retrieved.select("id", "type", "note")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have the library installed

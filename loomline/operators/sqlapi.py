@@ -46,8 +46,11 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = N
     return own.sql(sql)
 
 
-def rows(result: DataFrame, limit: int = 10_000, timeout: float = 30.0) -> dict:
-    """columns, rows and row_count of a result, at most `limit` rows; its jobs alone are cancelled when the time is over."""
+def rows(result: DataFrame, limit: int | None = None, timeout: float = 30.0) -> dict:
+    """columns, rows and row_count of a result; its jobs alone are cancelled when the time is over.
+
+    All rows come, unless a limit is asked for: then row_count is still that of all rows, and truncated tells whether some are left out.
+    """
     context = result.sparkSession.sparkContext
     tag = f"query-{uuid.uuid4().hex}"
     timer = threading.Timer(timeout, lambda: context.cancelJobsWithTag(tag))
@@ -55,8 +58,9 @@ def rows(result: DataFrame, limit: int = 10_000, timeout: float = 30.0) -> dict:
     context.addJobTag(tag)
     timer.start()
     try:
-        got = result.limit(limit).collect()
+        got = result.collect() if limit is None else result.limit(limit).collect()
+        n = len(got) if limit is None or len(got) < limit else result.count()
     finally:
         timer.cancel()
         context.removeJobTag(tag)
-    return {"columns": result.columns, "rows": [list(r) for r in got], "row_count": len(got)}
+    return {"columns": result.columns, "rows": [list(r) for r in got], "row_count": n, "truncated": n > len(got)}

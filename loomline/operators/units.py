@@ -244,39 +244,45 @@ def daily_edges(fx_rates: DataFrame, latest: int | None) -> DataFrame:
     return cut.select(F.col("bucket").alias("day"), "value.source", "value.target", "value.slope", (F.col("bucket") - F.col("value.at")).alias("age"), F.unix_micros(F.col("value.loaded_at").cast("timestamp")).alias("loaded"))
 
 
-def graph_of_day(edges) -> ConversionGraph:
-    """The graph of one day's rates: a fresh rate is a short way, an old one a long one; of two of one date the one loaded last is shorter."""
-    edges = edges.sort_values(["loaded", "source", "target"], ascending=False, na_position="last")
-    g = money_graph(sorted({u.split("|")[0] for u in [*edges["source"], *edges["target"]]}))
-    for rank, (source, target, slope, age) in enumerate(edges[["source", "target", "slope", "age"]].itertuples(index=False, name=None)):
+def graph_of_day(edges: Iterable[tuple[str, str, float, int, float]]) -> ConversionGraph:
+    """The graph of one day's rates (source, target, slope, age, loaded): a fresh rate is a short way, an old one a long one; of two of one
+    date the one loaded last is shorter."""
+    edges = sorted(edges, key=lambda e: (-e[4] if e[4] == e[4] else math.inf, e[0], e[1]))
+    g = money_graph(sorted({u.split("|")[0] for e in edges for u in e[:2]}))
+    for rank, (source, target, slope, age, _) in enumerate(edges):
         g.add(source, target, slope, cost=1.0 + age + min(rank, 400) * 1e-3)
     return g
 
 
-def daily_conversions(fx_rates: DataFrame, latest: int | None, targets: Sequence[str] = ("USD|1",)) -> DataFrame:
-    """(day, unit, target, slope, offset, steps): the shortest composition of each unit on each day, from that day's rates."""
-    wanted = list(targets)
+#: Days whose graphs are built in one call.
+DAYS = 32
 
-    def compose(pdf):
-        import pandas as pd
 
-        rows = [(pdf["day"].iloc[0], *r) for r in graph_of_day(pdf).compositions(wanted)]
-        return pd.DataFrame(rows, columns=["day", "unit", "target", "slope", "offset", "steps"])
+def _each_day(edges: DataFrame, result: Callable[[ConversionGraph], list[tuple]], columns: str, fresh: int | None = None) -> DataFrame:
+    """(day, columns) of the result of each day's graph; a call gets DAYS days, a few quotations for each currency and day."""
+    names = ["day", *[c.split()[0] for c in columns.split(", ")]]
 
-    # a group is one day's quotations: a few for each currency
-    return daily_edges(fx_rates, latest).groupBy("day").applyInPandas(compose, "day bigint, unit string, target string, slope double, offset double, steps int")
+    def run(pdf):
+        import pandas as pd
 
+        days: dict[int, list] = {}
+        for day, *edge in pdf[["day", "source", "target", "slope", "age", "loaded"]].itertuples(index=False, name=None):
+            if fresh is None or edge[3] <= fresh:
+                days.setdefault(day, []).append(tuple(edge))
+        return pd.DataFrame([(day, *r) for day, of_day in days.items() for r in result(graph_of_day(of_day))], columns=names)
 
-def rate_conflicts(fx_rates: DataFrame, latest: int, tolerance: float = 0.02, fresh: int = 0) -> DataFrame:
-    """(day, source, target, error): rates of at most `fresh` days that don't close the cycles of their day's graph within the tolerance."""
+    return edges.groupBy(F.floor(F.col("day") / DAYS).alias("__days")).applyInPandas(run, f"day bigint, {columns}")
 
-    def check(pdf):
-        import pandas as pd
 
-        bad = graph_of_day(pdf[pdf["age"] <= fresh]).inconsistent(tolerance)
-        return pd.DataFrame([(pdf["day"].iloc[0], *b) for b in bad], columns=["day", "source", "target", "error"])
+def daily_conversions(fx_rates: DataFrame, latest: int | None, targets: Sequence[str] = ("USD|1",)) -> DataFrame:
+    """(day, unit, target, slope, offset, steps): the shortest composition of each unit on each day, from that day's rates."""
+    wanted = list(targets)
+    return _each_day(daily_edges(fx_rates, latest), lambda g: g.compositions(wanted), "unit string, target string, slope double, offset double, steps int")
 
-    return daily_edges(fx_rates, latest).groupBy("day").applyInPandas(check, "day bigint, source string, target string, error double")
+
+def rate_conflicts(fx_rates: DataFrame, latest: int, tolerance: float = 0.02, fresh: int = 0) -> DataFrame:
+    """(day, source, target, error): rates of at most `fresh` days that don't close the cycles of their day's graph within the tolerance."""
+    return _each_day(daily_edges(fx_rates, latest), lambda g: g.inconsistent(tolerance), "source string, target string, error double", fresh)
 
 
 def typical_graph(fx_rates: DataFrame) -> ConversionGraph:

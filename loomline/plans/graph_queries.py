@@ -142,7 +142,7 @@ def g22_dependencies(spark, sf):
 
 def g23_context_subgraph(spark, sf):
     n, e = fk(spark, sf)
-    return G.induced(n.where("label IN ('Region', 'Nation') AND name LIKE '%A%'"), e)
+    return G.context_subgraph(n, e, "a", ("Region", "Nation"), 40)[1]
 
 
 def g25_proposal_filter(spark, sf):
@@ -277,7 +277,7 @@ SELECT CASE WHEN c_nationkey = s_nationkey THEN 'C1>N' || c_nationkey || '>S' ||
     "g20_review": f"WITH {GOVERNED} SELECT CASE WHEN status = 'proposed' THEN CASE WHEN coalesce(confidence, 0) >= 0.95 THEN 'approved' ELSE 'rejected' END ELSE status END AS status, count(*) AS n FROM gov GROUP BY 1",
     "g21_schema_rollup": "SELECT 'R' || r_regionkey AS id, r_name AS name, count(n_nationkey) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_name), '') AS members FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL",
     "g22_dependencies": "SELECT 'N' || n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_out, 1 AS n_in FROM nation",
-    "g23_context_subgraph": "SELECT 'R' || r_regionkey AS source_id, 'N' || n_nationkey AS target_id, 'CONTAINS' AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%A%' AND r_name LIKE '%A%'",
+    "g23_context_subgraph": f"WITH {NODES}, {EDGES}, picked AS (SELECT id FROM nodes WHERE label IN ('Region', 'Nation') AND contains(lower(name), 'a') ORDER BY id LIMIT 40) SELECT * FROM edges WHERE source_id IN (SELECT id FROM picked) AND target_id IN (SELECT id FROM picked)",
     "g24_existing_edges": "SELECT 'C' || a.o_custkey AS source_id, 'O' || a.o_orderkey AS target_id, 'DERIVES' AS type FROM orders a JOIN (SELECT DISTINCT o_custkey, o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS k FROM orders) b ON a.o_orderkey = b.k AND a.o_custkey = b.o_custkey",
     "g32_catalogue": f"WITH {NODES} SELECT label, count(*) AS n FROM nodes GROUP BY 1",
     "g33_chat_context": "SELECT 'N17' AS id, 0 AS depth, 'self' AS direction UNION ALL SELECT 'R' || n_regionkey, 1, 'upstream' FROM nation WHERE n_nationkey = 17 UNION ALL SELECT 'C' || c_custkey, 1, 'downstream' FROM customer WHERE c_nationkey = 17 UNION ALL SELECT 'S' || s_suppkey, 1, 'downstream' FROM supplier WHERE s_nationkey = 17 UNION ALL SELECT 'O' || o_orderkey, 2, 'downstream' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 17",

@@ -63,7 +63,8 @@ def m08_run_results(spark, sf):
 
 
 def m08_next_sequence(spark, sf):
-    return M.next_sequence(table(spark, sf, "runs"), "default", "20240101_000000")
+    first = table(spark, sf, "runs").where("project_id IS NOT NULL AND timestamp IS NOT NULL").orderBy("created_at", "id").select("project_id", "timestamp").first()  # one row
+    return M.next_sequence(table(spark, sf, "runs"), *first)
 
 
 def m09_set_status(spark, sf):
@@ -146,7 +147,50 @@ def a08_percentiles(spark, sf):
 
 
 def a09_activity(spark, sf):
-    return logs.activity(events(spark, sf), F.col("event_type") != "error")
+    return logs.activity(events(spark, sf), F.col("event_type") != "error", cached=F.when(F.col("event_type") == "view", F.col("value") < 50))
+
+
+def a09_error_types(spark, sf):
+    return logs.error_types(events(spark, sf), F.col("value") < 50, F.when(F.col("event_type") != "click", F.col("event_type")))
+
+
+def a10_ema_slow(spark, sf):
+    """An average whose weights reach far back."""
+    return logs.ema(events(spark, sf), "event_type", ("ts", "event_id"), alpha=0.01)
+
+
+def t03_page_of(spark, sf):
+    return M.page_of(as_logs(spark, sf).select("event_id", "timestamp"), [F.desc("timestamp"), F.desc("event_id")], 50, 100)
+
+
+def k14_cache_stats(spark, sf):
+    from ..operators import chunking as K
+
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("file_hash"), "source", F.length("text").alias("file_size"), "created_at").groupBy("file_hash").agg(F.min("file_size").alias("file_size"), F.min("created_at").alias("created_at"))
+    cache = d.where("file_size > 500").select("file_hash", (F.col("file_size") % 2).alias("schema_version"), "created_at", "file_size")
+    return K.cache_stats(cache, d, 1, 365, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def m03_update_projects(spark, sf):
+    p = table(spark, sf, "projects")
+    changes = p.where("description IS NULL").select("id", F.lit("described").alias("description"))
+    return M.update(p, changes, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).select("id", "description", "updated_at")
+
+
+def m03_delete_projects(spark, sf):
+    """What is left of projects and repositories without the projects that have no description."""
+    p, r = table(spark, sf, "projects"), table(spark, sf, "repositories")
+    links = r.select(F.col("id").alias("source_id"), F.col("project_id").alias("target_id")).where("target_id IS NOT NULL")
+    left = M.delete_project(p.where("description IS NULL"), p, r, links)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in zip(("projects", "repositories", "links"), left, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def m02_update_context(spark, sf):
+    """Contexts that are valid are taken over, others aren't."""
+    p = table(spark, sf, "projects")
+    new = p.select("id", F.when(F.length("id") % 2 == 0, F.lit('{"description": "d", "domain_hints": ["x"]}')).otherwise(F.lit('{"description": 5}')).alias("context"))
+    return M.update_context(p, new, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).select("id", "context", "updated_at")
 
 
 def a09_top_endpoints(spark, sf):
@@ -250,7 +294,7 @@ SQL = {
     "sql_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "sql_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
     "sql_union": "SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier",
     "sql_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS sq FROM t",
     "sql_window": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders",
@@ -285,8 +329,8 @@ def sql_pivot(spark, sf):
 
 def x01_snapshot_query(spark, sf):
     base = store.fresh_path(spark, "snapshots")
-    T.create_snapshot(spark, {t: table(spark, sf, t) for t in ("region", "nation")}, base, "20260101_000000")
-    return sqlapi.query(spark, "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", T.load_snapshot(spark, base, T.snapshots(spark, base)[0]))
+    T.create_snapshot(spark, {t: table(spark, sf, t) for t in (*_TABLES, "events", "projects", "repositories", "runs", "files")}, base, "20260101_000000")
+    return sqlapi.query(spark, "SELECT r_name, count(DISTINCT c_custkey) AS n, count(*) AS orders FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name", T.load_snapshot(spark, base, T.snapshots(spark, base)[0]))
 
 
 def x02_archives_union(spark, sf):
@@ -310,7 +354,7 @@ ORACLES = {
     "m06_link_detect": "WITH n AS (SELECT DISTINCT source AS r, unnest(regexp_extract_all(text, '[a-z]+_[a-z]+\\.[a-z]+_[a-z]+')) AS name FROM documents WHERE source IS NOT NULL), z AS (SELECT r, count(*) AS n FROM n GROUP BY 1), p AS (SELECT a.r AS ra, b.r AS rb, count(*) AS shared FROM n a JOIN n b ON a.name = b.name AND a.r < b.r GROUP BY ALL) SELECT ra AS repo_a, rb AS repo_b, shared, round(shared / least(x.n, y.n), 6) AS confidence FROM p JOIN z x ON x.r = ra JOIN z y ON y.r = rb",
     "m07_register_status": f"WITH {_F} SELECT id, CASE WHEN row_number() OVER (PARTITION BY project_id, file_hash ORDER BY created_at, id) > 1 THEN 'duplicate' WHEN row_number() OVER (PARTITION BY project_id, relative_path ORDER BY created_at, id) > 1 THEN 'new_version' ELSE 'new_file' END AS registration FROM (SELECT DISTINCT id, project_id, relative_path, file_hash, created_at FROM f WHERE relative_path IS NOT NULL AND file_hash IS NOT NULL)",
     "m08_run_results": "WITH g AS (SELECT run_id, count(*) FILTER (WHERE status = 'error') AS n FROM (SELECT DISTINCT id, run_id, status FROM files WHERE run_id IS NOT NULL) GROUP BY 1) SELECT run_id, CASE WHEN n = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status, CASE WHEN n > 0 THEN n || ' files failed' END AS error_message FROM g",
-    "m08_next_sequence": "SELECT coalesce(max(sequence), 0) + 1 AS sequence FROM runs WHERE project_id = 'default' AND timestamp = '20240101_000000'",
+    "m08_next_sequence": "SELECT coalesce(max(sequence), 0) + 1 AS sequence FROM runs WHERE (project_id, timestamp) = (SELECT (project_id, timestamp) FROM runs WHERE project_id IS NOT NULL AND timestamp IS NOT NULL ORDER BY created_at, id LIMIT 1)",
     "m09_set_status": "SELECT CASE WHEN status = 'pending' THEN 'error' ELSE status END AS status, count(*) AS n, count(CASE WHEN status = 'pending' THEN TIMESTAMP '2026-01-01' ELSE processed_at END) AS stamped FROM (SELECT DISTINCT id, status, processed_at FROM files) GROUP BY 1",
     "m10_recent_files": "SELECT id, created_at FROM (SELECT DISTINCT id, created_at FROM files) ORDER BY created_at DESC, id LIMIT 20 OFFSET 10",
     "m11_chat_artifacts": "WITH n AS (SELECT user_id, event_type, max_by(value, event_id) AS value FROM events WHERE value >= 50 GROUP BY ALL), o AS (SELECT user_id, event_type, max_by(value, event_id) AS value FROM events WHERE value < 50 GROUP BY ALL) SELECT * FROM n UNION ALL SELECT * FROM o WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM n)",
@@ -326,9 +370,16 @@ ORACLES = {
     "t03_paging": f"WITH {_L} SELECT event_id, timestamp FROM lg ORDER BY timestamp DESC, event_id DESC LIMIT 50 OFFSET 100",
     "a08_histogram": "SELECT event_type, b.bucket, count(*) FILTER (WHERE value <= b.le) AS n FROM events, (VALUES ('5.0', 5.0), ('10.0', 10.0), ('50.0', 50.0), ('100.0', 100.0), ('200.0', 200.0), ('+Inf', CAST('infinity' AS DOUBLE))) b(bucket, le) WHERE value IS NOT NULL GROUP BY ALL",
     "a08_percentiles": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"list_sort(list(value))[CAST(floor(count(*) * {q}) AS INT) + 1] AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM events WHERE value IS NOT NULL GROUP BY 1",
-    "a09_activity": "SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok, round(avg(CAST(event_type <> 'error' AS DOUBLE)), 6) AS success_rate, round(avg(value), 2) AS avg_latency FROM events",
+    "a09_activity": "SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok, round(avg(CAST(event_type <> 'error' AS DOUBLE)), 6) AS success_rate, round(avg(value), 2) AS avg_latency, round(avg(CASE WHEN event_type = 'view' THEN CAST(value < 50 AS DOUBLE) END), 6) AS cache_hit_rate FROM events",
+    "a09_error_types": "WITH b AS (SELECT CASE WHEN event_type <> 'click' THEN event_type ELSE 'unknown' END AS error_type, value FROM events WHERE value >= 50) SELECT error_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM b), 6) AS share, round(avg(value), 2) AS avg_latency FROM b GROUP BY 1",
+    "t03_page_of": f"WITH {_L} SELECT event_id, timestamp, (SELECT count(*) FROM lg) AS total, (SELECT count(*) FROM lg) > 150 AS has_more FROM lg ORDER BY timestamp DESC, event_id DESC LIMIT 50 OFFSET 100",
+    "k14_cache_stats": "WITH d AS (SELECT sha256(text) AS h, any_value(length(text)) AS size, min(created_at) AS lo, max(created_at) AS hi FROM documents WHERE text IS NOT NULL GROUP BY 1), c AS (SELECT *, size % 2 = 1 AND lo >= TIMESTAMP '2026-01-01' - INTERVAL 365 DAYS AS fresh FROM d WHERE size > 500) SELECT count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE NOT fresh) AS expired, count(*) FILTER (WHERE fresh) AS hits, (SELECT count(*) FROM d) - count(*) FILTER (WHERE fresh) AS misses, round(count(*) FILTER (WHERE fresh) / (SELECT count(*) FROM d), 6) AS hit_rate FROM c",
+    "m03_update_projects": "SELECT id, coalesce(description, 'described') AS description, CASE WHEN description IS NULL THEN TIMESTAMP '2026-01-01' ELSE updated_at END AS updated_at FROM projects",
+    "m03_delete_projects": "WITH g AS (SELECT id FROM projects WHERE description IS NULL), r AS (SELECT * FROM repositories WHERE coalesce(project_id, '') NOT IN (SELECT id FROM g)) SELECT 'projects' AS table_name, count(*) AS n FROM projects WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'repositories', count(*) FROM r UNION ALL SELECT 'links', count(*) FROM r WHERE project_id IS NOT NULL",
+    "m02_update_context": "SELECT id, CASE WHEN length(id) % 2 = 0 THEN '{\"description\": \"d\", \"domain_hints\": [\"x\"]}' ELSE context END AS context, CASE WHEN length(id) % 2 = 0 THEN TIMESTAMP '2026-01-01' ELSE updated_at END AS updated_at FROM projects",
     "a09_top_endpoints": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "a10_ema": "SELECT event_type, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, v: CASE WHEN a = 0 THEN v ELSE 0.3 * v + 0.7 * a END), 6) AS ema FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "a10_ema_slow": "SELECT event_type, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, v: CASE WHEN a = 0 THEN v ELSE 0.01 * v + 0.99 * a END), 6) AS ema FROM events WHERE value IS NOT NULL GROUP BY 1",
     "a13_log_stats": f"WITH {_L} SELECT category, count(*) AS total, count(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors, min(timestamp) AS oldest, max(timestamp) AS newest FROM lg GROUP BY 1",
     "a14_prefix_totals": f"WITH {_L} SELECT module, count(*) AS n FROM lg WHERE module LIKE 'api.p%' GROUP BY 1",
     "a15_data_hash": "SELECT md5('{' || string_agg('\"' || event_type || '\":' || n, ',' ORDER BY event_type) || '}') AS hash FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
@@ -344,8 +395,21 @@ ORACLES = {
     "st13_tumbling": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sql_asof": "WITH h AS (SELECT o_custkey, l_shipdate, max(l_partkey) AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT o_orderkey, part FROM orders o ASOF LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate >= h.l_shipdate",
     "sql_pivot": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1",
-    "x01_snapshot_query": "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "x01_snapshot_query": "SELECT r_name, count(DISTINCT c_custkey) AS n, count(*) AS orders FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name",
     "x02_archives_union": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000",
+    # with one failure a circuit opens at the first limited call more than the cooldown after it opened last
+    "st11_breaker": """
+WITH RECURSIVE c AS (SELECT event_type AS service, ts AS seen, value > 50 AS refused FROM events),
+o(service, since) AS (
+  SELECT service, min(seen) FROM c WHERE refused GROUP BY 1
+  UNION ALL
+  SELECT * FROM (SELECT o.service, (SELECT min(c.seen) FROM c WHERE c.service = o.service AND c.refused AND c.seen > o.since + INTERVAL 60 SECOND) AS since FROM o) WHERE since IS NOT NULL),
+s AS (SELECT c.*, o.since FROM c ASOF LEFT JOIN o ON c.service = o.service AND c.seen >= o.since)
+SELECT service, CASE WHEN since IS NOT NULL AND seen <= since + INTERVAL 60 SECOND AND (refused OR seen > since) THEN 'open' ELSE 'closed' END AS state, count(*) AS n FROM s GROUP BY ALL""",
+    "sk06_graph_snapshot": """
+WITH l AS (SELECT 'Customer' AS k, count(*) AS n FROM customer UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Supplier', count(*) FROM supplier),
+t AS (SELECT 'CONTAINS' AS k, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'DERIVES', count(*) FROM orders UNION ALL SELECT 'READS_FROM', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
+SELECT '{"phase":"post","node_count":' || (SELECT sum(n) FROM l) || ',"edge_count":' || (SELECT sum(n) FROM t) || ',"node_label_counts":{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM l) || '},"relationship_type_counts":{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM t) || '}}' AS metadata""",
     **SQL,
 }
-QUERIES = {n: (_sql(n) if n in SQL else globals()[n]) for n in (*ORACLES, "sk06_graph_snapshot", "st11_breaker")}
+QUERIES = {n: (_sql(n) if n in SQL else globals()[n]) for n in ORACLES}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import scalar as S
 from ..operators import search as V
 from ..store import table
@@ -47,6 +48,29 @@ def v03_dense_many(spark, sf):
     return V.dense_many(p, p.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 5).select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _index(spark, sf) -> V.VectorIndex:
+    index = V.VectorIndex(spark, store.fresh_path(spark, "vectors"))
+    p = points(spark, sf)
+    index.fit(p)
+    index.add(p)
+    return index
+
+
+def v01_index_search(spark, sf):
+    """Every vector whose id is divisible by 100 against the index."""
+    p = points(spark, sf)
+    return _index(spark, sf).search(p.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+
+
+def v01_index_recall(spark, sf):
+    """(queries, enough): whether the index finds nine tenths of the ten nearest of those queries."""
+    p = points(spark, sf)
+    q = p.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    exact = V.dense_many(p, q, 10).select("query_id", "id")
+    found = exact.join(_index(spark, sf).search(q, 10).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def v04_sparse_encode(spark, sf):
     return V.sparse(docs(spark, sf)).groupBy("idx").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
 
@@ -168,6 +192,7 @@ q AS (SELECT ('0x' || right(md5(term), 5))::BIGINT % 262144 AS idx, max(2.5 * f
 ORACLES = {
     "v20_chunk_evidence": f"WITH {_D} SELECT 'urn:li:qdrant-chunk:tpch:code/' || id AS id, 'Vector match from ' || coalesce(source, 'unknown') AS note, md5('[urn:li:qdrant-chunk:tpch:code/' || id || ']' || chr(10) || 'File: ' || coalesce(source, 'unknown') || chr(10) || 'Type: ' || coalesce(lang, 'unknown') || chr(10) || 'Content: ' || substring(text, 1, 1000)) AS block FROM d",
     "v21_resolve_sources": f"WITH {_D} SELECT 'urn:li:qdrant-chunk:tpch:code/' || id AS id, CASE WHEN lang = 'en' THEN 'chunk' ELSE 'doc' END AS type, CASE WHEN lang = 'de' THEN 'cited' WHEN source = 'web_crawl' THEN 'found' ELSE 'Relevant evidence' END AS note FROM d WHERE source IS DISTINCT FROM 'wiki' AND (lang IS DISTINCT FROM 'en' OR source = 'web_crawl')",
+    "v01_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
     "v01_collection_info": "SELECT count(*) AS points, CAST(max(len(embedding)) AS BIGINT) AS dimensions FROM embeddings",
     "v02_upsert_points": "SELECT vec_id AS id, CASE WHEN label = 3 THEN -1 ELSE label END AS label FROM embeddings",
     "v03_dense_topk": f"SELECT vec_id AS id, {_cos(0)} AS score FROM embeddings e ORDER BY score DESC, id LIMIT 10",
@@ -193,4 +218,5 @@ ORACLES = {
     "s_urn_roundtrip": r"WITH p AS (SELECT DISTINCT id, project_id, trim(regexp_replace(replace(trim(coalesce(relative_path, '')), '\', '/'), '/+', '/', 'g'), '/') AS path, coalesce(regexp_matches(relative_path, '^urn:li:[^:]*:[^:]*:'), false) AS path_is_urn FROM files) SELECT id, 'urn:li:dataset:' || coalesce(nullif(project_id, ''), 'default') || ':' || CASE WHEN path = '' THEN 'unknown' ELSE path END AS urn, CASE WHEN path = '' THEN 'unknown' ELSE path END AS asset_path, path_is_urn FROM p",
     "s_file_names": r"SELECT DISTINCT filename, CASE WHEN e = 'py' THEN 'python' WHEN e <> '' THEN e ELSE 'unknown' END AS type, trim(regexp_replace(lower(filename), '[^a-z0-9]+', '-', 'g'), '-') AS kebab FROM (SELECT filename, lower(regexp_extract(filename, '[^/]\.([^./]+)$', 1)) AS e FROM files)",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+#: The index has its own order of equal scores; its recall is compared.
+QUERIES = {n: globals()[n] for n in (*ORACLES, "v01_index_search")}

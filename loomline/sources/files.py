@@ -55,6 +55,12 @@ def log_files(spark: SparkSession, path: str, schema: str, start: str | None = N
     return df.drop("__d")
 
 
+def decode_blobs(listing: DataFrame, content: str = "content", encoding: str = "encoding") -> DataFrame:
+    """listing with the content of base64 blobs (as repository services send them, in lines) as text; broken ones are null, other encodings stay."""
+    raw = F.try_to_binary(F.regexp_replace(content, r"\s+", ""), F.lit("base64"))
+    return listing.withColumn(content, F.when(F.lower(encoding) == "base64", F.make_valid_utf8(raw.cast("string"))).otherwise(F.col(content)))
+
+
 class RepositorySource(DataSource):
     """A checked-out repository as a table (path, content, size): `spark.read.format("repository").option("path", ...)`.
 

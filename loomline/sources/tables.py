@@ -95,8 +95,10 @@ def changed(tables: Mapping[str, DataFrame], before: str | None) -> tuple[bool,
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes, relationships and statistics (counts by label and type) as folders of JSON lines."""
     nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/relationships")
+    graph_snapshot(nodes, edges, "export").write.mode("overwrite").json(f"{path}/statistics")
 
 
 def graph_snapshot(nodes: DataFrame, edges: DataFrame, phase: str) -> DataFrame:
@@ -148,6 +150,24 @@ def audit(events: DataFrame, path: str) -> None:
     events.withColumn("details", redact(F.col("details"))).withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
 
 
+def expire_audit(spark: SparkSession, path: str, oldest: str) -> list[str]:
+    """Delete the days of an audit log before a date (yyyy-mm-dd); the days deleted."""
+    gone = [n for n in listing(spark, path) if n.startswith("date=") and n[5:] < oldest]
+    for name in gone:
+        store.drop_path(spark, f"{path}/{name}")
+    return gone
+
+
+def archives(spark: SparkSession, base: str) -> DataFrame:
+    """(month, table, bytes) of every archive under a folder."""
+    found = []
+    for month in (m for m in listing(spark, base) if m.startswith("month=")):
+        for name in listing(spark, f"{base}/{month}"):
+            p, fs = _fs(spark, f"{base}/{month}/{name}")
+            found.append((month[6:], name, fs.getContentSummary(p).getLength()))
+    return spark.createDataFrame(found, "month string, table string, bytes bigint")
+
+
 def dead_letters(failed: DataFrame, error: str, path: str) -> None:
     failed.select(F.current_timestamp().alias("timestamp"), F.lit(error).alias("error"), F.to_json(F.struct("*")).alias("item")).write.mode("append").json(path)
 

@@ -10,8 +10,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
@@ -76,6 +77,26 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, into: str) -> DataFrame:
+    """df with `into`: the running sum of value within `by`, in order (which must tell all rows of a group apart).
+
+    A small table takes one window. A larger one is range-partitioned by group and order; sums run within each partition and are
+    lifted by the totals of the group's partitions before it, so a group of any size is spread over many tasks.
+    """
+    local = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valued = df.withColumn("__value", value)
+    if is_small(valued):
+        return valued.withColumn(into, F.sum("__value").over(local(*by))).drop("__value")
+    cut = valued.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id())
+    cut = materialize(cut, "running")
+    totals = cut.groupBy(*by, "__part").agg(F.sum("__value").alias("__total"))  # a row for each group and partition
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__at"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__lift"))
+    on = [cut[c].eqNullSafe(lifts[f"__by_{c}"]) for c in by] + [cut["__part"] == lifts["__at"]]
+    summed = cut.withColumn("__run", F.sum("__value").over(local(*by, "__part")))
+    return summed.join(checked_broadcast(lifts), on).withColumn(into, F.col("__run") + F.col("__lift")).select(*df.columns, into)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: only a scan of fewer splits than cores is shuffled,
     so that CPU-heavy maps over it use them all. Larger inputs stay where they are."""

@@ -34,6 +34,43 @@ def capped_batches(events: DataFrame, size: int = 50, gap_seconds: float = 5.0,
     return first.select(F.col(key).alias("key"), F.concat_ws("-", F.col("__s").cast("string"), F.floor((n - 1) / size).cast("string")).alias("batch"), F.col(path).alias("path"))
 
 
+def capped_stream(events: DataFrame, size: int = 50, gap_seconds: float = 5.0, key: str = "key", path: str = "path", at: str = "ts") -> DataFrame:
+    """A stream of (key, batch, paths, reason): arrivals are gathered until `size` different paths are pending or none came for the gap.
+
+    State is a key's pending paths (fewer than `size`) and the time of the last arrival; an event-time timer ends a pending batch
+    when the watermark passes the gap. `events` needs a watermark on its time.
+    """
+    gap = int(gap_seconds * 1_000_000)
+
+    def step(group, frames, state):
+        import pandas as pd
+
+        pending, last, n = state.get if state.exists else ([], 0, 0)
+        pending, out = list(pending), []
+        if state.hasTimedOut:
+            out.append((group[0], n, pending, "idle"))
+            pending, n = [], n + 1
+        else:
+            rows = pd.concat(list(frames)).sort_values([at, path], kind="stable")
+            for name, when in zip(rows[path], rows[at].astype("datetime64[us]").astype("int64"), strict=True):
+                if pending and when - last > gap:
+                    out.append((group[0], n, pending, "idle"))
+                    pending, n = [], n + 1
+                last = max(last, int(when))
+                if name not in pending:
+                    pending.append(name)
+                if len(pending) >= size:
+                    out.append((group[0], n, pending, "size"))
+                    pending, n = [], n + 1
+        state.update((pending, last, n))
+        if pending:
+            state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "batch", "paths", "reason"])
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(step, f"key {kind}, batch bigint, paths array<string>, reason string", "pending array<string>, last bigint, n bigint", "append", "EventTimeTimeout")
+
+
 def rate_limited(requests: DataFrame, limits: dict[str, int], default: int = 100, window: str = "1 minute", key: str = "user_id", kind: str = "kind", at: str = "ts") -> DataFrame:
     """(key, kind, start, n, allowed, refused) of each fixed window."""
     table = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map(F.lit(""), F.lit(default))

@@ -44,4 +44,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query(spark):
     assert entry.oracle_sql().keys() <= entry.queries().keys()
-    assert len(entry.entry(spark).columns) == 2
+    assert len(entry.entry(spark).columns) == 4
