@@ -179,6 +179,23 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", keep: Iterable[
     return store.spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
+def decode(df: DataFrame, ids: str = "ids", into: str = "text", keep: Iterable[str] = ("doc_id",), tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """df's kept columns with the text of each list of ids: the labels of its arcs in a row; null for a null list. Raises for an unknown id."""
+    keep = list(keep)
+    automaton = shipped(df, tokenizer)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        labels = _encoder(automaton).automaton.labels
+        for batch in batches:
+            texts = [None if row is None else b"".join([labels[i] for i in row]).decode("utf-8", "replace") for row in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, into])
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{into}` string"])
+    return df.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)
+
+
 def count(df: DataFrame, text: str, into: str, keep: Iterable[str], tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """df's kept columns with the number of tokens of each text."""
     keep = list(keep)

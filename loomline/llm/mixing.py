@@ -2,8 +2,8 @@
 
 Tokens are summed per source over its different texts; the mixture is as large as the scarcest source allows
 (or as asked for), each source gets the repetition rate share * total / tokens, at most its cap, and each text
-is emitted floor(rate) times, plus once more with the rate's fraction as probability, drawn from a hash of the
-text and a seed. The draw needs no shuffle and repeats exactly after a lost executor.
+is emitted floor(rate) times, plus once more with the rate's fraction as probability, drawn from a hash of its
+doc_id and a seed. The draw needs no shuffle and repeats exactly after a lost executor.
 
 Only per-source sums (as many rows as mix_targets has sources) reach the driver. Repeated texts are merged by
 digest with a map-side combine, so a text in a million copies is one row after the scan.

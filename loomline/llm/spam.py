@@ -30,10 +30,8 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -67,6 +65,7 @@ CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 CONTENTS = re.compile(r"\.{3,}\s*\d+$")
 WORD = re.compile(r"\w+")
+LONG = re.compile(r"\S{41}")
 PIECE = re.compile(r"[^\s,;|]+")
 ENDED = (".", "!", "?", "…", ":", '"', "”", ")")
 INVISIBLE = re.compile("[\\ufeff\\u200b-\\u200d\\u2060]")
@@ -110,31 +109,34 @@ def items_of(u: str) -> int:
     return n + u.count(" - ") + u.count(" – ") + u.count(" @ ") + u.count(" / ") + 1
 
 
-def guess(u: str) -> tuple[int, int, float, list[str]]:
-    """(look, links and tags, variety, words) of a unit; words without those of addresses, in lower case."""
+def guess(u: str, hosted: bool = True, long: bool = True) -> tuple[int, int, float, list[str]]:
+    """(look, links and tags, variety, words) of a unit; words without those of addresses, in lower case.
+
+    hosted, long: whether its text may have addresses, and words of more than 40 characters.
+    """
     if "#" in u:
         parts = u.split()
         tagged = [w for w in parts if TAGGED.fullmatch(w)]
         if len(tagged) > 0.5 * len(parts):
             return LIST, sum(w.count("#") for w in tagged), 1.0, WORD.findall(CAMEL.sub(" ", u).lower().replace("_", " "))
     plain, links = u, 0
-    dotted = "." in u[:-1]
-    if (dotted or "://" in u) and HOSTED.search(u):
+    if hosted and HOSTED.search(u):
         plain, links = URL.subn(" ", u)
     words = WORD.findall(plain.lower().replace("_", " "))
     if u.endswith("。"):
         return SENTENCE, 0, 1.0, words
     n = len(words)
     varied = variety(words) if n >= 6 else 1.0
-    if begins_code(u) or LOG.match(u) or u[0] == "|" or CONTENTS.search(u) or u[:8].lower() == "contents":
+    first = u[0]
+    if begins_code(u) or first == "|" or (first in "[0123456789" and LOG.match(u)) or (u[-1].isdigit() and CONTENTS.search(u)) or (first in "cC" and u[:8].lower() == "contents"):
         return OTHER, links, varied, words
-    parts = u.split()
     own = 0
-    if dotted or "_" in u:
+    if "." in u[:-1] or "_" in u:
+        parts = u.split()
         own = sum([1 for w in parts if ("_" in w or "." in w) and OWN.fullmatch(w)])
         if own and own >= 0.5 * sum(1 for w in parts if w not in ("-", "*", "|")):
             return OTHER, links, varied, words
-    if not links and max(map(len, parts)) > 40:
+    if long and not links and max(map(len, u.split())) > 40:
         longest = max(map(len, PIECE.findall(u)), default=0)
         if longest >= 64:
             return BLOB, 0, 1.0, []
@@ -170,58 +172,78 @@ class Ids(dict):
         return n
 
 
-ALONE = (1 << 32) - 1
+def _groups(keys):
+    """(first of its key, how many have it) of each element."""
+    import numpy as np
 
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.ones(len(keys), dtype=bool)
+    starts[1:] = ordered[1:] != ordered[:-1]
+    group = np.cumsum(starts) - 1
+    first, size = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=np.int64)
+    first[order], size[order] = starts, np.bincount(group)[group] if len(keys) else 0
+    return first, size
 
-def measure(text: str, ids: Ids) -> list[tuple[int, int, float, bool, int, int, list[int]]]:
-    """(look, characters, gap, doubtful, support, n_new, phrases) of each unit.
 
-    gap: share of words that repeat others nearby. doubtful: a short sentence if nothing speaks against it. support: links,
-    tags, and phrases repeated on the page. phrases: pairs of word numbers, distinct in the unit; the first n_new are the first
-    of the page in units of its kind (lists, or all else).
+def measure(texts: list[str], ids: Ids) -> dict:
+    """Columns of the units of some texts (blobs aside), as arrays in order:
+
+    text: number of the text; unit: number in the text; look; chars; gap: share of words that repeat others nearby; doubtful: a
+    short sentence if nothing speaks against it; support: links, tags, and phrases repeated on the page; n: distinct phrases.
+    phrases: all units' phrases one after the other, even 63-bit hashes; the lowest bit is set for the first of its page in units of its
+    kind (lists, or all else).
     """
-    found = []
-    often: Counter = Counter()
-    for u in units(text):
-        look, marks, varied, words = guess(u)
-        if look == BLOB:
-            continue
-        w = [ids[x] for x in words]
-        pairs = [a << 32 | b for a, b in zip(w, w[1:])] if len(w) != 1 else [w[0] << 32 | ALONE]
-        own = set(pairs)
-        if look == LIST:
-            often.update(own)
-        found.append((u, look, marks, varied, len(w), len(pairs), own))
+    import numpy as np
+
+    of, no, look, chars, marks, varied, ended, lengths, flat = [], [], [], [], [], [], [], [], []
+    for i, text in enumerate(texts):
+        hosted = HOSTED.search(text) is not None or "<" in text or (not text.isascii() and INVISIBLE.search(text) is not None)
+        long = LONG.search(text) is not None
+        for k, u in enumerate(units(text)):
+            kind, links, share, words = guess(u, hosted, long)
+            if kind != BLOB:
+                of.append(i)
+                no.append(k)
+                look.append(kind)
+                chars.append(len(u))
+                marks.append(links)
+                varied.append(share)
+                ended.append(u.endswith(ENDED))
+                lengths.append(len(words))
+                flat += [ids[w] for w in words]
+    of, look, marks, varied, n = np.array(of, dtype=np.int64), np.array(look, dtype=np.int8), np.array(marks, dtype=np.int64), np.array(varied), np.array(lengths, dtype=np.int64)
+    words = np.array(ids.hashes, dtype=np.uint64)[np.array(flat, dtype=np.int64)] if flat else np.zeros(0, dtype=np.uint64)
+    unit = np.repeat(np.arange(len(n)), n)
+    last = np.zeros(len(words), dtype=bool)
+    last[np.cumsum(n)[n > 0] - 1] = True
+    after = np.append(words[1:], np.uint64(0))[: len(words)] * ~last  # a word alone is followed by 0
+    mixed = words * np.uint64(0x9E3779B97F4A7C15) + (after ^ (after >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    phrase = (mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)
+    there = ~last | (n[unit] == 1)
+    phrase, unit = phrase[there], unit[there]
+    salt = lambda x: (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    own, _ = _groups(phrase ^ salt(unit))
+    every = np.bincount(unit, minlength=len(n))
+    phrase, unit = phrase[own], unit[own]
+    distinct = np.bincount(unit, minlength=len(n))
+    listed = look == LIST
+    new, often = _groups(phrase ^ salt(of[unit] * 2 + listed[unit]))
+    again = every - distinct + np.bincount(unit[often > 1], minlength=len(n))
     # a phrase in every fifth unit is what the page is about
-    least = max(3, 0.2 * len(found))
-    ruling = {p for p, n in often.items() if n >= least}
-    in_lists: set = set()
-    elsewhere: set = set()
-    out = []
-    for u, look, marks, varied, n, pairs, own in found:
-        mine = in_lists if look == LIST else elsewhere
-        new = own - mine
-        phrases = list(new) if len(new) == len(own) else [*new, *(own - new)]
-        mine |= new
-        doubtful = False
-        if look == LIST:
-            linked = marks
-            marks += pairs - len(own) + sum([1 for p in own if often[p] > 1])
-            doubtful = not linked and n >= 3 and varied > VARIED and u.endswith(ENDED) and ruling.isdisjoint(own)
-        out.append((look, len(u), 1.0 - varied, doubtful, marks, len(new), phrases))
-    return out
+    ruling = often >= np.maximum(3, 0.2 * np.bincount(of, minlength=len(texts))[of[unit]])
+    ruled = np.bincount(unit[ruling], minlength=len(n)) > 0
+    doubtful = listed & (marks == 0) & (n >= 3) & (varied > VARIED) & np.array(ended, dtype=bool) & ~ruled
+    return {"text": of, "unit": np.array(no, dtype=np.int32), "look": look, "chars": np.array(chars, dtype=np.int32), "gap": (1.0 - varied).astype(np.float32), "doubtful": doubtful, "support": (marks + again * listed).astype(np.int32), "n": distinct, "phrases": (phrase | new.astype(np.uint64)).view(np.int64)}
 
 
 UNITS = "doc_id {kind}, page bigint, host bigint, unit int, look tinyint, chars int, gap float, doubtful boolean, support int, phrases array<bigint>"
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """A row for each unit of each text (blobs aside), as `measure` gives it; an Arrow map without a shuffle.
-
-    page tells texts of one doc_id apart. phrases are 63-bit hashes; the lowest bit is set for the first of a page's look.
-    """
+    """A row for each unit of each text, as `measure` gives it; an Arrow map without a shuffle. page tells texts of one doc_id apart."""
     host = F.xxhash64(F.coalesce("project_id", F.concat(F.lit("source "), F.coalesce("source", F.lit("")))))
-    slim = documents.where("text IS NOT NULL").select("doc_id", host.alias("host"), "text")
+    slim = documents.where("text IS NOT NULL").select("doc_id", host.alias("host"), F.xxhash64("text").alias("page"), "text")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -229,28 +251,11 @@ def evidence(documents: DataFrame) -> DataFrame:
 
         ids = Ids()
         for batch in batches:
-            docs, pages, hosts, rows = [], [], [], []
-            for i, (h, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                page = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for unit, row in enumerate(measure(text, ids)):
-                    docs.append(i)
-                    pages.append(page)
-                    hosts.append(h)
-                    rows.append((unit, *row))
-            no, look, chars, gap, doubtful, support, fresh, phrases = zip(*rows, strict=True) if rows else [()] * 8
-            sizes = np.fromiter(map(len, phrases), dtype=np.int64, count=len(phrases))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            codes = np.fromiter(chain.from_iterable(phrases), dtype=np.uint64, count=offsets[-1])
-            first_new = np.arange(offsets[-1]) < np.repeat(offsets[:-1] + np.array(fresh, dtype=np.int64), sizes)
-            table = np.array([*ids.hashes, 0], dtype=np.uint64)
-            left, right = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(ALONE)).astype(np.int64)
-            right[right == ALONE] = len(table) - 1
-            mixed = table[left] * np.uint64(0x9E3779B97F4A7C15) + (table[right] ^ (table[right] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            values = ((mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)) | first_new.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(docs, pa.int32())), pa.array(pages, pa.int64()), pa.array(hosts, pa.int64()), pa.array(no, pa.int32()), pa.array(look, pa.int8()), pa.array(chars, pa.int32()),
-                pa.array(gap, pa.float32()), pa.array(doubtful, pa.bool_()), pa.array(support, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))],
-                ["doc_id", "page", "host", "unit", "look", "chars", "gap", "doubtful", "support", "phrases"])
+            m = measure(batch.column(3).to_pylist(), ids)
+            at = pa.array(m["text"])
+            offsets = np.concatenate([[0], np.cumsum(m["n"])]).astype(np.int32)
+            columns = [batch.column(0).take(at), batch.column(2).take(at), batch.column(1).take(at), *[pa.array(m[c]) for c in ("unit", "look", "chars", "gap", "doubtful", "support")], pa.ListArray.from_arrays(pa.array(offsets), pa.array(m["phrases"]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "page", "host", "unit", "look", "chars", "gap", "doubtful", "support", "phrases"])
             if len(ids.hashes) > Ids.MOST:
                 ids = Ids()
 

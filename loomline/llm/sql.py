@@ -21,4 +21,4 @@ hit AS (
   GROUP BY b.id)
 SELECT least(id, first) AS id_1, greatest(id, first) AS id_2 FROM hit WHERE id <> first"""
 
-ORACLES: dict[str, str] = {"p4_found": P4}
+ORACLES: dict[str, str] = {"p4_found": P4, "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}
