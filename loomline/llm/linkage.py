@@ -8,8 +8,8 @@ links and clusters they touch. It writes new classes only, and all of a batch is
 Candidate pairs are scored by learned weights (Fellegi-Sunter log odds of the agreement levels of content, path and size).
 They are fitted to the agreement patterns of all pairs seen so far, whose counts are kept with the tables: exact repeats
 are matches for certain, pairs without agreement of content or path are none, and expectation-maximisation shares out those
-between. A pair is accepted if its score reaches the threshold that is learned with the weights, the prior odds against a
-match. Accepted links update the representatives of the clusters they touch (union-find as label propagation over those
+between. Pairs that are no matches are of two kinds (another path, other content), and a pair is accepted if its scores against
+both reach the thresholds learned with the weights, the odds of their numbers. Accepted links update the representatives of the clusters they touch (union-find as label propagation over those
 clusters' roots alone, never on the driver).
 
 Blocking: the head, the tail and two middles of the digest within a project. A block of up to SMALL classes is compared
@@ -46,11 +46,15 @@ COPY_OF = r"(^|/)(?:copy of|kopie von|copia de|copie de) "
 ACCENTS = ("àáâãäåāçćčèéêëēęìíîïīñńòóôõöøōùúûüūýÿžźżšśł", "aaaaaaaccceeeeeeiiiiinnooooooouuuuuyyzzzssl")
 #: A whole SHA-256 in base64 (url-safe too): 43 characters, not all of them hex digits, and perhaps padding.
 BASE64 = r"^\s*(?:[sS][hH][aA][-_ ]?256(?:[:=\s]+|-))?+(?=[0-9a-fA-F-]*[G-Zg-z+/_])([A-Za-z0-9+/_-]{43})=?\s*$"
-#: Pairs (content, path, size) that are counted as seen beforehand, so that the first small batches have weights: matches, and others.
-MATCHES = {(2, 2, 2): 20.0, (2, 2, 1): 1.0, (2, 2, 0): 1.0, (1, 2, 2): 4.0, (2, 1, 2): 4.0, (1, 1, 2): 1.0}
-OTHERS = {(2, 0, 2): 20.0, (2, 0, 1): 1.0, (2, 0, 0): 1.0, (1, 0, 2): 1.0, (0, 2, 0): 20.0, (0, 1, 0): 1.0, (0, 0, 0): 4.0}
+#: Pairs (content, path, size) that are counted as seen beforehand, so that the first small batches have weights: matches, pairs of
+#: another path and pairs of other content.
+EXPECTED = (
+    {(2, 2, 2): 20.0, (2, 2, 1): 1.0, (2, 2, 0): 1.0, (1, 2, 2): 4.0, (2, 1, 2): 4.0, (1, 1, 2): 1.0},
+    {(2, 0, 2): 20.0, (2, 0, 1): 1.0, (2, 0, 0): 1.0, (1, 0, 2): 1.0, (0, 0, 0): 4.0},
+    {(0, 2, 0): 20.0, (0, 2, 1): 1.0, (0, 2, 2): 1.0, (0, 1, 0): 1.0},
+)
 #: What every level has been seen besides.
-LEAST = 0.1
+LEAST = 0.001
 
 
 def digest_of(c: Column) -> Column:
@@ -98,44 +102,48 @@ def path_level(a: Column, b: Column) -> Column:
 FIELDS = ("content", "path", "size")
 
 
-def certain(pattern: tuple[int, ...]) -> float | None:
-    """1 for exact repeats, 0 without agreement of content or path, None between."""
-    return 0.0 if 0 in pattern[:2] else 1.0 if pattern[:2] == (2, 2) else None
+def certain(pattern: tuple[int, ...]) -> tuple[float, float, float] | None:
+    """How much of a pattern's pairs are matches, pairs of another path and of other content, where that is certain."""
+    content, path = pattern[:2]
+    return (0.0, 1.0, 0.0) if path == 0 else (0.0, 0.0, 1.0) if content == 0 else (1.0, 0.0, 0.0) if (content, path) == (2, 2) else None
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20) -> tuple[dict[tuple[int, int], float], float]:
-    """((field, level) -> log2 odds of a match, least score of a match), by EM over the counts of all agreement patterns.
+def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 20) -> tuple[dict[tuple[int, int, int], float], tuple[float, float]]:
+    """((kind of other pair, field, level) -> log2 odds of a match, least score against each kind), by EM over the counts of all patterns.
 
-    patterns has one entry for each combination of levels, a few dozen whatever the data. The threshold is where a pair is as
-    likely a match as not: the log2 odds against a match among all pairs.
+    patterns has one entry for each combination of levels, a few dozen whatever the data. Pairs that are no matches are of two
+    kinds, same content under another path and same path with other content, whose levels have nothing in common; a match must
+    win against both. The threshold is where a pair is as likely a match as of that kind: the log2 odds of their numbers.
     """
-    fields = range(len(FIELDS))
-    levels = [(f, v) for f in fields for v in (0, 1, 2)]
-    likely = {p: certain(p) if certain(p) is not None else 0.5 for p, _ in patterns}
-    for turn in range(rounds):
-        of_m, of_u = dict.fromkeys(levels, LEAST), dict.fromkeys(levels, LEAST)
-        seen = [(p, n * likely[p], n * (1 - likely[p])) for p, n in patterns if turn or certain(p) is not None]  # those between join when there are weights
-        for p, match, other in [*((p, n, 0.0) for p, n in MATCHES.items()), *((p, 0.0, n) for p, n in OTHERS.items()), *seen]:
-            for f in fields:
-                of_m[f, p[f]] += match
-                of_u[f, p[f]] += other
-        total_m, total_u = sum(of_m[0, v] for v in (0, 1, 2)), sum(of_u[0, v] for v in (0, 1, 2))
-        m, u, share = {k: n / total_m for k, n in of_m.items()}, {k: n / total_u for k, n in of_u.items()}, total_m / (total_m + total_u)
+    kinds, fields = range(3), range(len(FIELDS))
+    # those between begin as matches by how much they agree
+    likely = {p: certain(p) or (sum(p) / 6, (1 - sum(p) / 6) / 2, (1 - sum(p) / 6) / 2) for p, _ in patterns}
+    for _ in range(rounds):
+        seen = [{(f, v): LEAST for f in fields for v in (0, 1, 2)} for _ in kinds]
+        for k in kinds:
+            for p, n in [*EXPECTED[k].items(), *((p, n * likely[p][k]) for p, n in patterns)]:
+                for f in fields:
+                    seen[k][f, p[f]] += n
+        totals = [sum(seen[k][0, v] for v in (0, 1, 2)) for k in kinds]
+        chance = [{key: n / totals[k] for key, n in seen[k].items()} for k in kinds]
         for p in likely:
             if certain(p) is None:
-                a, b = share * math.prod(m[f, p[f]] for f in fields), (1 - share) * math.prod(u[f, p[f]] for f in fields)
-                likely[p] = a / (a + b)
-    return {key: math.log2(m[key] / u[key]) for key in levels}, math.log2((1 - share) / share)
+                odds = [totals[k] * math.prod(chance[k][f, p[f]] for f in fields) for k in kinds]
+                likely[p] = tuple(o / sum(odds) for o in odds)
+    weights = {(k, *key): math.log2(chance[0][key] / chance[k][key]) for k in (1, 2) for key in chance[k]}
+    return weights, (math.log2(totals[1] / totals[0]), math.log2(totals[2] / totals[0]))
 
 
-def score(weights: dict[tuple[int, int], float]) -> Column:
-    """Sum of the weights of a pair's levels; a level never seen counts nothing."""
-    total = F.lit(0.0)
-    for f, name in enumerate(FIELDS):
-        for (g, level), w in sorted(weights.items()):
-            if g == f:
-                total = total + F.when(F.col(name) == level, F.lit(w)).otherwise(F.lit(0.0))
-    return total
+def accepts(weights: dict[tuple[int, int, int], float], least: tuple[float, float]) -> Column:
+    """Whether a pair's score, the sum of the weights of its levels, reaches the threshold against both kinds of other pairs."""
+    scores = []
+    for k in (1, 2):
+        total = F.lit(0.0)
+        for f, name in enumerate(FIELDS):
+            for v in (0, 1, 2):
+                total = total + F.when(F.col(name) == v, F.lit(weights[k, f, v])).otherwise(F.lit(0.0))
+        scores.append(total >= least[k - 1])
+    return scores[0] & scores[1]
 
 
 def size_level(a: Column, b: Column) -> Column:
@@ -237,7 +245,7 @@ class Linker:
         probed = probed if old is None else probed.unionByName(old.withColumn("new", F.lit(False)))
         compared, left_out = self._compared(probed)
         self._learn(manifest, seen, compared, left_out)
-        accepted = compared.where(score(self.weights) >= self.least_score)
+        accepted = compared.where(accepts(self.weights, self.least_score))
         links = self.store.write(manifest, "links", accepted.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(accepted.select(F.col("b").alias("class_id"), F.col("a").alias("other"))))
         if any(n for p, n in self.patterns if p[0] and p[1] and p[:2] != (2, 2)):  # there may be links
             self._unite(manifest, links)
@@ -255,7 +263,7 @@ class Linker:
             counts[p] = counts.get(p, 0) + n
         self.patterns = sorted((p, n) for p, n in counts.items() if n > 0)
         self.weights, self.least_score = learn(self.patterns)
-        manifest["more"] = {"patterns": [[list(p), n] for p, n in self.patterns], "weights": [[f, v, w] for (f, v), w in sorted(self.weights.items())], "least_score": self.least_score}
+        manifest["more"] = {"patterns": [[list(p), n] for p, n in self.patterns], "weights": [[*key, w] for key, w in sorted(self.weights.items())], "least_score": list(self.least_score)}
 
     def _hits(self, manifest: dict, rows: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
         now = seen.select("class_id", F.least("first", F.coalesce("before", "first")).alias("first"))

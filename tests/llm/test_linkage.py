@@ -139,16 +139,29 @@ def test_clusters_follow_batches(spark):
     assert len(reps) == 3 and len(set(reps.values())) == 1
 
 
-def test_weights_tell_matches():
-    w, least = L.learn([((2, 2, 2), 900), ((2, 1, 2), 60), ((1, 2, 2), 40), ((2, 0, 2), 500), ((0, 2, 0), 3)])
-    total = lambda p: sum(w.get((f, v), 0.0) for f, v in enumerate(p))
-    assert w[1, 2] > 0 > w[1, 0] and w[1, 1] > 0 and w[0, 2] > w[0, 0] and w[2, 2] > w[2, 0]
-    assert all(total(p) >= least for p in ((2, 2, 2), (2, 1, 2), (1, 2, 2), (1, 1, 2))) and all(total(p) < least for p in ((2, 0, 2), (0, 2, 0), (1, 0, 2), (0, 1, 0)))
+def accepted(counts):
+    """Patterns of counts that the weights learned from them accept."""
+    weights, least = L.learn(list(counts.items()))
+    return {p for p in counts if all(sum(weights[k, f, v] for f, v in enumerate(p)) >= least[k - 1] for k in (1, 2))}
 
 
-def test_weights_of_no_pairs_are_those_expected():
-    w, least = L.learn([])
-    assert w[1, 2] > w[1, 1] > 0 > w[1, 0] and -3 < least < 3
+SEEN = {(2, 2, 2): 2700, (2, 1, 2): 320, (1, 2, 2): 230, (1, 1, 2): 52, (2, 0, 2): 100, (1, 0, 2): 4, (0, 1, 2): 3, (0, 2, 2): 3, (0, 2, 0): 900}
+
+
+def test_weights_at_any_number_of_pairs():
+    """What is learned from few pairs or very many, or beside a crowd of other pairs of either kind, accepts the same patterns."""
+    for times in (0.01, 1, 100, 10_000):
+        for crowd in (0, 1e4, 1e8):
+            for kind in ((2, 0, 2), (0, 2, 0)):
+                counts = {p: n * times + (crowd if p == kind else 0) for p, n in SEEN.items()}
+                assert accepted(counts) == {p for p in SEEN if 0 not in p[:2]}, (times, crowd, kind)
+    assert accepted({p: 0 for p in SEEN}) == {p for p in SEEN if 0 not in p[:2]}
+
+
+def test_weights_follow_the_pairs():
+    """A level that certain matches have is worth more than one they don't."""
+    weights, _ = L.learn(list(SEEN.items()))
+    assert weights[1, 1, 2] > weights[1, 1, 1] > 0 > weights[1, 1, 0] and weights[2, 0, 2] > weights[2, 0, 1] > 0 > weights[2, 0, 0]
 
 
 def batch_of(spark, n, start, project="p"):
