@@ -112,7 +112,7 @@ def cut_statement(statement: str) -> list[tuple[str, str, int, int, list[str]]]:
             return fitting
         out, at = [], 0
         for c in pack_statements(statement):
-            at = max(at, statement.find(c[:40], at))
+            at = max(at, statement.find(c[:40].rstrip(";"), at))
             out.append(("SQL_STATEMENT", c, at, min(len(statement), at + len(c)) - 1, []))
         return out
     out, heads = [], {}

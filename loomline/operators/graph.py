@@ -187,26 +187,33 @@ class EdgeStore:
 
 
 def edges_at(edges: DataFrame | EdgeStore, side: str, ids: DataFrame) -> DataFrame | None:
-    """Edges whose end on a side is one of ids (id), which should be materialised."""
+    """Edges whose end on a side is one of ids (id), which should be materialised, and carry a broadcast hint if they are small."""
     if isinstance(edges, EdgeStore):
         return edges.at(side, ids)
-    return edges.join(store.checked_broadcast(ids.select(F.col("id").alias(side))), side, "left_semi").select(*edges.columns)
+    return edges.join(ids.select(F.col("id").alias(side)), side, "left_semi").select(*edges.columns)
+
+
+def _hinted(df: DataFrame, size: tuple[int, int]) -> DataFrame:
+    return F.broadcast(df) if size[0] <= store.BROADCAST_ROWS and size[1] <= store.BROADCAST_BYTES else df
 
 
 def levels(edges: DataFrame | EdgeStore, seeds: DataFrame, depth: int | None, reverse: bool = False) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """(d, edges from nodes first reached in d - 1 hops, nodes (id) first reached in d hops) for d = 1, 2, ... while there are any."""
     here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     visited = frontier = store.materialize(seeds.select("id").where("id IS NOT NULL").distinct(), "reach-0")
+    size = seen = store.measured(frontier)  # each level is measured once
     d = 1
-    while depth is None or d <= depth:
-        found = edges_at(edges, here, frontier)
+    while size[0] and (depth is None or d <= depth):
+        found = edges_at(edges, here, _hinted(frontier, size))
         if found is None:
             return
         hop = store.materialize(found.distinct(), f"reach-edges-{d}")
-        frontier = store.materialize(hop.select(F.col(there).alias("id")).distinct().join(store.checked_broadcast(visited), "id", "left_anti"), f"reach-{d}")
+        frontier = store.materialize(hop.select(F.col(there).alias("id")).distinct().join(_hinted(visited, seen), "id", "left_anti"), f"reach-{d}")
         yield d, hop, frontier
-        if not frontier.limit(1).count():
+        if d == depth:
             return
+        size = store.measured(frontier)
+        seen = (seen[0] + size[0], seen[1] + size[1])
         visited = visited.unionByName(frontier)
         d += 1
 
@@ -285,19 +292,21 @@ def shortest_path(edges: DataFrame | EdgeStore, source: str, target: str) -> Dat
     """
     spark = edges.store.spark if isinstance(edges, EdgeStore) else edges.sparkSession
     frontier = store.materialize(spark.createDataFrame([(source, [source])], "id string, path array<string>"), "path-0")
-    visited, d = frontier.select("id"), 0
+    visited, d, seen = frontier.select("id"), 0, (0, 0)
     while True:
-        n, there = frontier.agg(F.count("*"), F.max(F.col("id") == target)).first()
+        n, there, letters, steps = frontier.agg(F.count("*"), F.max(F.col("id") == target), F.sum(F.octet_length("id")), F.max(F.size("path"))).first()
         if there:
             return frontier.where(F.col("id") == target).select("path", F.lit(d).alias("hops"))
         if not n:
             break
-        ids = frontier.select("id")
+        size = (n, n * 64 + letters)
+        seen = (seen[0] + n, seen[1] + size[1])
+        ids = _hinted(frontier.select("id"), size)
         sides = [(e.select(F.col(a).alias("id"), F.col(b).alias("next"))) for a, b in (("source_id", "target_id"), ("target_id", "source_id")) if (e := edges_at(edges, a, ids)) is not None]
         if not sides:
             break
-        near = store.materialize(reduce(DataFrame.unionByName, sides).distinct().join(store.checked_broadcast(visited.withColumnRenamed("id", "next")), "next", "left_anti"), "path-near")
-        step = near.join(store.checked_broadcast(frontier), "id").groupBy("next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+        near = store.materialize(reduce(DataFrame.unionByName, sides).distinct().join(_hinted(visited.withColumnRenamed("id", "next"), seen), "next", "left_anti"), "path-near")
+        step = near.join(_hinted(frontier, (n, size[1] * (steps + 1))), "id").groupBy("next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
         d += 1
         frontier = store.materialize(step.withColumnRenamed("next", "id"), f"path-{d}")
         visited = visited.unionByName(frontier.select("id"))

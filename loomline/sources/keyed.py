@@ -122,7 +122,7 @@ class KeyedStore:
         counted = Observation()
         # rebalanced, not repartitioned: a few files a bucket, and a bucket of a hot key is split over tasks
         filed = df.withColumn("bucket", self.bucket_of(table, buckets)).hint("rebalance", "bucket").observe(counted, F.count("*").alias("rows"))
-        filed.write.partitionBy("bucket").parquet(path)
+        filed.write.option("compression", "zstd").partitionBy("bucket").parquet(path)  # keys and digests are long and kept
         p, fs = store.file_system(self.spark, path)
         names = sorted(int(s.getPath().getName()[7:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket="))
         return {"path": path, "buckets": names, "rows": counted.get["rows"], "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)}

@@ -61,15 +61,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most `rows` rows and takes at most `size` bytes as rows in memory.
-
-    df should be materialised or cheap: `rows` + 1 of it are counted and their strings, binaries and arrays measured.
-    """
+def measured(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """(rows, bytes as rows in memory) of df, of at most `rows` + 1 of its rows; their strings, binaries and arrays are measured."""
     wide = [F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType | BinaryType) else F.size(F.col(f"`{f.name}`")) * FIELD_BYTES for f in df.schema.fields if isinstance(f.dataType, StringType | BinaryType | ArrayType)]
     extra = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
     n, more = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(extra), F.lit(0))).first()
-    return n <= rows and n * (ROW_BYTES + FIELD_BYTES * len(df.columns)) + more <= size
+    return n, n * (ROW_BYTES + FIELD_BYTES * len(df.columns)) + more
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows and takes at most `size` bytes as rows in memory; it should be materialised or cheap."""
+    n, taken = measured(df, rows)
+    return n <= rows and taken <= size
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
