@@ -69,3 +69,11 @@ def test_null_empty_and_clashing_columns(spark):
     assert by[1][1] == 0 and by[2][1] == 0 and by[3][2] == [15496, 995] and by[None][2] == [64] and len(got) == 6
     assert bpe.encode(df.limit(0)).collect() == []
     assert bpe.encode(df).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
+
+
+def test_decoding_gives_the_texts_back(spark):
+    texts = ["load the rates\r\n\tof größe 円 🙂 'll", "", None, "x" * 20_000, "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")).first()["text"] is None
